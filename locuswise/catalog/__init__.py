@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from locuswise.catalog import sites
+from locuswise.catalog import maps, sites
 
-SECTIONS = (sites,)
+SECTIONS = (sites, maps)
 
 
 def queries():
