@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from locuswise.catalog import maps, sites
+from locuswise.catalog import maps, models, sites
 
-SECTIONS = (sites, maps)
+SECTIONS = (sites, maps, models)
 
 
 def queries():

@@ -118,10 +118,10 @@ candidates AS (
 
 STEPS = """
 micros AS (
-  SELECT user_id, value, date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) AS at FROM events
+  SELECT user_id, value, date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) AS micro FROM events
 ),
 optimiser_log AS (
-  SELECT user_id AS run, value, row_number() OVER (PARTITION BY user_id ORDER BY at) AS step FROM micros
+  SELECT user_id AS run, value, row_number() OVER (PARTITION BY user_id ORDER BY micro) AS step FROM micros
 )"""
 
 
