@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from locuswise.catalog import maps, models, sites
+from locuswise.catalog import hmm, maps, models, sites
 
-SECTIONS = (sites, maps, models)
+SECTIONS = (sites, maps, models, hmm)
 
 
 def queries():

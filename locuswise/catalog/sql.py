@@ -125,5 +125,5 @@ optimiser_log AS (
 )"""
 
 
-def query(ctes: str, select: str) -> str:
-    return f"WITH {ctes.strip()}\n{select.strip()}"
+def query(ctes: str, select: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes.strip()}\n{select.strip()}"
