@@ -14,8 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events: one genotype record per user and hour, repeats included."""
+def as_variants(events: DataFrame) -> DataFrame:
+    """Genotype records per user and hour from events, static or streaming."""
     k = F.get_json_object("props", "$.k").cast("int")
     gt = (
         F.when(F.col("event_type") == "click", "0/0")
@@ -31,7 +31,7 @@ def raw_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("PASS"))
     )
     hour = F.expr(HOURS)
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("diploid"),
         F.floor(hour / BLOCK_HOURS).cast("int").alias("block_id"),
         (hour % BLOCK_HOURS + 1).cast("long").alias("pos"),
@@ -41,6 +41,11 @@ def raw_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events: one genotype record per user and hour, repeats included."""
+    return as_variants(table(spark, sf_dir, "events"))
+
+
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per (diploid, block, position): the one with the lowest event id."""
     from locuswise.operators.calling import resolve_duplicates

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from locuswise.catalog import hmm, maps, models, sites
+from locuswise.catalog import hmm, maps, models, sites, streams
 
-SECTIONS = (sites, maps, models, hmm)
+SECTIONS = (sites, maps, models, hmm, streams)
 
 
 def queries():
