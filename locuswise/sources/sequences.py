@@ -36,9 +36,10 @@ def _characters(pieces: DataFrame, *keys) -> DataFrame:
 
 
 def read_haplotypes(spark: SparkSession, path) -> DataFrame:
-    """(hap, pos, base): aligned records, haplotypes numbered from 0 in file order."""
-    return _characters(_records(spark, path).withColumn("hap", F.col("record")), "hap").select(
-        "hap", "pos", F.upper("symbol").alias("base")
+    """(hap, name, pos, base): aligned records, numbered from 0 in the order of their file."""
+    numbered = _records(spark, path).withColumn("hap", F.col("record"))
+    return _characters(numbered, "hap", "name").select(
+        "hap", "name", "pos", F.upper("symbol").alias("base")
     )
 
 
@@ -49,12 +50,12 @@ def read_mask_codes(spark: SparkSession, path) -> DataFrame:
 
 
 def read_snp_matrix(spark: SparkSession, path) -> DataFrame:
-    """(hap, pos, base): a header line, then one line per site with one character per haplotype."""
+    """(file, hap, pos, base): a header line, then one line per site, one character per haplotype."""
     lines = numbered_lines(spark, path).filter(F.col("line") > 0)
     chars = F.regexp_replace("value", r"\s", "")
     return lines.filter(chars != "").select(
-        F.col("line").alias("pos"), F.posexplode(F.split(chars, "")).alias("hap", "base")
-    ).select(F.col("hap").cast("long"), "pos", "base")
+        "file", F.col("line").alias("pos"), F.posexplode(F.split(chars, "")).alias("hap", "base")
+    ).select("file", F.col("hap").cast("long").alias("hap"), "pos", "base")
 
 
 def write_state_fasta(states: DataFrame, blocks: DataFrame, path: str, size: int = FRAGMENT) -> None:

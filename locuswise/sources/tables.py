@@ -30,6 +30,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_blocks(blocks: DataFrame, path: str) -> None:
+    # one row per chromosome or scaffold, and line order carries the block id: one file
     (
         blocks.orderBy("block_id")
         .select(
@@ -100,8 +101,7 @@ def write_estimates(params: DataFrame, path: str, loglik: float | None = None) -
             [(0, "", f"LogLikelihood = {loglik!r}"), (1, "", "")], "part int, name string, value string"
         )
         lines = head.unionByName(lines)
-    # tens of lines: one file keeps them readable
-    lines.orderBy("part", "name").select("value").coalesce(1).write.text(path)
+    lines.orderBy("part", "name").select("value").write.text(path)
 
 
 def read_estimates(spark: SparkSession, path: str) -> DataFrame:

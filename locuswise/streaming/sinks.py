@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
-from locuswise.functions.lineage import ensure_checkpoint_dir
+from locuswise.functions.lineage import scratch_folder
 
 
 def run_available(stream: DataFrame) -> DataFrame:
     """Process all available input into Parquet files under the checkpoint folder; return them."""
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    base = scratch_folder(spark, "stream")
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{base}/out")
