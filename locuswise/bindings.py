@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 HOURS = "timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"
 BLOCK_HOURS = 240
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; its footer is read for the schema only the first time."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def as_variants(events: DataFrame) -> DataFrame:
     """Genotype records per user and hour from events, static or streaming."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     gt = (
         F.when(F.col("event_type") == "click", "0/0")
         .when(F.col("event_type") == "view", "1|1")
@@ -30,8 +38,12 @@ def as_variants(events: DataFrame) -> DataFrame:
         .when(k % 10 == 2, k.cast("string"))
         .otherwise(F.lit("PASS"))
     )
-    hour = F.expr(HOURS)
-    return events.select(
+    hour = F.col("hour")
+    # kept as columns of their own so that the text is parsed once per row
+    parsed = events.withColumns(
+        {"k": F.get_json_object("props", "$.k").cast("int"), "hour": F.expr(HOURS)}
+    )
+    return parsed.select(
         F.col("user_id").alias("diploid"),
         F.floor(hour / BLOCK_HOURS).cast("int").alias("block_id"),
         (hour % BLOCK_HOURS + 1).cast("long").alias("pos"),
@@ -161,21 +173,23 @@ def land_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rle_encode(lands(spark, sf_dir))
 
 
-def haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents: every character of every text is a base, gap or unknown."""
-    chars = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("hap"), F.posexplode(F.split(F.lower("text"), "")).alias("i", "ch")
-    )
-    letter = (F.ascii("ch") - F.ascii(F.lit("a"))) % 4
-    base = (
-        F.when(F.col("ch").isin(" ", "\n", "\r", "\t", ""), F.lit("-"))
-        .when(~F.col("ch").rlike("^[a-z]$"), F.lit("N"))
-        .when(letter == 0, F.lit("A"))
-        .when(letter == 1, F.lit("C"))
-        .when(letter == 2, F.lit("G"))
-        .otherwise(F.lit("T"))
+def haplotype_text() -> Column:
+    """documents.text as bases: every letter a base, white space a gap, anything else unknown."""
+    letters = "abcdefghijklmnopqrstuvwxyz \n\r\t"
+    bases = "".join("ACGT"[i % 4] for i in range(26)) + "----"
+    return F.translate(F.regexp_replace(F.lower("text"), "[^a-z \n\r\t]", "N"), letters, bases)
+
+
+def haplotype_pieces(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:
+    """documents: (hap, piece, text), whole texts cut into pieces."""
+    return (
+        table(spark, sf_dir, "documents")
+        .select("doc_id", haplotype_text().alias("bases"))
+        .select(
+            F.col("doc_id").alias("hap"),
+            F.posexplode(F.regexp_extract_all("bases", F.lit(".{1,%d}" % length), F.lit(0))).alias("piece", "text"),
+        )
     )
-    return chars.select("hap", (F.col("i") + 1).cast("long").alias("pos"), base.alias("base"))
 
 
 def hap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,10 +64,7 @@ def variant_files(spark, sf):
 
 
 def haplotype_files(spark, sf):
-    letters = "abcdefghijklmnopqrstuvwxyz \n\r\t"
-    bases = "".join("ACGT"[i % 4] for i in range(26)) + "----"
-    known = F.regexp_replace(F.lower("text"), "[^a-z \n\r\t]", "N")
-    record = F.concat(F.lit(">"), F.col("doc_id"), F.lit("\n"), F.translate(known, letters, bases))
+    record = F.concat(F.lit(">"), F.col("doc_id"), F.lit("\n"), b.haplotype_text())
     path = scratch_folder(spark, "haplotypes")
     b.table(spark, sf, "documents").select(record.alias("value")).write.text(path)
     out = sequences.read_haplotypes(spark, path)

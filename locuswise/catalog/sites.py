@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from locuswise import bindings as b
 from locuswise.catalog import sql as q
 from locuswise.operators import blocks, calling, intervals, runs
+from locuswise.sources.sequences import CHUNK
 
 FILTER_THRESHOLD = 50
 MISSING_RUN = 2
@@ -51,7 +52,9 @@ QUERIES = {
         b.state_runs(s, d), GAP_LENGTH, REGION_LENGTH
     ),
     "diploid_labels": lambda s, d: blocks.diploid_labels(b.calls(s, d), "driver"),
-    "pair_haplotypes": lambda s, d: calling.pair_haplotypes(b.haplotypes(s, d), b.hap_pairs(s, d)),
+    "pair_haplotypes": lambda s, d: calling.pair_sequences(
+        b.haplotype_pieces(s, d, CHUNK), b.hap_pairs(s, d), CHUNK
+    ),
     "mask_by_intervals": lambda s, d: intervals.mask_by_intervals(b.land_runs(s, d), b.order_mask(s, d)),
     "mask_by_codes": lambda s, d: intervals.mask_by_codes(
         b.lands(s, d).select("block_id", "diploid", "pos", "state"), mask_codes(s, d)

@@ -9,6 +9,7 @@ repair the tile borders from one summary row per tile. The result equals the pla
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,41 +22,47 @@ def tile_of(position: Column | str, tile: int = TILE) -> Column:
     return F.floor(col / F.lit(tile)).cast("long")
 
 
-def _adjacent(df, keys, order, cols, out, tile, previous):
-    keys = list(keys)
-    value = F.struct(*cols)
-    tiled = df.withColumn("_tile", tile_of(order, tile))
-    inside = Window.partitionBy(*keys, "_tile").orderBy(order)
-    across = Window.partitionBy(*keys).orderBy("_tile")
-    if previous:
-        summary = tiled.groupBy(*keys, "_tile").agg(F.max_by(value, order).alias("_edge"))
-        carry = F.lag("_edge").over(across)
-        local = F.lag(value).over(inside)
-    else:
-        summary = tiled.groupBy(*keys, "_tile").agg(F.min_by(value, order).alias("_edge"))
-        carry = F.lead("_edge").over(across)
-        local = F.lead(value).over(inside)
-    borders = summary.select(*keys, "_tile", carry.alias("_edge"))
-    return (
-        tiled.withColumn(out, local)
-        .join(borders, [*keys, "_tile"])
-        .withColumn(out, F.coalesce(out, "_edge"))
-        .drop("_edge", "_tile")
-    )
+def _tiled(df: DataFrame, keys: Sequence[str], order: str, tile: int) -> DataFrame:
+    # one explicit shuffle that the rows and the tile summaries both read; stating the not-null
+    # condition here keeps the optimizer from adding it to one of the two readers only
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, order)])
+    rows = df.filter(present).withColumn("_tile", tile_of(order, tile))
+    return rows.filter(F.col("_tile").isNotNull()).repartition(*keys, "_tile")
 
 
-def previous_row(
-    df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], out: str, tile: int = TILE
+def neighbours(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    previous: str | None = None,
+    following: str | None = None,
+    tile: int = TILE,
 ) -> DataFrame:
-    """Add struct column ``out`` with ``cols`` of the preceding row of the key (null on the first)."""
-    return _adjacent(df, keys, order, cols, out, tile, True)
-
+    """Add the preceding and/or following row of the key as struct columns (null at the ends).
 
-def next_row(
-    df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], out: str, tile: int = TILE
-) -> DataFrame:
-    """Add struct column ``out`` with ``cols`` of the following row of the key (null on the last)."""
-    return _adjacent(df, keys, order, cols, out, tile, False)
+    The structs hold every column of ``df``.
+    """
+    keys = list(keys)
+    whole = F.struct(*df.columns)
+    tiled = _tiled(df, keys, order, tile)
+    inside = Window.partitionBy(*keys, "_tile").orderBy(order)
+    across = Window.partitionBy(*keys).orderBy("_tile")
+    ends, carried, columns, names = [], [], [], []
+    if previous:
+        ends.append(F.max_by(whole, order).alias("_last"))
+        carried.append(F.lag("_last").over(across).alias("_before"))
+        columns.append(F.lag(whole).over(inside).alias(previous))
+        names.append((previous, "_before"))
+    if following:
+        ends.append(F.min_by(whole, order).alias("_first"))
+        carried.append(F.lead("_first").over(across).alias("_after"))
+        columns.append(F.lead(whole).over(inside).alias(following))
+        names.append((following, "_after"))
+    borders = tiled.groupBy(*keys, "_tile").agg(*ends).select(*keys, "_tile", *carried)
+    joined = tiled.select("*", *columns).join(borders, [*keys, "_tile"])
+    for name, border in names:
+        joined = joined.withColumn(name, F.coalesce(name, border)).drop(border)
+    return joined.drop("_tile")
 
 
 def running_total(
@@ -69,7 +76,7 @@ def running_total(
 ) -> DataFrame:
     """Running sum of ``value`` along ``order`` inside ``keys`` (keys may be empty)."""
     keys = list(keys)
-    tiled = df.withColumn("_tile", tile_of(order, tile)).withColumn("_value", value)
+    tiled = _tiled(df.withColumn("_value", value), keys, order, tile)
     inside = Window.partitionBy(*keys, "_tile").orderBy(order)
     end = Window.currentRow if inclusive else -1
     local = F.coalesce(
@@ -116,7 +123,9 @@ def join_touching(
     """
     keys, same = list(keys), list(same)
     pieces = spans if presplit else split_at_tiles(spans, tile=tile)
-    pieces = pieces.groupBy(*keys, "_tile", *same, "start_pos").agg(F.max("end_pos").alias("end_pos"))
+    if not same:
+        # copies of an interval collapse before the shuffle, however many there are
+        pieces = pieces.groupBy(*keys, "_tile", "start_pos").agg(F.max("end_pos").alias("end_pos"))
     inside = Window.partitionBy(*keys, "_tile").orderBy("start_pos")
     local = _islands(pieces, inside, [*keys, "_tile"], same)
     at_border = (F.col("start_pos") == F.col("_tile") * tile) | (

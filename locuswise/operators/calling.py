@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locuswise.functions.tiling import TILE, previous_row
+from locuswise.functions.tiling import TILE, neighbours
 
 HOMOZYGOUS, HETEROZYGOUS, MISSING = 0, 1, 2
+# fixed values: symbols of haplotypes that count as known
+KNOWN_BASES = ("A", "C", "G", "T", "0", "1")
 
 
 def passes_filter(flag: Column, threshold: float = 0.0) -> Column:
@@ -77,26 +79,20 @@ def fill_gaps(
     """
     keys = ["diploid", "block_id"]
     limits = blocks.select("block_id", F.col("start").alias("_lo"), F.col("end").alias("_hi"))
-    present = sparse.select(*keys).distinct().join(limits, "block_id")
-    fence = present.select(
-        *keys,
-        F.explode(F.array(F.col("_lo") - 1, F.col("_hi") + 1)).alias("pos"),
-        F.lit(None).cast("int").alias("state"),
-    )
-    points = sparse.select(*keys, "pos", "state").unionByName(fence)
-    linked = previous_row(points, keys, "pos", ["pos"], "prev", tile)
-    gap = F.struct(
-        (F.col("prev.pos") + 1).alias("start_pos"),
-        (F.col("pos") - 1).alias("end_pos"),
-        F.lit(int(standard_state)).cast("int").alias("state"),
-    )
-    site = F.struct(
-        F.col("pos").alias("start_pos"), F.col("pos").alias("end_pos"), F.col("state").alias("state")
-    )
+    points = sparse.select(*keys, "pos", "state")
+    linked = neighbours(points, keys, "pos", "prev", "next", tile).join(limits, "block_id")
+
+    def run(first, last, state):
+        return F.struct(first.alias("start_pos"), last.alias("end_pos"), state.cast("int").alias("state"))
+
+    fill = F.lit(int(standard_state))
+    pos = F.col("pos")
+    before = run(F.coalesce(F.col("prev.pos") + 1, F.col("_lo")), pos - 1, fill)
+    after = run(pos + 1, F.when(F.col("next").isNull(), F.col("_hi")), fill)
     return (
-        linked.select(*keys, F.explode(F.array(gap, site)).alias("run"))
+        linked.select(*keys, F.explode(F.array(before, run(pos, pos, F.col("state")), after)).alias("run"))
         .select(*keys, "run.*")
-        .filter("state IS NOT NULL AND start_pos <= end_pos")
+        .filter("start_pos <= end_pos")
     )
 
 
@@ -156,22 +152,48 @@ def haplotype_pairs(indices: Sequence[int]) -> list[tuple[int, int, int]]:
     return pairs
 
 
-def pair_haplotypes(haps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sites of pseudo-diploids: missing if either base is a gap or unknown, else equal or not.
-
-    A haplotype may belong to several pairs, so it is first expanded to its (diploid, side) roles;
-    the two sides then meet in one aggregation on (diploid, pos) instead of a self join.
-    """
+def _roles(pairs: DataFrame) -> DataFrame:
+    """(hap, diploid, side): a haplotype may belong to several pairs."""
     valid = F.when(
         F.col("hap1") == F.col("hap2"), F.raise_error(F.lit("haplotype paired with itself")).cast("boolean")
     ).otherwise(F.lit(True))
-    roles = pairs.filter(valid).select(
+    return pairs.filter(valid).select(
+        "diploid", F.posexplode(F.array(F.col("hap1"), F.col("hap2"))).alias("side", "hap")
+    )
+
+
+def pair_sequences(pieces: DataFrame, pairs: DataFrame, piece_length: int) -> DataFrame:
+    """Sites of pseudo-diploids from text pieces ``(hap, piece, text)`` of ``piece_length`` symbols.
+
+    Missing if either base is a gap, unknown or absent, else equal or not. The two sides of a pair
+    meet piece by piece, so what is shuffled is text and a site first becomes a row in the result.
+    """
+    sides = pieces.join(_roles(pairs), "hap").groupBy("diploid", "piece").agg(
+        *[F.max(F.when(F.col("side") == i, F.col("text"))).alias(f"text{i}") for i in (0, 1)]
+    )
+
+    def state(x, y):
+        known = x.isin(*KNOWN_BASES) & y.isin(*KNOWN_BASES)
+        return F.when(known & (x == y), HOMOZYGOUS).when(known, HETEROZYGOUS).otherwise(MISSING)
+
+    symbols = [F.coalesce(F.split(f"text{i}", ""), F.array().cast("array<string>")) for i in (0, 1)]
+    return sides.select(
+        "diploid", "piece", F.posexplode(F.zip_with(*symbols, state)).alias("i", "state")
+    ).select(
         "diploid",
-        F.explode(F.array(F.col("hap1"), F.col("hap2"))).alias("hap"),
+        (F.col("piece").cast("long") * piece_length + F.col("i") + 1).alias("pos"),
+        F.col("state").cast("int").alias("state"),
     )
-    joined = haps.join(roles, "hap")
+
+
+def pair_haplotypes(haps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """As :func:`pair_sequences` from one row per (hap, pos, base), the form of a SNP matrix.
+
+    The two sides meet in one aggregation on (diploid, pos) instead of a self join.
+    """
+    joined = haps.join(_roles(pairs).drop("side"), "hap")
     other = [c for c in haps.columns if c not in ("hap", "pos", "base")]
-    known = F.col("base").isin("A", "C", "G", "T", "0", "1")
+    known = F.col("base").isin(*KNOWN_BASES)
     return (
         joined.groupBy(*other, "diploid", "pos")
         .agg(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locuswise.functions.tiling import TILE, join_touching, previous_row, split_at_tiles
+from locuswise.functions.tiling import TILE, join_touching, neighbours, split_at_tiles
 from locuswise.operators.calling import MISSING
 from locuswise.operators.runs import KEYS
 
@@ -113,7 +113,7 @@ def subtract_intervals(blocks: DataFrame, callable_intervals: DataFrame, tile: i
         "block_id", F.explode(F.array(F.col("_lo") - 1, F.col("_hi") + 1)).alias("start_pos")
     )
     walls = covered.unionByName(fence.withColumn("end_pos", F.col("start_pos")))
-    linked = previous_row(walls, ["block_id"], "start_pos", ["end_pos"], "prev", tile)
+    linked = neighbours(walls, ["block_id"], "start_pos", previous="prev", tile=tile)
     return linked.select(
         "block_id",
         F.col("prev.end_pos").alias("start0"),

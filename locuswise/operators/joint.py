@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from locuswise.functions.kernels import dense_transfer, smooth
 from locuswise.functions.lineage import cut_lineage
-from locuswise.functions.tiling import TILE, next_row
+from locuswise.functions.tiling import TILE, neighbours
 from locuswise.operators.decoding import _grouped_rows, _symbol_matrix
 from locuswise.operators.runs import KEYS
 from locuswise.operators.scoring import (
@@ -35,18 +35,10 @@ EM_ROUNDS = 20
 
 def transition_symbols(decoded: DataFrame, n: int, tile: int = TILE) -> DataFrame:
     """Code of (time here, time at the next site); the last site repeats the code before it."""
-    linked = next_row(decoded.select(*KEYS, "pos", "k"), KEYS, "pos", ["pos", "k"], "next", tile)
-    last = decoded.groupBy(*KEYS).agg(F.max("pos").alias("_last"), F.min("pos").alias("_first"))
-    code = F.col("k") * n + F.col("next.k")
-    own = F.struct(F.col("pos").alias("pos"), code.cast("int").alias("symbol"))
-    repeat = F.struct(F.col("next.pos").alias("pos"), code.cast("int").alias("symbol"))
-    lone = F.struct(F.col("pos").alias("pos"), (F.col("k") * n + F.col("k")).cast("int").alias("symbol"))
-    rows = (
-        F.when(F.col("next.pos") == F.col("_last"), F.array(own, repeat))
-        .when(F.col("next").isNotNull(), F.array(own))
-        .when(F.col("_first") == F.col("_last"), F.array(lone))
-    )
-    return linked.join(last, KEYS).select(*KEYS, F.explode(rows).alias("r")).select(*KEYS, "r.*")
+    linked = neighbours(decoded.select(*KEYS, "pos", "k"), KEYS, "pos", "prev", "next", tile)
+    k = F.col("k")
+    code = F.coalesce(k * n + F.col("next.k"), F.col("prev.k") * n + k, k * n + k)
+    return linked.select(*KEYS, "pos", code.cast("int").alias("symbol"))
 
 
 def emission_symbols(decoded: DataFrame, sites: DataFrame, n_obs: int = 3) -> DataFrame:

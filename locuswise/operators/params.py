@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locuswise.functions.tiling import TILE, next_row, previous_row
+from locuswise.functions.tiling import TILE, neighbours
 
 # fixed values: parameter name patterns
 HEIGHT = r"^y[0-9]+$"
@@ -111,7 +111,7 @@ def _relative_change(value: Column, before: Column) -> Column:
 
 def convergence_step(log: DataFrame, tolerance: float, burn_in: int = 0, tile: int = TILE) -> DataFrame:
     """First step after the burn-in whose relative change of the objective is below tolerance."""
-    linked = previous_row(log, ["run"], "step", ["value"], "prev", tile)
+    linked = neighbours(log, ["run"], "step", previous="prev", tile=tile)
     # a zero objective gives an infinite change in the ratio test, so it never counts
     before = F.nullif(F.col("prev.value"), F.lit(0.0))
     reached = (F.col("step") > burn_in) & (_relative_change(F.col("value"), before) < tolerance)
@@ -120,7 +120,7 @@ def convergence_step(log: DataFrame, tolerance: float, burn_in: int = 0, tile: i
 
 def convergence_by_parameter(log: DataFrame, tolerance: float, tile: int = TILE) -> DataFrame:
     """First step by which every parameter of the run has had a small enough relative change."""
-    linked = previous_row(log, ["run", "name"], "step", ["value"], "prev", tile)
+    linked = neighbours(log, ["run", "name"], "step", previous="prev", tile=tile)
     before = F.when(F.col("prev.value") == 0, F.lit(1e-6)).otherwise(F.col("prev.value"))
     reached = _relative_change(F.col("value"), before) < tolerance
     each = linked.groupBy("run", "name").agg(F.min(F.when(reached, F.col("step"))).alias("first"))
@@ -131,7 +131,7 @@ def convergence_by_parameter(log: DataFrame, tolerance: float, tile: int = TILE)
 
 def span_weighted_mean(steps: DataFrame, position: str = "at", tile: int = TILE) -> DataFrame:
     """Mean of a step landscape; each value counts for the span up to the next change point."""
-    linked = next_row(steps, ["sequence"], position, [position], "next", tile)
+    linked = neighbours(steps, ["sequence"], position, following="next", tile=tile)
     span = F.col(f"next.{position}") - F.col(position)
     return linked.groupBy("sequence").agg(
         (F.sum(F.col("value") * span) / F.nullif(F.sum(span), F.lit(0))).alias("mean_value")
@@ -142,7 +142,7 @@ def time_weighted_size(
     epochs: DataFrame, horizon: int, start: str = "at", tile: int = TILE
 ) -> DataFrame:
     """Harmonic mean size over epochs weighted by their length; the last one ends at the horizon."""
-    linked = next_row(epochs, ["sequence"], start, [start], "next", tile)
+    linked = neighbours(epochs, ["sequence"], start, following="next", tile=tile)
     span = F.coalesce(F.col(f"next.{start}"), F.lit(horizon)) - F.col(start)
     return linked.groupBy("sequence").agg(
         (F.sum(span) / F.sum(span / F.col("size"))).alias("harmonic_size"),

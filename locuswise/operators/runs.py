@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locuswise.functions.tiling import TILE, join_touching, previous_row
+from locuswise.functions.tiling import TILE, join_touching, neighbours
 from locuswise.operators.calling import HETEROZYGOUS, MISSING
 
 KEYS = ["diploid", "block_id"]
@@ -57,7 +57,7 @@ def informative_regions(
     )
     fence = extent.select(*KEYS, F.explode(F.array(F.col("_lo") - 1, F.col("_hi") + 1)).alias("start_pos"))
     walls = gaps.unionByName(fence.withColumn("end_pos", F.col("start_pos")))
-    linked = previous_row(walls, KEYS, "start_pos", ["end_pos"], "prev", tile)
+    linked = neighbours(walls, KEYS, "start_pos", previous="prev", tile=tile)
     return (
         linked.filter("prev IS NOT NULL")
         .select(

@@ -35,6 +35,13 @@ def _characters(pieces: DataFrame, *keys) -> DataFrame:
     )
 
 
+def read_haplotype_pieces(spark: SparkSession, path) -> DataFrame:
+    """(hap, name, piece, text): records cut into pieces of ``CHUNK`` symbols, ready for pairing."""
+    return _records(spark, path).select(
+        F.col("record").alias("hap"), "name", "piece", F.upper("text").alias("text")
+    )
+
+
 def read_haplotypes(spark: SparkSession, path) -> DataFrame:
     """(hap, name, pos, base): aligned records, numbered from 0 in the order of their file."""
     numbered = _records(spark, path).withColumn("hap", F.col("record"))

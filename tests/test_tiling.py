@@ -65,10 +65,10 @@ def test_neighbours(sparse, forward):
     keys = ["diploid", "block_id"]
     w = Window.partitionBy(*keys).orderBy("pos")
     if forward:
-        got = tiling.next_row(sparse, keys, "pos", ["pos", "state"], "n", TILE)
+        got = tiling.neighbours(sparse, keys, "pos", following="n", tile=TILE)
         want = sparse.withColumn("n", F.lead(F.struct("pos", "state")).over(w))
     else:
-        got = tiling.previous_row(sparse, keys, "pos", ["pos", "state"], "n", TILE)
+        got = tiling.neighbours(sparse, keys, "pos", previous="n", tile=TILE)
         want = sparse.withColumn("n", F.lag(F.struct("pos", "state")).over(w))
     pick = ["diploid", "block_id", "pos", F.coalesce("n.pos", F.lit(-1)), F.coalesce("n.state", F.lit(-1))]
     assert rows(got.select(*pick)) == rows(want.select(*pick))
