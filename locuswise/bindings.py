@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from locuswise.functions.lineage import settled
+
 HOURS = "timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"
 BLOCK_HOURS = 240
@@ -22,6 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
+_blocks: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _block_table(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """Block tables are written once per application, as a caller reads them from a file."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _blocks:
+        _blocks[key] = settled(make(), name)
+    return _blocks[key]
+
+
 def as_variants(events: DataFrame) -> DataFrame:
     """Genotype records per user and hour from events, static or streaming."""
     k = F.col("k")
@@ -67,6 +80,10 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of 240 hourly positions that occur in events."""
+    return _block_table(spark, sf_dir, "event_blocks", lambda: _event_blocks(spark, sf_dir))
+
+
+def _event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         raw_variants(spark, sf_dir)
         .select("block_id")
@@ -137,6 +154,11 @@ def position_limit(spark: SparkSession, sf_dir: str):
 
 
 def land_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty blocks over the part positions, with cut-offs inside them."""
+    return _block_table(spark, sf_dir, "land_blocks", lambda: _land_blocks(spark, sf_dir))
+
+
+def _land_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "supplier").select(
         (F.col("s_suppkey") % 20).cast("int").alias("block_id")
     )

@@ -114,13 +114,8 @@ def trained_landscape(spark, sf):
 
 
 def score_two_states(spark, sf):
-    runs, blocks = inputs(spark, sf)
-
-    def score(candidates):
-        wide = optimise.pivot_params(candidates, PARAM_NAMES)
-        return scoring.likelihood_sweep(two_state_models(wide), runs, blocks, FRAGMENT)
-
-    return score
+    scorer = scoring.Scorer.over(*inputs(spark, sf), FRAGMENT)
+    return lambda candidates: scorer(two_state_models(optimise.pivot_params(candidates, PARAM_NAMES)))
 
 
 def estimates(spark, sf):

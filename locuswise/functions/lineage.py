@@ -31,3 +31,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder path beside the checkpoints, shared by all executors."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table beside the checkpoints and read it back.
+
+    Cuts the lineage, and the optimizer then knows the table's real size: a small one is broadcast
+    in joins, a large one is not, without a hint.
+    """
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

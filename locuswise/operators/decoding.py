@@ -183,10 +183,10 @@ def _total(values: Column) -> Column:
 
 
 def _time_array(space: StateSpace, p: Column) -> Column:
+    # written out per time index: a lambda over the indices would redo ``p`` for each of them when
+    # the optimizer merges the projection that made it
     width = space.per_time
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(space.n_time - 1)), lambda k: _total(F.slice(p, k * width + 1, F.lit(width)))
-    )
+    return F.array(*[_total(F.slice(p, k * width + 1, width)) for k in range(space.n_time)])
 
 
 def _rate_array(space: StateSpace, rate: str, p: Column) -> Column:
@@ -275,11 +275,11 @@ def _conditional(space: StateSpace, rate: str, base: float, scales: Sequence[flo
     factors = F.array(*[F.lit(float(scales[c]) * base) for c in space.category_of(rate)[:width]])
 
     def at(k):
-        inside = F.slice(p, k * width + 1, F.lit(width))
+        inside = F.slice(p, k * width + 1, width)
         weighted = F.zip_with(inside, factors, lambda x, w: x * w)
         return _total(weighted) / F.nullif(_total(inside), F.lit(0.0))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(space.n_time - 1)), at)
+    return F.array(*[at(k) for k in range(space.n_time)])
 
 
 def rate_per_time(

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locuswise.functions.kernels import dense_transfer, smooth
-from locuswise.functions.lineage import cut_lineage
+from locuswise.functions.lineage import settled
 from locuswise.functions.tiling import TILE, neighbours
 from locuswise.operators.decoding import _grouped_rows, _symbol_matrix
+from locuswise.operators import scoring
 from locuswise.operators.runs import KEYS
 from locuswise.operators.scoring import (
     FRAGMENT,
@@ -23,6 +24,7 @@ from locuswise.operators.scoring import (
     _list_array,
     _lists,
     _single,
+    by_fragment,
     fragment_transfers,
     most_fragments,
     multiply_up,
@@ -56,11 +58,16 @@ def mask_decoded(decoded: DataFrame, sites: DataFrame, n: int) -> DataFrame:
 
 
 def site_factors(symbols: DataFrame, emission: DataFrame, categories: int) -> DataFrame:
-    """Per site, log of the product over diploids of P(symbol | category), as an array."""
+    """Per site, log of the product over diploids of P(symbol | category), as an array.
+
+    Most sites carry the same few symbols, so the emission table is written first: its size is then
+    known and it is broadcast when small, which is the rule for any usual number of categories.
+    """
     logs = emission.groupBy("symbol").agg(
         F.sort_array(F.collect_list(F.struct("cat", F.log(F.greatest("p", F.lit(1e-300))).alias("lp")))).alias("c")
     )
-    joined = symbols.join(logs.select("symbol", F.col("c.lp").alias("lp")), "symbol")
+    lookup = settled(logs.select("symbol", F.col("c.lp").alias("lp")), "emission")
+    joined = symbols.join(lookup, "symbol")
     sums = [F.sum(F.col("lp")[j]) for j in range(categories)]
     return joined.groupBy("block_id", "pos").agg(F.array(*sums).alias("logs"))
 
@@ -70,9 +77,11 @@ def pack_factors(factors: DataFrame, blocks: DataFrame, size: int = FRAGMENT) ->
     limits = blocks.select("block_id", F.col("start").alias("_lo"))
     index = (F.floor((F.col("pos") - F.col("_lo")) / F.lit(size)) + 1).cast("int")
     scaled = F.transform("logs", lambda x: F.exp(x - F.array_max("logs")))
+    placed = by_fragment(
+        factors.join(limits, "block_id").withColumn("file_index", index), ["block_id"]
+    )
     return (
-        factors.join(limits, "block_id")
-        .groupBy("block_id", index.alias("file_index"))
+        placed.groupBy("block_id", "file_index")
         .agg(F.sort_array(F.collect_list(F.struct("pos", scaled.alias("f")))).alias("s"))
         .select(
             F.lit(0).cast("long").alias("diploid"),
@@ -163,7 +172,7 @@ def _factor_transfers(trans: np.ndarray):
 
 def both_carries(items: DataFrame, depth: int, states: int) -> DataFrame:
     """What precedes (``start``) and follows (``end``) each fragment of a block."""
-    levels = multiply_up(items, depth)
+    levels = multiply_up(items, depth, scoring.FAN_IN)
     keys = ["diploid", "block_id", F.col("idx").alias("file_index")]
     forward = push_down(levels, states).select(*keys, "start")
     backward = push_down(levels, states, backward=True).select(*keys, F.col("start").alias("end"))
@@ -289,6 +298,6 @@ def em_loop(
 ) -> DataFrame:
     """Train the category transitions, then the posterior mean rate of every site."""
     packed = pack_factors(site_factors(symbols, emission, len(scales)), blocks, size)
-    fragments = cut_lineage(packed)
+    fragments = settled(packed, "factors")
     trans, carried = train_joint(fragments, trans, most_fragments(blocks, size), rounds)
     return joint_decode(fragments, trans, scales, base, carried)

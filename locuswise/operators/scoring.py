@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locuswise.functions.kernels import RunPowers, chain
+from locuswise.functions.lineage import settled
 from locuswise.functions.tiling import running_total
 from locuswise.operators.runs import KEYS, run_length
 
@@ -37,6 +38,16 @@ class Model:
         return len(self.trans)
 
 
+def by_fragment(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash by fragment into a stated number of partitions.
+
+    Work per byte is high after packing, so the partitions must not be merged by their size; and
+    collecting gains nothing from a partial step, so this is the only shuffle of the packing.
+    """
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(count, *keys, "file_index")
+
+
 def pack_fragments(runs: DataFrame, blocks: DataFrame, size: int = FRAGMENT) -> DataFrame:
     """One row per (diploid, block, fragment): first site, run lengths and symbols in order.
 
@@ -56,7 +67,8 @@ def pack_fragments(runs: DataFrame, blocks: DataFrame, size: int = FRAGMENT) ->
     run = F.struct(
         "start_pos", run_length().cast("int").alias("length"), F.col("state").cast("tinyint").alias("state")
     )
-    packed = pieces.groupBy(*KEYS, (F.col("_i") + 1).alias("file_index")).agg(
+    placed = by_fragment(pieces.withColumn("file_index", F.col("_i") + 1), KEYS)
+    packed = placed.groupBy(*KEYS, "file_index").agg(
         F.sort_array(F.collect_list(run)).alias("runs"),
         F.min("start_pos").alias("frag_start"),
         F.max("end_pos").alias("frag_end"),
@@ -171,7 +183,11 @@ def _transfers(lead: bool):
 
 
 def batch_models(models: DataFrame, per_batch: int = MODELS_PER_BATCH) -> tuple[DataFrame, DataFrame, int]:
-    """Models grouped into rows of at most ``per_batch``; also (candidate_id, batch, place)."""
+    """Models grouped into rows of at most ``per_batch``; also (candidate_id, batch, place).
+
+    Matrices are made once and written to the checkpoint folder: they are read three times here.
+    """
+    models = settled(models, "models")
     numbered = running_total(
         models.select("candidate_id"), [], "candidate_id", F.lit(1), "_n", inclusive=False
     ).select(
@@ -245,10 +261,14 @@ def _products(batches):
 
 
 def _group_members(items: DataFrame) -> DataFrame:
-    member = F.struct("idx", "mats", "logs")
-    grouped = items.groupBy(
-        *TRANSFER_KEYS, (F.floor((F.col("idx") - 1) / FAN_IN) + 1).cast("int").alias("group")
-    ).agg(F.sort_array(F.collect_list(member)).alias("m"))
+    group = (F.floor((F.col("idx") - 1) / FAN_IN) + 1).cast("int")
+    # stated here so that both readers of a level share its shuffle
+    keyed = items.withColumn("group", group).filter(
+        "diploid IS NOT NULL AND block_id IS NOT NULL AND batch IS NOT NULL AND `group` IS NOT NULL"
+    )
+    grouped = keyed.groupBy(*TRANSFER_KEYS, "group").agg(
+        F.sort_array(F.collect_list(F.struct("idx", "mats", "logs"))).alias("m")
+    )
     return grouped.select(
         *TRANSFER_KEYS,
         F.col("group").alias("idx"),
@@ -258,26 +278,20 @@ def _group_members(items: DataFrame) -> DataFrame:
     )
 
 
-def multiply_up(items: DataFrame, levels_for: int) -> list[DataFrame]:
-    """Item tables per level, the last with one row per (diploid, block, batch)."""
+def multiply_up(items: DataFrame, depth: int, until: int = 1) -> list[DataFrame]:
+    """Item tables per level, up to the first with at most ``until`` items per (diploid, block)."""
     levels = [items]
-    count = levels_for
-    while count > 1:
+    while depth > until:
         levels.append(_group_members(levels[-1]).mapInArrow(_products, TRANSFER_SCHEMA))
-        count = math.ceil(count / FAN_IN)
+        depth = math.ceil(depth / FAN_IN)
     return levels
 
 
-def forward_loglik(
-    runs: DataFrame, blocks: DataFrame, models: DataFrame, size: int = FRAGMENT
-) -> DataFrame:
-    """(candidate_id, diploid, block_id, loglik) from a scaled forward pass with uniform start.
-
-    ``models(candidate_id, trans, emis)`` as packed by :func:`pack_models`.
-    """
+def score_fragments(fragments: DataFrame, models: DataFrame, depth: int) -> DataFrame:
+    """Log-likelihoods from packed fragments; ``depth`` is the most fragments any block has."""
     batches, numbered, n_batches = batch_models(models)
-    items = fragment_transfers(pack_fragments(runs, blocks, size), batches, n_batches, lead=True)
-    top = multiply_up(items, most_fragments(blocks, size))[-1]
+    items = fragment_transfers(fragments, batches, n_batches, lead=True)
+    top = multiply_up(items, depth)[-1]
     # each model owns one row vector of equal width inside ``mats``
     width = F.expr("cast(size(mats) / size(logs) as int)")
     scored = top.select(
@@ -291,6 +305,31 @@ def forward_loglik(
     )
 
 
+def forward_loglik(
+    runs: DataFrame, blocks: DataFrame, models: DataFrame, size: int = FRAGMENT
+) -> DataFrame:
+    """(candidate_id, diploid, block_id, loglik) from a scaled forward pass with uniform start.
+
+    ``models(candidate_id, trans, emis)`` as packed by :func:`pack_models`.
+    """
+    return score_fragments(pack_fragments(runs, blocks, size), models, most_fragments(blocks, size))
+
+
+@dataclass(frozen=True)
+class Scorer:
+    """Packed fragments written once, scored for any number of model tables."""
+
+    fragments: DataFrame
+    depth: int
+
+    @staticmethod
+    def over(runs: DataFrame, blocks: DataFrame, size: int = FRAGMENT) -> Scorer:
+        return Scorer(settled(pack_fragments(runs, blocks, size), "fragments"), most_fragments(blocks, size))
+
+    def __call__(self, models: DataFrame) -> DataFrame:
+        return composite_loglik(score_fragments(self.fragments, models, self.depth))
+
+
 def _starts(states: int):
     """Start vectors of group members from the group's own start vector."""
 
@@ -362,14 +401,21 @@ START_SCHEMA = f"{KEY_SCHEMA}, start array<double>"
 
 
 def push_down(levels: list[DataFrame], states: int, backward: bool = False) -> DataFrame:
-    """Vector in force before (or after) every item of the lowest level."""
+    """Vector in force before (or after) every item of the lowest level.
+
+    The highest level has at most ``FAN_IN`` items per block, so one group starts it.
+    """
     fill = 1.0 if backward else 1.0 / states
-    top = F.array(*[F.lit(fill) for _ in range(states)])
-    known = levels[-1].select(*TRANSFER_KEYS, "idx", top.alias("start"))
-    for lower in reversed(levels[:-1]):
-        grouped = _group_members(lower).drop("logs")
-        step = _ends(states) if backward else _starts(states)
-        known = grouped.join(known, [*TRANSFER_KEYS, "idx"]).mapInArrow(step, START_SCHEMA)
+    step = _ends(states) if backward else _starts(states)
+    outer = F.array(*[F.lit(fill) for _ in range(states)])
+    known = None
+    for level in reversed(levels):
+        grouped = _group_members(level).drop("logs")
+        if known is None:
+            grouped = grouped.withColumn("start", outer)
+        else:
+            grouped = grouped.join(known, [*TRANSFER_KEYS, "idx"])
+        known = grouped.mapInArrow(step, START_SCHEMA)
     return known
 
 
@@ -382,7 +428,7 @@ def _single(model: Model, spark) -> DataFrame:
 
 def carry_table(fragments: DataFrame, model: Model, depth: int) -> DataFrame:
     items = fragment_transfers(fragments, _single(model, fragments.sparkSession), 1, lead=False)
-    levels = multiply_up(items, depth)
+    levels = multiply_up(items, depth, FAN_IN)
     return push_down(levels, model.states).select(
         "diploid", "block_id", F.col("idx").alias("file_index"), "start"
     )

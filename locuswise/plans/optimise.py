@@ -9,10 +9,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locuswise.functions.lineage import cut_lineage
+from locuswise.functions.lineage import cut_lineage, settled
 from locuswise.operators import grid, model
 from locuswise.operators.params import best_model, resume_sweep
-from locuswise.operators.scoring import FRAGMENT, likelihood_sweep, pack_models
+from locuswise.operators.scoring import FRAGMENT, Scorer, pack_models
 
 Score = Callable[[DataFrame], DataFrame]
 
@@ -80,13 +80,14 @@ def knot_sweep(
 
     Knot counts whose positions do not fit the grid are left out.
     """
+    score = Scorer.over(runs, blocks, size)
+    candidates = settled(candidates, "candidates")
     fits = []
     for k in range(k_min, k_max + 1):
         span = (n + k) // (k + 1)
         if (n - 1) // span != k:
             continue
-        models = smc_models(candidates, knots_for(candidates, k), n, k)
-        scored = likelihood_sweep(models, runs, blocks, size)
+        scored = score(smc_models(candidates, knots_for(candidates, k), n, k))
         fits.append(scored.withColumn("knots", F.lit(k)).withColumn("free", F.lit(k + 3)))
     if not fits:
         raise ValueError("no knot count fits the grid")
