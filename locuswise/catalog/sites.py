@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from locuswise import bindings as b
 from locuswise.catalog import sql as q
-from locuswise.operators import blocks, calling, intervals, runs
+from locuswise.operators import blocks, calling, intervals, runs, simulated
 from locuswise.sources.sequences import CHUNK
 
 FILTER_THRESHOLD = 50
@@ -32,7 +32,25 @@ def mask_codes(spark, sf):
     )
 
 
+def hits(spark, sf):
+    """One hit per lineitem: supplier as haplotype, part as position."""
+    return b.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("hap"),
+        (F.col("l_partkey") + 1).alias("pos"),
+        F.col("l_orderkey").alias("seq"),
+        "l_returnflag",
+    )
+
+
+def dense_haplotypes(spark, sf):
+    length = b.table(spark, sf, "part").agg(F.max("p_partkey")).first()[0] + 1
+    derived = hits(spark, sf).filter("l_returnflag = 'R'").select("hap", "pos")
+    return simulated.densify_haplotypes(derived, length)
+
+
 QUERIES = {
+    "shift_collisions": lambda s, d: simulated.shift_collisions(hits(s, d), ["hap"], "seq").select("hap", "pos"),
+    "densify_haplotypes": dense_haplotypes,
     "derive_blocks": lambda s, d: blocks.derive_blocks(b.raw_variants(s, d)),
     "pass_filter": flagged,
     "call_state": lambda s, d: b.calls(s, d),
@@ -68,6 +86,15 @@ QUERIES = {
 }
 
 ORACLES = {
+    "shift_collisions": """
+        SELECT l_suppkey AS hap, l_partkey + 1 AS pos FROM lineitem
+        UNION SELECT l_suppkey, l_partkey + 2 FROM lineitem GROUP BY l_suppkey, l_partkey HAVING count(*) > 1""",
+    "densify_haplotypes": """
+        WITH derived AS (SELECT DISTINCT l_suppkey AS hap, l_partkey + 1 AS pos FROM lineitem WHERE l_returnflag = 'R'),
+        every AS (SELECT hap, unnest(range(1, (SELECT max(p_partkey) + 2 FROM part))) AS pos
+                  FROM (SELECT DISTINCT hap FROM derived))
+        SELECT e.hap, e.pos, CAST(d.hap IS NOT NULL AS INTEGER) AS base
+        FROM every e LEFT JOIN derived d ON d.hap = e.hap AND d.pos = e.pos""",
     "derive_blocks": q.query(q.RAW_VARIANTS, """
         SELECT block_id, min(pos) AS "start", max(pos) AS "end", min(pos) AS lower_cut,
                max(pos) AS upper_cut FROM raw_variants GROUP BY block_id"""),

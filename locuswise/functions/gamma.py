@@ -6,7 +6,9 @@ import math
 
 import numpy as np
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _lgamma(a: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in a.ravel()]).reshape(a.shape)
 
 
 def lower_regularised(a: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -238,12 +238,23 @@ def fragment_transfers(
     return joined.mapInArrow(_transfers(lead), TRANSFER_SCHEMA)
 
 
+def _check_order(group: int, members: Sequence[int]) -> None:
+    """A sequence starts at its block's start and has every fragment up to its last one."""
+    start = (group - 1) * FAN_IN + 1
+    if list(members) != list(range(start, start + len(members))):
+        raise ValueError(f"fragments {list(members)} of a sequence are not complete from {start} on")
+
+
 def _products(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = _carry_columns(batch, ["diploid", "block_id", "batch", "idx"])
         out_m, out_l = [], []
+        for group, ids in zip(
+            cols["idx"].to_pylist(), batch.column(batch.schema.get_field_index("members")).to_pylist()
+        ):
+            _check_order(group, ids)
         for mats, logs in zip(
             batch.column(batch.schema.get_field_index("mats")).to_pylist(),
             batch.column(batch.schema.get_field_index("logs")).to_pylist(),

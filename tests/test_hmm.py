@@ -105,6 +105,19 @@ def test_loglik_by_enumeration(spark):
     assert row.loglik == pytest.approx(np.log(total), abs=1e-12)
 
 
+def test_incomplete_sequences_are_refused(spark):
+    from pyspark.errors import PySparkException
+
+    blocks = spark.createDataFrame([(0, 1, 30)], "block_id int, start long, end long")
+    for spans in ([(11, 30)], [(1, 10), (21, 30)]):
+        runs = spark.createDataFrame(
+            [(1, 0, a, b, 0) for a, b in spans],
+            "diploid long, block_id int, start_pos long, end_pos long, state int",
+        )
+        with pytest.raises(PySparkException, match="not complete"):
+            scoring.forward_loglik(runs, blocks, models_table(spark, [1]), 10).collect()
+
+
 def test_many_model_batches(spark, data):
     seeds = list(range(100, 140))
     got = scoring.likelihood_sweep(models_table(spark, seeds), *data, 20).collect()
