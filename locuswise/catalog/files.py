@@ -108,8 +108,7 @@ def mask_files(spark, sf):
     chrom = F.concat(F.lit("chr"), F.col("block_id") + 1)
     line = F.concat_ws("\t", chrom, "start0", "end0")
     b.order_mask(spark, sf).select(line.alias("value")).write.option("compression", "gzip").text(path)
-    out = variants.read_mask_bed(spark, path)
-    return tables.with_block_ids(out, b.land_blocks(spark, sf))
+    return variants.read_mask_bed(spark, path)
 
 
 def code_files(spark, sf):
@@ -230,7 +229,7 @@ ORACLES = {
         SELECT s.block_id, h AS hap, s.line AS pos, CAST(coalesce(l.state, 2) AS VARCHAR) AS base
         FROM sites s CROSS JOIN range(0, 7) r(h)
         LEFT JOIN lands l ON l.block_id = s.block_id AND l.pos = s.pos AND l.diploid = h + 1"""),
-    "read_mask_bed": q.query(q.MASK, "SELECT block_id, start0, end0 FROM mask"),
+    "read_mask_bed": q.query(q.MASK, "SELECT 'chr' || (block_id + 1) AS chrom, start0, end0 FROM mask"),
     "read_mask_codes": q.query(q.LANDS, """
         SELECT 'chr' || (block_id + 1) AS chrom, row_number() OVER (PARTITION BY block_id ORDER BY pos) AS pos,
                CASE WHEN min(k) > 10 THEN 'P' WHEN min(k) > 5 THEN '1' ELSE '0' END AS code
