@@ -294,10 +294,12 @@ fwd AS (
 lls AS (SELECT candidate_id, diploid, block_id, ll FROM fwd WHERE pos = 240),
 per_diploid AS (SELECT candidate_id, diploid, sum(ll) AS ll FROM lls GROUP BY 1, 2)"""
 
-SMOOTH = q.DENSE + f""",
+def smoothing(fragment: int) -> str:
+    """Forward-backward of the two-state model, reset at every fragment start."""
+    return q.DENSE + f""",
 sites AS (
-  SELECT diploid, block_id, pos, (pos - 1) // {FRAGMENT} + 1 AS file_index,
-         (pos - 1) % {FRAGMENT} = 0 AS opens, pos % {FRAGMENT} = 0 OR pos = 240 AS closes,
+  SELECT diploid, block_id, pos, (pos - 1) // {fragment} + 1 AS file_index,
+         (pos - 1) % {fragment} = 0 AS opens, pos % {fragment} = 0 OR pos = 240 AS closes,
          CASE state WHEN 0 THEN CAST(0.95 AS DOUBLE) WHEN 1 THEN 0.05 ELSE 1 END AS e0,
          CASE state WHEN 0 THEN CAST(0.7 AS DOUBLE) WHEN 1 THEN 0.3 ELSE 1 END AS e1 FROM dense),
 fwd AS (
@@ -324,6 +326,11 @@ post AS (
   FROM fwd f JOIN bwd b ON f.diploid = b.diploid AND f.block_id = b.block_id AND f.pos = b.pos),
 decoded AS (SELECT diploid, block_id, pos, CAST(p1 > p0 AS INTEGER) AS k FROM post)"""
 
+
+SMOOTH = smoothing(FRAGMENT)
+# whole blocks: the expected counts cross fragment borders
+WHOLE = smoothing(b.BLOCK_HOURS)
+
 MARGINALS = q.POSTERIOR + f""",
 by_time AS (SELECT pos, diploid, k, sum(p) AS p, sum(p * (c + 1) * 0.5) * {BASE} AS weighted FROM posterior
             GROUP BY 1, 2, 3),
@@ -339,6 +346,45 @@ symbols AS (
 )"""
 
 
+JOINT = SYMBOLS + f""",
+table_p(cat, symbol, p) AS (VALUES {", ".join(
+    f"({c}, {i}, CAST({p} AS DOUBLE))" for c, row in enumerate(SYMBOL_P) for i, p in enumerate(row))}),
+logs AS (
+  SELECT block_id, pos, sum(ln(p)) FILTER (cat = 0) AS l0, sum(ln(p)) FILTER (cat = 1) AS l1
+  FROM symbols JOIN table_p USING (symbol) GROUP BY 1, 2),
+joint_sites AS (
+  SELECT block_id, pos, exp(l0 - greatest(l0, l1)) AS e0, exp(l1 - greatest(l0, l1)) AS e1,
+         (pos - 1) % {FRAGMENT} = 0 AS opens FROM logs),
+joint_fwd AS (
+  SELECT block_id, pos, e0 / (e0 + e1) AS a0, e1 / (e0 + e1) AS a1 FROM joint_sites WHERE pos = 1
+  UNION ALL
+  SELECT block_id, pos, b0 / (b0 + b1), b1 / (b0 + b1) FROM (
+    SELECT s.block_id, s.pos,
+           CASE WHEN opens THEN 0.5 ELSE a0 * CAST(0.95 AS DOUBLE) + a1 * CAST(0.1 AS DOUBLE) END * e0 AS b0,
+           CASE WHEN opens THEN 0.5 ELSE a0 * CAST(0.05 AS DOUBLE) + a1 * CAST(0.9 AS DOUBLE) END * e1 AS b1
+    FROM joint_fwd f JOIN joint_sites s ON s.block_id = f.block_id AND s.pos = f.pos + 1)
+),
+joint_bwd AS (
+  SELECT block_id, pos, CAST(0.5 AS DOUBLE) AS c0, CAST(0.5 AS DOUBLE) AS c1, e0, e1, opens
+  FROM joint_sites WHERE pos = 240
+  UNION ALL
+  SELECT block_id, pos, g0 / (g0 + g1), g1 / (g0 + g1), e0, e1, opens FROM (
+    SELECT s.block_id, s.pos, s.e0, s.e1, s.opens,
+           CASE WHEN b.opens THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.95 AS DOUBLE) * b.e0 * c0 + CAST(0.05 AS DOUBLE) * b.e1 * c1 END AS g0,
+           CASE WHEN b.opens THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) * b.e0 * c0 + CAST(0.9 AS DOUBLE) * b.e1 * c1 END AS g1
+    FROM joint_bwd b JOIN joint_sites s ON s.block_id = b.block_id AND s.pos = b.pos - 1)
+)"""
+
+PAIRS = WHOLE + """,
+pairs AS (
+  SELECT f.a0 * CAST(0.99 AS DOUBLE) * b.e0 * b.c0 AS n00, f.a0 * CAST(0.01 AS DOUBLE) * b.e1 * b.c1 AS n01,
+         f.a1 * CAST(0.02 AS DOUBLE) * b.e0 * b.c0 AS n10, f.a1 * CAST(0.98 AS DOUBLE) * b.e1 * b.c1 AS n11
+  FROM fwd f JOIN bwd b ON b.diploid = f.diploid AND b.block_id = f.block_id AND b.pos = f.pos + 1),
+totals AS (
+  SELECT sum(n00 / t) AS s00, sum(n01 / t) AS s01, sum(n10 / t) AS s10, sum(n11 / t) AS s11
+  FROM (SELECT *, n00 + n01 + n10 + n11 AS t FROM pairs))"""
+
+
 def _sql(ctes, select):
     return q.query(ctes, select, recursive=True)
 
@@ -365,6 +411,22 @@ ORACLES = {
     "posterior_decode": _sql(SMOOTH, """
         SELECT diploid, block_id, pos, round(p0, 6) AS p0, round(p1, 6) AS p1 FROM post"""),
     "decode_genome": _sql(SMOOTH, "SELECT diploid, block_id, pos, k FROM decoded"),
+    "joint_decode": _sql(JOINT, """
+        SELECT f.block_id, f.pos, round(0.001 * (0.5 * a0 * c0 + 1.5 * a1 * c1) / (a0 * c0 + a1 * c1), 9) AS value
+        FROM joint_fwd f JOIN joint_bwd b ON b.block_id = f.block_id AND b.pos = f.pos"""),
+    "baum_welch_trans": _sql(PAIRS, """
+        SELECT CAST(j AS INTEGER) AS j, CAST(k AS INTEGER) AS k, round(CASE
+               WHEN j = 0 AND k = 0 THEN s00 / (s00 + s01) WHEN j = 0 THEN s01 / (s00 + s01)
+               WHEN k = 0 THEN s10 / (s10 + s11) ELSE s11 / (s10 + s11) END, 6) AS p
+        FROM totals, range(0, 2) x(j), range(0, 2) y(k)"""),
+    "baum_welch_emis": _sql(WHOLE + """,
+        seen AS (SELECT state, sum(p0) AS n0, sum(p1) AS n1 FROM post JOIN dense USING (diploid, block_id, pos)
+                 GROUP BY state)""", """
+        SELECT 0 AS j, state AS obs, round(CASE WHEN state = 2 THEN 1.0
+               ELSE n0 / sum(n0) FILTER (state < 2) OVER () END, 6) AS p FROM seen
+        UNION ALL
+        SELECT 1, state, round(CASE WHEN state = 2 THEN 1.0
+               ELSE n1 / sum(n1) FILTER (state < 2) OVER () END, 6) FROM seen"""),
     "transition_symbols": _sql(SYMBOLS, "SELECT diploid, block_id, pos, symbol FROM symbols"),
     "emission_symbols": _sql(SMOOTH, """
         SELECT diploid, block_id, pos, CAST(k * 3 + state AS INTEGER) AS symbol
