@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from locuswise.llm import exact_dedup, mixing, near_dedup
+from locuswise.llm import exact_dedup, html_extract, mixing, near_dedup, packing, pii, quality, toxicity, urls, warc
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op2_near_dedup": near_dedup.query,
+    "op3_personal_data": pii.query,
+    "op4_main_text": html_extract.query,
     "op5_mix_sources": mixing.query,
+    "op6_url_filter": urls.query,
+    "op7_warc_derivatives": warc.query,
     "op8_exact_dedup": exact_dedup.query,
+    "op9_pack_sequences": packing.query,
+    "op10_toxicity": toxicity.query,
 }
 
 ORACLES = {
