@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from locuswise.functions.lineage import scratch_folder
-from locuswise.llm import exact_dedup, mixing, near_dedup
+from locuswise.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from locuswise.llm.common import ROW, table
+
+
+def _toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +25,16 @@ def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs).drop(ROW)
+
+
 STAGES = [
+    ("toxicity", _toxic),
     ("exact_dedup", _exact),
     ("near_dedup", _near),
     ("mix_sources", _mix),
+    ("pack_sequences", _pack),
 ]
 
 #: Toxicity, near copies and packing can't be said in SQL; tests hold the stages against brute force.
