@@ -29,6 +29,13 @@ def with_row_key(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
-def keep_rows(df: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``_row`` is in ``kept``; the key is dropped."""
-    return df.join(kept.select(ROW).hint("shuffle_hash"), ROW, "left_semi").drop(ROW)
+def boxed(df: DataFrame) -> DataFrame:
+    """(doc_id, text, source if there, ``_row``, ``_doc``): all columns of ``df`` lie in ``_doc``, where no name can clash."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc")
+    used = [c for c in ("doc_id", "text", "source") if c in df.columns]
+    return df.select(whole, *used, F.monotonically_increasing_id().alias(ROW))
+
+
+def keep_rows(box: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of a boxed table whose ``_row`` is in ``kept``, with the columns they had."""
+    return box.join(kept.select(ROW).hint("shuffle_hash"), ROW, "left_semi").select("_doc.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locuswise.functions.lineage import settled
-from locuswise.llm.common import table, word_count
+from locuswise.llm.common import boxed, table, word_count
 
 #: Weights dealt to the sources by name, repeating; most words a target takes of each word of its source.
 WEIGHTS = (1, 2, 3)
@@ -66,34 +66,29 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     words has rate 0. An empty table gives an empty result. Other columns are ignored.
     """
     sized = settled(docs.select("doc_id", word_count(F.col("text")).alias("size"), "source"), "sizes")
-    return copies(sized, weights, most, seed)
+    return copies(sized, _targets(sized, weights, most), seed)
 
 
-def copies(sized: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+def _targets(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     # written and read back: Catalyst then knows its size, broadcasts it if small and joins by key if not
-    targets = settled(source_targets(sizes, weights, most), "targets").withColumnRenamed("source", "named")
+    return settled(source_targets(sizes, weights, most), "targets").withColumnRenamed("source", "named")
+
+
+def copies(rows: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
+    """``rows`` (doc_id, source and others) with rate and n_copies."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("named"))).drop("named").withColumn("rate", rate)
+    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("named"))).drop("named").withColumn("rate", rate)
     draw = F.when(hash_share(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return joined.withColumn("n_copies", (F.floor("rate") + draw).cast("long"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mixture itself: each row of ``docs`` as often as its copies say, with all its columns."""
-    size, rate, copied = "_mix_size", "_mix_copies", "_mix_copy"
     sized = settled(docs.select(word_count(F.col("text")).alias("size"), "source"), "sizes")
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    options = {"weights": WEIGHTS, "most": MOST, "seed": SEED} | options
-    targets = settled(source_targets(sizes, options["weights"], options["most"]), "targets").select(
-        F.col("source").alias(size),
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate),
-    )
-    joined = docs.join(targets, F.col("source").eqNullSafe(F.col(size)))
-    draw = F.when(hash_share(F.col("doc_id"), options["seed"]) < F.col(rate) - F.floor(rate), 1).otherwise(0)
-    times = (F.floor(rate) + draw).cast("int")
-    emitted = joined.filter(times > 0).withColumn(copied, F.explode(F.sequence(F.lit(1), times)))
-    return emitted.select(*[emitted[f"`{c}`"] for c in docs.columns])
+    rated = copies(boxed(docs).select("_doc", "doc_id", "source"), _targets(sized, weights, most), seed)
+    times = F.col("n_copies").cast("int")
+    return rated.filter(times > 0).select("_doc", F.explode(F.sequence(F.lit(1), times)).alias("copy")).select("_doc.*")
 
 
 def query(spark, sf_dir):

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from locuswise.functions.lineage import settled
 from locuswise.llm import shingles
-from locuswise.llm.common import ROW, keep_rows, with_row_key
+from locuswise.llm.common import ROW, boxed, keep_rows, with_row_key
 from locuswise.llm.graph import component_names
 
 TREES = 16
 #: Signature values that the rows of a region share, level by level; a region stops at the first level where it is small.
-DEPTHS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 64)
+DEPTHS = (2, 4, 8, 16, 32, 64)
 #: Members up to which a region gives all its pairs.
 SMALL = 32
 #: Percent of the union that linked sets share, and signature values (of 64) that a candidate pair shares at least:
@@ -94,24 +94,26 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     low = F.expr("array_join(transform(sequence(0, %d), i -> hex(substring(signature, 4 * i + 1, 1))), '')" % (shingles.VALUES - 1))
     sketch = settled(nodes.select("node", "n_shingles", F.unhex(low).alias("low")), "sketches")
     per_tree = shingles.VALUES // TREES
-    key_at = lambda depth: [
-        F.xxhash64(F.lit(t), F.substring(doubled, 4 * per_tree * t + 1, 4 * depth)) for t in range(TREES)
-    ]
-    rows = nodes.select("node", F.explode(F.array(*key_at(DEPTHS[0]))).alias("region"))
+    key_at = lambda depth: F.array(
+        *[F.xxhash64(F.lit(t), F.substring(doubled, 4 * per_tree * t + 1, 4 * depth)) for t in range(TREES)]
+    )
+    rows = nodes.select("node", F.posexplode(key_at(DEPTHS[0])).alias("tree", "region"))
     found = []
     crowd = None
     for level, depth in enumerate(DEPTHS):
-        counts = rows.groupBy("region").agg(F.count("*").alias("members")).filter("members > 1")
+        # counts are stored first: the join then deals both sides by region itself, and adaptive execution can split hot ones
+        counts = settled(rows.groupBy("region").agg(F.count("*").alias("members")).filter("members > 1"), f"counts-{depth}")
         shared = settled(rows.join(counts, "region"), f"regions-{depth}")
         if crowd is None:
             crowd = settled(shared.groupBy("node").agg(F.sum("members").alias("crowd")), "crowds")
         small = shared.filter(F.col("members") <= SMALL).join(sketch, "node")
-        found.append(
+        pairs = (
             small.groupBy("region")
             .agg(F.collect_list(F.struct("node", "n_shingles", "low")).alias("members"))
             .select("members")
             .mapInArrow(_region_pairs, "a long, b long")
         )
+        found.append(settled(pairs, f"pairs-{depth}"))
         large = shared.filter(F.col("members") > SMALL)
         if large.isEmpty():
             break
@@ -125,15 +127,13 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
         other = sketch.select(
             F.col("node").alias("pivot"), F.col("n_shingles").alias("pivot_shingles"), F.col("low").alias("pivot_low")
         )
-        meets = large.join(pivots, "region").filter("pivot != node").select("pivot", "node").distinct()
-        found.append(meets.join(sketch, "node").join(other, "pivot").mapInArrow(_star_pairs, "a long, b long"))
+        meets = settled(large.join(pivots, "region").filter("pivot != node").select("pivot", "node").distinct(), "meets")
+        stars = meets.join(sketch, "node").join(other, "pivot").mapInArrow(_star_pairs, "a long, b long")
+        found.append(settled(stars, f"stars-{depth}"))
         if level + 1 < len(DEPTHS):
-            deeper = large.select("node", "region").join(nodes.select("node", "signature"), "node")
-            deep = DEPTHS[level + 1]
-            # a row's tree is not kept: the region at the depth before tells it
-            tree_key = F.array(*[F.struct(o.alias("old"), n.alias("new")) for o, n in zip(key_at(depth), key_at(deep), strict=True)])
+            deeper = F.element_at(key_at(DEPTHS[level + 1]), F.col("tree") + 1)
             rows = settled(
-                deeper.withColumn("step", F.explode(tree_key)).filter("step.old = region").select("node", F.col("step.new").alias("region")),
+                large.select("node", "tree").join(nodes.select("node", "signature"), "node").select("node", "tree", deeper.alias("region")),
                 "deeper",
             )
     pairs = found[0]
@@ -165,6 +165,11 @@ def confirmed_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
+    """Groups without the internal name of the component; see ``grouped_rows``."""
+    return grouped_rows(docs).drop("component")
+
+
+def grouped_rows(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text and ``_row``): shingles of its text, its component and whether it stays.
 
     Equal shingle sets are one node from the start, so copies cost one row each. Null, empty and blank texts have
@@ -190,18 +195,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
         "named",
     )
     least = settled(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
-    sets = settled(named.join(least, "component").select("set_key", "component_id"), "sets")
+    sets = settled(named.join(least, "component").select("set_key", "component", "component_id"), "sets")
     joined = rows.select("doc_id", ROW, "n_shingles", "set_key").join(sets, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", ROW, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    return joined.select("doc_id", ROW, "n_shingles", component.alias("component_id"), kept.alias("kept"), "component")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each group, with all columns of ``docs``; rows without words all stay."""
-    keyed = with_row_key(docs)
-    groups = near_groups(keyed)
-    once = groups.filter("kept AND n_shingles > 0").groupBy("component_id").agg(F.min(ROW).alias(ROW)).select(ROW)
-    return keep_rows(keyed, once.unionByName(groups.filter("n_shingles = 0").select(ROW)))
+    box = boxed(docs)
+    groups = grouped_rows(box)
+    once = groups.filter("kept AND n_shingles > 0").groupBy("component").agg(F.min(ROW).alias(ROW)).select(ROW)
+    return keep_rows(box, once.unionByName(groups.filter("n_shingles = 0").select(ROW)))
 
 
 def query(spark, sf_dir):

@@ -98,7 +98,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> l
     """
     usable = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = settled(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "labelled")
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id")
+    sample = sample.agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
     sparse = sample.select("doc_id", "quality", "text").mapInArrow(_features, "doc_id long, quality double, at binary, value binary")
     rows: pd.DataFrame = sparse.toPandas().sort_values("doc_id")  # train_rows at most
     data = linear.Rows.of(
