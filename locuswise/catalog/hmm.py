@@ -108,7 +108,7 @@ def trained_landscape(spark, sf):
         CATEGORY_SCALES,
         0.001,
         FRAGMENT,
-        rounds=3,
+        rounds=joint.EM_ROUNDS,
     )
     return rounded(out, "value", digits=9)
 

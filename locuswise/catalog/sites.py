@@ -157,14 +157,10 @@ ORACLES = {
         SELECT 'driver_diploid_' || row_number() OVER (ORDER BY diploid) AS decoding_label,
                diploid AS diploid_id FROM (SELECT DISTINCT diploid FROM calls)"""),
     "pair_haplotypes": q.query(q.HAPS, """
-        SELECT diploid, pos, CAST(CASE WHEN a IS NULL OR b IS NULL OR a IN ('-', 'N') OR b IN ('-', 'N')
-               THEN 2 WHEN a = b THEN 0 ELSE 1 END AS INTEGER) AS state
-        FROM (
-          SELECT coalesce(x.diploid, y.diploid) AS diploid, coalesce(x.pos, y.pos) AS pos,
-                 x.base AS a, y.base AS b
-          FROM (SELECT diploid, pos, base FROM pairs JOIN haps ON hap = hap1) x
-          FULL JOIN (SELECT diploid, pos, base FROM pairs JOIN haps ON hap = hap2) y
-          ON x.diploid = y.diploid AND x.pos = y.pos)"""),
+        SELECT diploid, pos, CAST(CASE WHEN count(*) < 2 OR bool_or(base IN ('-', 'N')) THEN 2
+               WHEN min(base) = max(base) THEN 0 ELSE 1 END AS INTEGER) AS state
+        FROM (SELECT diploid, unnest([hap1, hap2]) AS hap FROM pairs) JOIN haps USING (hap)
+        GROUP BY diploid, pos"""),
     "mask_by_intervals": q.query(
         q.LANDS + "," + q.MASK + """,
         covered AS (

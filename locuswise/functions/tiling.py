@@ -3,13 +3,13 @@
 A plain ``Window.partitionBy(key).orderBy(pos)`` sends every row of a key to one task. When one
 sample or chromosome holds a third of the data that task decides the run time of the job. The
 helpers below cut the position axis into fixed tiles, run the window inside (key, tile) and then
-repair the tile borders from one summary row per tile. The result equals the plain window.
+repair the tile borders from one summary row per tile. The result equals the plain window: rows with
+a null key form a group of their own, and rows with a null position come first in their key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,11 +23,14 @@ def tile_of(position: Column | str, tile: int = TILE) -> Column:
 
 
 def _tiled(df: DataFrame, keys: Sequence[str], order: str, tile: int) -> DataFrame:
-    # one explicit shuffle that the rows and the tile summaries both read; stating the not-null
-    # condition here keeps the optimizer from adding it to one of the two readers only
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, order)])
-    rows = df.filter(present).withColumn("_tile", tile_of(order, tile))
-    return rows.filter(F.col("_tile").isNotNull()).repartition(*keys, "_tile")
+    # one explicit shuffle that the rows and the tile summaries both read. The key is a struct: it is never
+    # null itself, and structs with equal nulls are equal, so null keys and positions are kept
+    rows = df.withColumn("_key", F.struct(*keys, tile_of(order, tile).alias("_tile")))
+    return rows.repartition("_key")
+
+
+def _across(keys: Sequence[str]):
+    return Window.partitionBy(*[F.col("_key")[k] for k in keys]).orderBy(F.col("_key")["_tile"])
 
 
 def neighbours(
@@ -45,24 +48,25 @@ def neighbours(
     keys = list(keys)
     whole = F.struct(*df.columns)
     tiled = _tiled(df, keys, order, tile)
-    inside = Window.partitionBy(*keys, "_tile").orderBy(order)
-    across = Window.partitionBy(*keys).orderBy("_tile")
+    inside = Window.partitionBy("_key").orderBy(order)
+    across = _across(keys)
+    place = F.coalesce(F.col(order), F.lit(0))
     ends, carried, columns, names = [], [], [], []
     if previous:
-        ends.append(F.max_by(whole, order).alias("_last"))
+        ends.append(F.max_by(whole, place).alias("_last"))
         carried.append(F.lag("_last").over(across).alias("_before"))
         columns.append(F.lag(whole).over(inside).alias(previous))
         names.append((previous, "_before"))
     if following:
-        ends.append(F.min_by(whole, order).alias("_first"))
+        ends.append(F.min_by(whole, place).alias("_first"))
         carried.append(F.lead("_first").over(across).alias("_after"))
         columns.append(F.lead(whole).over(inside).alias(following))
         names.append((following, "_after"))
-    borders = tiled.groupBy(*keys, "_tile").agg(*ends).select(*keys, "_tile", *carried)
-    joined = tiled.select("*", *columns).join(borders, [*keys, "_tile"])
+    borders = tiled.groupBy("_key").agg(*ends).select("_key", *carried)
+    joined = tiled.select("*", *columns).join(borders, "_key")
     for name, border in names:
         joined = joined.withColumn(name, F.coalesce(name, border)).drop(border)
-    return joined.drop("_tile")
+    return joined.drop("_key")
 
 
 def running_total(
@@ -77,23 +81,23 @@ def running_total(
     """Running sum of ``value`` along ``order`` inside ``keys`` (keys may be empty)."""
     keys = list(keys)
     tiled = _tiled(df.withColumn("_value", value), keys, order, tile)
-    inside = Window.partitionBy(*keys, "_tile").orderBy(order)
+    inside = Window.partitionBy("_key").orderBy(order)
     end = Window.currentRow if inclusive else -1
     local = F.coalesce(
         F.sum("_value").over(inside.rowsBetween(Window.unboundedPreceding, end)), F.lit(0)
     )
     # one row per tile, so an unkeyed total still only gathers tile summaries
-    across = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    across = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        tiled.groupBy(*keys, "_tile")
+        tiled.groupBy("_key")
         .agg(F.sum("_value").alias("_total"))
-        .select(*keys, "_tile", F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_offset"))
+        .select("_key", F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_offset"))
     )
     return (
         tiled.withColumn("_local", local)
-        .join(offsets, [*keys, "_tile"])
+        .join(offsets, "_key")
         .withColumn(out, F.col("_local") + F.col("_offset"))
-        .drop("_local", "_offset", "_tile", "_value")
+        .drop("_local", "_offset", "_key", "_value")
     )
 
 

@@ -70,17 +70,27 @@ def resolve_duplicates(
 
 
 def fill_gaps(
-    sparse: DataFrame, blocks: DataFrame, standard_state: int = HOMOZYGOUS, tile: int = TILE
+    sparse: DataFrame,
+    blocks: DataFrame,
+    standard_state: int = HOMOZYGOUS,
+    tile: int = TILE,
+    diploids: DataFrame | None = None,
 ) -> DataFrame:
     """Runs covering every block: called sites plus gap runs in the standard state.
 
     Gaps before the first and after the last record of a block are padded up to the block's
     ``start`` and ``end``. Use state 2 as standard for inputs that list every callable site.
+
+    With ``diploids`` (diploid), every block of every one of them is covered, also where no record
+    is; without it, only pairs of a diploid and a block that have a record. A record of a block that
+    ``blocks`` lacks raises at run time.
     """
     keys = ["diploid", "block_id"]
     limits = blocks.select("block_id", F.col("start").alias("_lo"), F.col("end").alias("_hi"))
     points = sparse.select(*keys, "pos", "state")
-    linked = neighbours(points, keys, "pos", "prev", "next", tile).join(limits, "block_id")
+    message = F.concat(F.lit("record of an unknown block "), F.coalesce(F.col("block_id").cast("string"), F.lit("null")))
+    linked = neighbours(points, keys, "pos", "prev", "next", tile).join(limits, "block_id", "left")
+    linked = linked.withColumn("_lo", F.coalesce("_lo", F.raise_error(message).cast("long")))
 
     def run(first, last, state):
         return F.struct(first.alias("start_pos"), last.alias("end_pos"), state.cast("int").alias("state"))
@@ -89,11 +99,17 @@ def fill_gaps(
     pos = F.col("pos")
     before = run(F.coalesce(F.col("prev.pos") + 1, F.col("_lo")), pos - 1, fill)
     after = run(pos + 1, F.when(F.col("next").isNull(), F.col("_hi")), fill)
-    return (
+    runs = (
         linked.select(*keys, F.explode(F.array(before, run(pos, pos, F.col("state")), after)).alias("run"))
         .select(*keys, "run.*")
         .filter("start_pos <= end_pos")
     )
+    if diploids is None:
+        return runs
+    # the product is the size of the result: one run at least per diploid and block
+    every = diploids.select("diploid").distinct().crossJoin(limits)
+    bare = every.join(points.select(*keys).distinct(), keys, "left_anti").filter("_lo <= _hi")
+    return runs.unionByName(bare.select(*keys, run(F.col("_lo"), F.col("_hi"), fill).alias("run")).select(*keys, "run.*"))
 
 
 def mask_first_site(sites: DataFrame) -> DataFrame:

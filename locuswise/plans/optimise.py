@@ -76,31 +76,36 @@ def knot_sweep(
     knots_for: Callable[[DataFrame, int], DataFrame] = default_knots,
     size: int = FRAGMENT,
 ) -> DataFrame:
-    """Best candidate per knot count: (knots, candidate_id, loglik, free).
+    """Best candidate per knot count: (knots, candidate_id, loglik, free, reason).
 
-    Knot counts whose positions do not fit the grid are left out.
+    A knot count whose positions do not fit the grid has no candidate, and the reason says so.
     """
     score = Scorer.over(runs, blocks, size)
     candidates = settled(candidates, "candidates")
-    fits = []
+    fits, unfit = [], []
     for k in range(k_min, k_max + 1):
         span = (n + k) // (k + 1)
         if (n - 1) // span != k:
+            unfit.append((k, f"{k} knots do not divide {n} times evenly"))
             continue
         scored = score(smc_models(candidates, knots_for(candidates, k), n, k))
         fits.append(scored.withColumn("knots", F.lit(k)).withColumn("free", F.lit(k + 3)))
     if not fits:
         raise ValueError("no knot count fits the grid")
     every = reduce(lambda a, b: a.unionByName(b), fits)
-    return (
+    best = (
         every.groupBy("knots")
         .agg(F.max_by(F.struct("candidate_id", "loglik", "free"), "loglik").alias("b"))
-        .select("knots", "b.*")
+        .select("knots", "b.*", F.lit(None).cast("string").alias("reason"))
     )
+    if not unfit:
+        return best
+    rest = candidates.sparkSession.createDataFrame(unfit, "knots int, reason string")
+    return best.unionByName(rest, allowMissingColumns=True)
 
 
 def fit_knots(*args, **kwargs) -> DataFrame:
-    return best_model(knot_sweep(*args, **kwargs))
+    return best_model(knot_sweep(*args, **kwargs).filter("reason IS NULL").drop("reason"))
 
 
 def grid_around(
@@ -186,7 +191,9 @@ def perturbed(best: DataFrame, interval: float, pairs: bool = False) -> DataFram
             .select("params", "i", "j", "di", "dj")
         )
         moves = moves.unionByName(both)
-    code = ((F.col("i") + 1) * 1000 + F.col("j") + 1) * 9 + (F.col("di") + 1) * 3 + F.col("dj") + 1
+    # i and j run from -1, so the pair of them is below (parameters + 1) squared
+    pair = (F.col("i") + 1).cast("long") * (F.size("params") + 1) + F.col("j") + 1
+    code = pair * 9 + (F.col("di") + 1) * 3 + F.col("dj") + 1
     each = moves.withColumn("candidate_id", code.cast("long")).select(
         "candidate_id", "i", "j", "di", "dj", F.posexplode("params").alias("at", "p")
     )

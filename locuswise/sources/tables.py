@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from locuswise.sources.lines import numbered_lines
 
 BLOCK_FIELDS = 7
-# a block table has one row per chromosome or scaffold; beyond this no broadcast is forced
-BROADCAST_ROWS = 100_000
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -48,12 +46,23 @@ def write_blocks(blocks: DataFrame, path: str) -> None:
     )
 
 
-def with_block_ids(table: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Replace ``chrom`` by ``block_id``; rows of unknown chromosomes are dropped."""
+def with_block_ids(table: DataFrame, blocks: DataFrame, unknown: str = "error") -> DataFrame:
+    """Replace ``chrom`` by ``block_id``.
+
+    A row of a chromosome that ``blocks`` lacks raises at run time; ``unknown="drop"`` leaves such rows out and
+    ``unknown="null"`` keeps them without a block.
+    """
     ids = blocks.select("chrom", "block_id")
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    return table.join(ids, "chrom").drop("chrom")
+    if unknown == "drop":
+        return table.join(ids, "chrom").drop("chrom")
+    joined = table.join(ids, "chrom", "left")
+    if unknown == "error":
+        message = F.concat(F.lit("chromosome without a block: "), F.coalesce("chrom", F.lit("null")))
+        known = F.coalesce("block_id", F.raise_error(message).cast(blocks.schema["block_id"].dataType))
+        joined = joined.withColumn("block_id", known)
+    elif unknown != "null":
+        raise ValueError(f"unknown rule {unknown!r} for chromosomes without a block")
+    return joined.drop("chrom")
 
 
 def write_fragments(fragments: DataFrame, path: str) -> None:

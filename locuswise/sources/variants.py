@@ -7,27 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locuswise.functions.lineage import settled
+
 FIXED_WITH_FORMAT, FIXED_WITHOUT = 9, 8
-BROADCAST_NAMES = 1_000_000
 
 
 def _file_key(column):
     return F.regexp_replace(column, "^[a-z0-9]+:/+", "/")
 
 
-def _headers(spark: SparkSession, path) -> tuple[DataFrame, bool]:
-    """Sample names per file. Reading stops at each file's header line."""
-    rows, names = [], 0
-    for file in spark.read.text(path).inputFiles():
-        head = spark.read.text(file).filter(F.col("value").startswith("#CHROM")).first()
-        if head is None:
-            raise ValueError(f"no #CHROM header in {file}")
-        cols = head["value"].rstrip("\r").split("\t")
-        fixed = FIXED_WITH_FORMAT if "FORMAT" in cols else FIXED_WITHOUT
-        rows.append((file, fixed, cols[fixed:]))
-        names += len(cols) - fixed
-    table = spark.createDataFrame(rows, "file string, fixed int, samples array<string>")
-    return table.withColumn("file", _file_key(F.col("file"))), names <= BROADCAST_NAMES
+def _headers(spark: SparkSession, path) -> DataFrame:
+    """(file, fixed, samples) of the first header line of each file, in one job over all files."""
+    lines = spark.read.text(path).select("value", _file_key(F.col("_metadata.file_path")).alias("file"))
+    cols = F.split(F.regexp_replace("value", "\r$", ""), "\t")
+    heads = lines.filter(F.col("value").startswith("#CHROM")).groupBy("file").agg(F.min("value").alias("value"))
+    fixed = F.when(F.array_contains(cols, "FORMAT"), FIXED_WITH_FORMAT).otherwise(FIXED_WITHOUT)
+    return heads.select("file", fixed.alias("fixed"), F.slice(cols, fixed + 1, F.size(cols)).alias("samples"))
 
 
 def read_variants(
@@ -35,9 +30,13 @@ def read_variants(
 ) -> DataFrame:
     """(chrom, pos, filter, sample, gt), one row per site and sample. Any codec Spark reads.
 
-    A gzip file is read by one task and then spread; block-compressed text splits by itself.
+    A gzip file is read by one task; block-compressed text splits by itself. A file without a header line is an error.
     """
-    headers, small = _headers(spark, path)
+    headers = settled(_headers(spark, path), "headers")
+    files = spark.createDataFrame([(f,) for f in spark.read.text(path).inputFiles()], "file string")
+    bare = files.select(_file_key(F.col("file")).alias("file")).join(headers, "file", "left_anti").first()
+    if bare is not None:
+        raise ValueError(f"no #CHROM header in {bare['file']}")
     lines = spark.read.text(path).select("value", _file_key(F.col("_metadata.file_path")).alias("file"))
     cols = F.split(F.rtrim("value"), "\t")
     sites = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).select(
@@ -45,7 +44,7 @@ def read_variants(
     )
     if chroms is not None:
         sites = sites.filter(F.col("cols")[0].isin(list(chroms)))
-    joined = sites.join(F.broadcast(headers) if small else headers, "file")
+    joined = sites.join(headers, "file")
     calls = F.arrays_zip(
         F.col("samples").alias("sample"),
         F.slice("cols", F.col("fixed") + 1, F.size("samples")).alias("gt"),

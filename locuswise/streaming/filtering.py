@@ -20,7 +20,8 @@ def stream_filter(sites: DataFrame, model: Model) -> DataFrame:
 
     ``sites(diploid, block_id, pos, state, seq)``. The distribution and the last position are kept
     between micro-batches. Positions skipped by the stream count as missing. A row at or before the
-    last position of its key is late and dropped; of repeats inside a batch the lowest ``seq`` counts.
+    last position of its key is late: it comes out with a null ``dist`` and ``loglik`` and changes nothing.
+    Of repeats inside a batch the lowest ``seq`` counts.
     """
     size = model.states
 
@@ -33,6 +34,11 @@ def stream_filter(sites: DataFrame, model: Model) -> DataFrame:
             vector, loglik, last = None, 0.0, None
         rows = pd.concat(list(frames)).sort_values(["pos", "seq"]).drop_duplicates("pos")
         if last is not None:
+            late = rows[rows["pos"] <= last]
+            if len(late):
+                yield pd.DataFrame(
+                    {"diploid": key[0], "block_id": key[1], "pos": late["pos"].to_numpy(), "dist": None, "loglik": None}
+                ).astype({"loglik": "float64"})
             rows = rows[rows["pos"] > last]
         if not len(rows):
             return

@@ -159,3 +159,11 @@ def test_matrix_distance(spark):
     each = [sum((math.log(p) - math.log(goal[i, j])) ** 2 for m2, i, j, p in cells if m2 == m and (i, j) in goal) for m in range(3)]
     for how, want in (("sum", sum(each)), ("mean", sum(each) / 3), ("median", sorted(each)[1]), ("max", max(each)), ("min", min(each))):
         assert params.matrix_distance(mats, target, how).first().dist == pytest.approx(want)
+
+
+def test_moves_of_many_parameters_have_names_of_their_own(spark):
+    from locuswise.plans.optimise import perturbed
+
+    best = spark.createDataFrame([(f"p{i:04d}", 1.0) for i in range(1200)], "name string, value double")
+    moves = perturbed(best, 1e-4).select("candidate_id", "i", "di").distinct()
+    assert moves.select("candidate_id").distinct().count() == moves.count() == 2401

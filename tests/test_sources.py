@@ -65,6 +65,15 @@ def test_variants_without_format_and_without_header(spark, put):
         variants.read_variants(spark, put("e.vcf", "chr1\t1\n"))
 
 
+def test_rows_of_unknown_chromosomes_are_not_lost(spark):
+    known = spark.createDataFrame([("chr1", 0)], "chrom string, block_id int")
+    data = spark.createDataFrame([("chr1", 1), ("chrX", 2), (None, 3)], "chrom string, pos long")
+    with pytest.raises(PySparkException, match="without a block"):
+        tables.with_block_ids(data, known).collect()
+    assert tables.with_block_ids(data, known, unknown="null").count() == 3
+    assert tables.with_block_ids(data, known, unknown="drop").count() == 1
+
+
 def test_repeated_positions(spark):
     data = spark.createDataFrame([(1, 0, 5, "a", 1), (1, 0, 5, "b", 0), (1, 0, 6, "c", 2)], "diploid long, block_id int, pos long, gt string, seq int")
     assert rows(calling.duplicate_positions(data)) == [(1, 0, 5, 2)]

@@ -142,3 +142,25 @@ def test_first_site_of_runs_and_sites(sparse, blocks):
     from_sites = {(r.diploid, r.block_id, r.pos): r.state for r in calling.mask_first_site(runs.expand_runs(full)).collect()}
     assert from_runs == from_sites
     assert all(from_runs[k] == 2 for k in from_runs if k[2] == 1)
+
+
+def test_null_keys_and_positions_stay(spark):
+    data = [(None, 3, 1), (None, 1, 2), (1, None, 3), (1, 9, 4), (1, 2, 5), (2, None, 6)]
+    df = spark.createDataFrame(data, "k long, pos long, v long")
+    window = Window.partitionBy("k").orderBy("pos")
+    got = tiling.running_total(df, ["k"], "pos", F.col("v"), "total", tile=4)
+    plain = df.withColumn("total", F.sum("v").over(window)).select("k", "pos", "v", "total")
+    assert sorted(map(str, got.select("k", "pos", "v", "total").collect())) == sorted(map(str, plain.collect()))
+    linked = tiling.neighbours(df, ["k"], "pos", "prev", "next", 4).select("k", "pos", "v", "prev.v", "next.v")
+    plain = df.select("k", "pos", "v", F.lag("v").over(window), F.lead("v").over(window))
+    assert sorted(str(tuple(r)) for r in linked.collect()) == sorted(str(tuple(r)) for r in plain.collect())
+
+
+def test_fill_gaps_covers_blocks_without_records_and_rejects_unknown_ones(spark, blocks):
+    sparse = spark.createDataFrame([(1, 0, 5, 1)], "diploid long, block_id int, pos long, state int")
+    diploids = spark.createDataFrame([(1,), (2,)], "diploid long")
+    full = rows(calling.fill_gaps(sparse, blocks, diploids=diploids))
+    assert {(d, b) for d, b, *_ in full} == {(1, 0), (1, 1), (2, 0), (2, 1)}
+    assert sum(end - start + 1 for _, _, start, end, _ in full) == 400
+    with pytest.raises(Exception, match="unknown block"):
+        calling.fill_gaps(sparse.withColumn("block_id", F.lit(9)), blocks).collect()
