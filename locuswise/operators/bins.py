@@ -95,9 +95,12 @@ def bin_states(
 ) -> DataFrame:
     """Missing, heterozygous and total sites per bin, straight from runs (or sites).
 
-    A run contributes its overlap with each bin, so dense sites are never produced.
+    A run contributes its overlap with each bin, so dense sites are never produced. Sizes whose common
+    step is far below the smallest of them are binned one by one.
     """
     step = math.gcd(*[int(s) for s in sizes])
+    if len(sizes) > 1 and 4 * step < min(sizes):
+        return reduce(lambda a, b: a.unionByName(b), [bin_states(states, blocks, [s]) for s in sizes])
     keys = ["block_id", "diploid"]
     clipped = (
         as_runs(states)

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locuswise.functions.lineage import settled
 from locuswise.operators import joint
 from locuswise.operators.bins import average_landscape
 from locuswise.operators.decoding import StateSpace, decode_landscape
@@ -57,17 +58,22 @@ def decode_dataset(
 ) -> DataFrame:
     """All landscapes of a sample: each diploid's, ``sample_mean`` and ``joint_decode``.
 
-    (source, diploid, block_id, pos, metric, value). The three outputs share one decoding: pass
-    ``decoded`` as read back from :func:`locuswise.sources.landscapes.write_landscape` so that it
-    runs once; otherwise it is repeated for each.
+    (source, diploid, block_id, pos, metric, value). The three outputs share one decoding: ``decoded`` as
+    read back from :func:`locuswise.sources.landscapes.write_landscape`, or else one that is written here.
+    ``rate`` theta is seen through the observed states, so its symbols pair decoded time and state; any other
+    rate through the changes of decoded time.
     """
     wide = decoded
     if wide is None:
-        wide = decode_diploids(runs, blocks, model, space, scales, bases, mean_times, size)
+        wide = settled(decode_diploids(runs, blocks, model, space, scales, bases, mean_times, size), "decoded")
     metrics = [*scales, "tmrca"]
     each = long_landscape(wide, metrics)
     mean = average_landscape(each.filter(F.col("metric") != "tmrca"))
-    symbols = joint.transition_symbols(wide, space.n_time)
+    if rate == "theta":
+        sites = runs.select("diploid", "block_id", F.explode(F.sequence("start_pos", "end_pos")).alias("pos"), "state")
+        symbols = joint.emission_symbols(wide, sites)
+    else:
+        symbols = joint.transition_symbols(wide, space.n_time)
     factors = joint.site_factors(symbols, symbol_emission, space.size(rate))
     packed = joint.pack_factors(factors, blocks, size)
     together = joint.joint_decode(packed, category_trans, scales[rate], bases.get(rate, 1.0))

@@ -11,12 +11,15 @@ from locuswise.operators.blocks import concat_fragments
 from locuswise.sources.lines import numbered_lines, path_number
 
 FILE_SITES = 10_000_000
+#: Tasks that the diploids of one position range are spread over.
+DIPLOID_BUCKETS = 32
 
 
 def write_landscape(landscape: DataFrame, path: str) -> None:
-    """Parquet by metric and block; a block is spread over files of bounded position range."""
+    """Parquet by metric and block; a block is spread over files of bounded position range and part of the diploids."""
+    bucket = F.pmod(F.xxhash64("diploid"), F.lit(DIPLOID_BUCKETS))
     (
-        landscape.repartition("metric", "block_id", F.floor(F.col("pos") / FILE_SITES))
+        landscape.repartition("metric", "block_id", F.floor(F.col("pos") / FILE_SITES), bucket)
         .sortWithinPartitions("metric", "block_id", "diploid", "pos")
         .write.partitionBy("metric", "block_id")
         .parquet(path)

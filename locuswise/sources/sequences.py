@@ -13,10 +13,15 @@ CHUNK = 1 << 16
 
 
 def _records(spark: SparkSession, path) -> DataFrame:
-    """(file, record, name, piece, text): records in file order, cut into pieces of bounded length."""
-    raw = numbered_lines(spark, path, keep=F.trim("value") != "", separator=">")
-    head = F.trim(F.split("value", "\n", 2)[0])
-    body = F.regexp_replace(F.split("value", "\n", 2)[1], r"\s", "")
+    """(file, record, name, piece, text): records in file order, cut into pieces of bounded length.
+
+    A record begins with ``>`` at the start of a line; the sign may stand in a name as well. A record without
+    symbols keeps its number and has no pieces.
+    """
+    raw = numbered_lines(spark, path, keep=F.trim("value") != "", separator="\n>")
+    parts = F.split(F.regexp_replace("value", r"\A\s*>", ""), "\n", 2)
+    head = F.trim(F.regexp_replace(parts[0], "\r$", ""))
+    body = F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "")
     return raw.select(
         "file",
         F.col("line").alias("record"),

@@ -167,3 +167,13 @@ def test_moves_of_many_parameters_have_names_of_their_own(spark):
     best = spark.createDataFrame([(f"p{i:04d}", 1.0) for i in range(1200)], "name string, value double")
     moves = perturbed(best, 1e-4).select("candidate_id", "i", "di").distinct()
     assert moves.select("candidate_id").distinct().count() == moves.count() == 2401
+
+
+def test_bins_of_sizes_without_a_common_step(spark):
+    from locuswise.operators import bins
+
+    table = spark.createDataFrame([(0, "chr1", 1, 100, 1, 100)], "block_id int, chrom string, start long, end long, lower_cut long, upper_cut long")
+    states = spark.createDataFrame([(1, 0, 1, 40, 0), (1, 0, 41, 55, 2), (1, 0, 56, 100, 1)], "diploid long, block_id int, start_pos long, end_pos long, state int")
+    together = bins.bin_states(states, table, [17, 31])
+    apart = bins.bin_states(states, table, [17]).unionByName(bins.bin_states(states, table, [31]))
+    assert sorted(map(str, together.collect())) == sorted(map(str, apart.collect())) and together.count() > 0

@@ -109,6 +109,11 @@ def test_haplotype_pairs(spark, put, monkeypatch):
             calling.haplotype_pairs(bad)
 
 
+def test_names_with_the_record_sign_and_records_without_symbols(spark, put):
+    found = rows(sequences.read_haplotypes(spark, put("g.fa", ">h1 note a>b\nAC\n>h2\n>h3\r\nGT\r\n")))
+    assert found == [(0, "h1 note a>b", 1, "A"), (0, "h1 note a>b", 2, "C"), (2, "h3", 1, "G"), (2, "h3", 2, "T")]
+
+
 def test_snp_matrix(spark, put):
     out = sequences.read_snp_matrix(spark, put("s.txt", "a b c\n0 1 2\n110\n"))
     assert rows(out.select("hap", "pos", "base")) == [(0, 1, "0"), (0, 2, "1"), (1, 1, "1"), (1, 2, "1"), (2, 1, "2"), (2, 2, "0")]
