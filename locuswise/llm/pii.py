@@ -31,9 +31,9 @@ _DIGIT = re.compile(r"[0-9]")
 _SIGN = re.compile(r"[0-9@]|[\[({]\s?at\s?[\])}]", re.IGNORECASE)
 #: A token that may be personal data: a spelled-out address, a grouped number, or a run with a digit or "@".
 _TOKEN = re.compile(
-    r"[A-Za-z0-9._%+-]+\s?[\[({]\s?at\s?[\])}]\s?[A-Za-z0-9-]+(?:(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)[A-Za-z0-9-]+)+"
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?[\[({]\s?at\s?[\])}]\s?[A-Za-z0-9-]+(?:(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)[A-Za-z0-9-]+)+"
     r"|(?<![\w.+-])\(?[0-9]{2,5}\)?[ .-]?[0-9]{3,4}[ .-][0-9]{4,5}(?![\w-])"
-    r"|\S*?[0-9@]\S*",
+    r"|(?<!\S)[^\s0-9@]*+[0-9@]\S*",
     re.IGNORECASE,
 )
 _EDGES = ".,;:!?\"'()[]{}<>|"
