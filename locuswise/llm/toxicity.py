@@ -5,25 +5,27 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locuswise.functions.lineage import settled
+from locuswise.llm.common import boxed
 
 THRESHOLD = 0.3
 #: Rows with crc32(doc_id as text) mod FOLDS = HELD_OUT never train.
 FOLDS, HELD_OUT = 4, 2
 #: Labelled rows that train the word model, at most; taken in the order of a hash of their doc_id.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 6_000
+#: Labelled documents that must have a feature for it to tell anything.
+SEEN = 3
 #: Buckets of the counts of 2, 3 and 4 letters.
-BUCKETS = 1 << 17
+BUCKET_BITS = 19
+BUCKETS = 1 << BUCKET_BITS
 #: Letters that a sign of "leetspeak" may stand for.
 LEET = {
     "0": "o",
@@ -49,12 +51,18 @@ LEET = {
 #: Signs that may stand between letters without meaning anything, and those stripped from a word's ends.
 FILLERS = "*.-_~^'`\"#%&=/\\,:;·•"
 EDGES = ".,;:!?\"'()[]{}|*#%&$~^`=/\\_-<>+"
-#: Costs of the channel in nats: a sign read as a letter, a filler left out, a repeated letter left out.
-COST_LEET, COST_FILLER, COST_REPEAT = 0.7, 0.3, 0.4
+#: Signs that may hide a vowel ("st*pid").
+MASKS, VOWELS = "*#_", "aeiou"
+#: Costs of the channel in nats: a sign read as a letter or as a hidden one, a filler left out, a repeated letter left out.
+COST_LEET, COST_MASK, COST_FILLER, COST_REPEAT = 0.7, 2.5, 0.3, 0.4
 #: Costs against the normal course: a plain letter left out is not allowed, a digit kept as it is is dear.
 COST_KEPT = 9.0
 SPACED = re.compile(r"(?<!\S)\W?\w(?:[^\w\s]*[ \t]+[^\w\s]*[\w@$!]){2,}[^\w\s]*(?!\S)")
 ODD = re.compile(r"[^\W\d_].*[\W\d_]|[\W\d_].*[^\W\d_]|(.)\1\1")
+#: Two single letters in a row, as every run of three has them; letters in runs; runs of a sign at an end.
+SINGLES = re.compile(r"\s\W?\w\W*\s\W*[\w@$!]\W*(?:\s|\Z)")
+THRICE = re.compile(r"([^\W\d_])\1\1")
+RUNS = re.compile(r"^([^\w])\1+|([^\w])\2+$")
 BATCH_ROWS = 512
 
 _LETTER = np.full(256, 32, np.uint8)
@@ -65,24 +73,23 @@ _MULTIPLIERS = {2: 0x9E3779B1, 3: 0x85EBCA6B, 4: 0xC2B2AE35}
 
 
 def _gram_ids(raw: np.ndarray, n: int) -> np.ndarray:
-    value = np.zeros(len(raw) - n + 1, np.uint64)
-    for k in range(n):
-        value = value * np.uint64(257) + raw[k : len(raw) - n + 1 + k]
-    return ((value * np.uint64(_MULTIPLIERS[n])) >> np.uint64(13)) % np.uint64(BUCKETS)
+    value = raw[: len(raw) - n + 1]
+    for k in range(1, n):
+        value = value * np.uint32(257) + raw[k : len(raw) - n + 1 + k]
+    return (value * np.uint32(_MULTIPLIERS[n])) >> np.uint32(32 - BUCKET_BITS)
 
 
 def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = {n: np.zeros(BUCKETS, np.int64) for n in (2, 3, 4)}
     for batch in batches:
-        for text in batch["text"]:
-            raw = b" " + (text.as_py() or "").encode() + b" "
-            for start in range(0, len(raw), 1 << 20):
-                part = _LETTER[np.frombuffer(raw[start : start + (1 << 20) + 3], np.uint8)]
-                for n, table in counts.items():
-                    if len(part) >= n:
-                        ids = _gram_ids(part, n)
-                        # the last window of a part may overlap the next part by less than n letters
-                        table += np.bincount(ids[: (1 << 20)].astype(np.int64), minlength=BUCKETS)
+        # a whole batch at a time, texts apart by a blank
+        raw = b" " + b" ".join((t or "").encode() for t in batch["text"].to_pylist()) + b" "
+        for start in range(0, len(raw), 1 << 20):
+            part = _LETTER[np.frombuffer(raw[start : start + (1 << 20) + 3], np.uint8)].astype(np.uint32)
+            for n, table in counts.items():
+                if len(part) >= n:
+                    # windows that begin in the next part are counted there
+                    table += np.bincount(_gram_ids(part, n)[: 1 << 20], minlength=BUCKETS)
     for n, table in counts.items():
         at = np.flatnonzero(table)
         yield pa.record_batch({"n": pa.array(np.full(len(at), n, np.int32)), "bucket": pa.array(at), "seen": pa.array(table[at])})
@@ -101,7 +108,7 @@ class Letters:
         for b in gram:
             value = value * 257 + b
         n = len(gram)
-        return float(self.counts[n][((value * _MULTIPLIERS[n] & (2**64 - 1)) >> 13) % BUCKETS])
+        return float(self.counts[n][(value * _MULTIPLIERS[n] & (2**32 - 1)) >> (32 - BUCKET_BITS)])
 
     def cost(self, before: bytes, letter: bytes) -> float:
         """Nats of ``letter`` (one character) after the last three bytes ``before``."""
@@ -134,12 +141,13 @@ def restore(word: str, letters: Letters) -> str:
     trail: list[dict] = []
     for sign in word:
         options: list[tuple[float, str]] = []
-        if sign.isalpha():
+        if sign.isalpha() or sign == " ":
             options.append((0.0, sign))
         else:
             options += [(COST_LEET, x) for x in LEET.get(sign, "")]
+            options += [(COST_MASK, x) for x in VOWELS if sign in MASKS]
             options.append((COST_KEPT, sign))
-        fillers = sign in FILLERS or sign in "!|+("
+        fillers = sign in FILLERS or sign in "!|+( "
         step: dict = {}
         for state, (cost, _) in paths.items():
             before, last = state
@@ -163,35 +171,58 @@ def restore(word: str, letters: Letters) -> str:
     return "".join(reversed(out))
 
 
+def _plain(token: str, bare: str) -> bool:
+    """A token whose only reading is ``bare``: letters alone, with no sign at its ends that may be a letter."""
+    return bare.isalpha() and (len(bare) == len(token) or (token[0] not in LEET and token[-1] not in LEET))
+
+
+def readings(token: str, letters: Letters) -> tuple[str, ...]:
+    """What a token may say: itself without the signs at its ends, what it restores to, the words of letters set apart."""
+    if " " in token:  # letters apart: a blank is left out, or ends a word
+        whole = token.replace(" ", "").strip(EDGES)
+        # a word of one letter may stand before or after
+        parts = (whole, whole[1:], whole[:-1], whole[1:-1]) if len(whole) > 3 else (whole,)
+        return tuple(dict.fromkeys((*parts, *restore(token, letters).split())))
+    bare = token.strip(EDGES)
+    # signs in a run at an end ("word$$$") decorate; a single one may be a letter
+    inner = RUNS.sub("", token.strip(".,;:?\"'()[]{}"))
+    found = [bare]
+    if ODD.search(inner):
+        found.append(restore(inner, letters))
+    if bare != inner and ODD.search(bare):
+        found.append(restore(bare, letters))
+    return tuple(dict.fromkeys(w for w in found if w))
+
+
+def tokens_of(low: str) -> set[str]:
+    """The tokens of a lower-cased text, and each run of single letters (apart by a blank) as one."""
+    found = set(low.split())
+    if SINGLES.search(low):
+        found.update(" ".join(run[0].split()) for run in SPACED.finditer(low))
+    return found
+
+
 def restored_words(text: str, letters: Letters, memo: dict[str, tuple[str, ...]]) -> set[str]:
     """The words of a text, lower-cased, with what odd ones and runs of single letters restore to."""
     low = text.lower()
-    found = set(low.split())
-    for run in SPACED.finditer(low):
-        found.add("".join(run[0].split()))
+    runs = THRICE.search(low) is not None
     words: set[str] = set()
-    for token in found:
-        reading = memo.get(token)
-        if reading is None:
-            bare = token.strip(EDGES)
-            inner = token.strip(".,;:?\"'()[]{}")
-            reading = (bare,) if bare else ()
-            if ODD.search(inner):
-                reading += (restore(inner, letters), restore(bare, letters) if bare != inner and bare else "")
-            reading = tuple(dict.fromkeys(r for r in reading if r))
-            if len(memo) > 300_000:
+    for token in tokens_of(low):
+        bare = token.strip(EDGES)
+        if _plain(token, bare) and not (runs and THRICE.search(bare)):
+            words.add(bare)
+            continue
+        if token not in memo:
+            if len(memo) > 200_000:
                 memo.clear()
-            memo[token] = reading
-        words.update(reading)
+            memo[token] = readings(token, letters)
+        words.update(memo[token])
     return words
 
 
 def features(word: str) -> list[int]:
-    """Hashes of a word, its first 4 to 6 letters and its last 5."""
-    parts = ["=" + word]
-    if len(word) > 4:
-        parts += ["^" + word[:n] for n in (4, 5, 6) if n < len(word)]
-        parts.append("$" + word[-5:])
+    """Hashes of a word and of its first 6, 5 and 4 letters, from the most to the least specific."""
+    parts = ["=" + word, *("^" + word[:n] for n in (6, 5, 4) if n < len(word))]
     return [zlib.crc32(p.encode()) for p in parts]
 
 
@@ -200,12 +231,15 @@ class Model(NamedTuple):
 
     letters: dict[int, np.ndarray]
     weights: dict[int, float]
+    #: Last features of the words that some feature speaks against.
+    stems: frozenset[int]
     line: tuple[float, float, float]
 
 
 def _evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """Log-odds of a feature by the documents that have it, drawn towards none for rare ones."""
-    return np.log((toxic + 1.0) / (n_toxic + 2.0)) - np.log((clean + 1.0) / (n_clean + 2.0)) - 3.0 / (1.0 + toxic)
+    """Log-odds of a feature by the documents that have it, drawn towards none for rare ones; NaN for those too rare to tell."""
+    odds = np.log((toxic + 1.0) / (n_toxic + 2.0)) - np.log((clean + 1.0) / (n_clean + 2.0)) - 4.0 / (1.0 + toxic)
+    return np.where(toxic + clean >= SEEN, odds, np.nan)
 
 
 def _summary(scores: list[float]) -> tuple[float, float]:
@@ -213,31 +247,49 @@ def _summary(scores: list[float]) -> tuple[float, float]:
     return max(top[0], 0.0), max(top[1], 0.0)
 
 
-def fit_words(texts: list[str], labels: np.ndarray, letters: Letters) -> tuple[dict[int, float], tuple[float, float, float]]:
+def _feature_rows(counts: dict[int, np.ndarray]):
+    """Per labelled row: the features of its restored words laid end to end, and how many each word has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, memo = Letters(counts), {}
+        for batch in batches:
+            found = [[features(w) for w in restored_words(t.as_py() or "", letters, memo)] for t in batch["text"]]
+            yield batch.select(["doc_id", "toxic"]).append_column(
+                "features", pa.array([np.array([f for w in one for f in w], "<u4").tobytes() for one in found], pa.binary())
+            ).append_column("sizes", pa.array([np.array([len(w) for w in one], "<u4").tobytes() for one in found], pa.binary()))
+
+    return run
+
+
+def fit_words(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[dict[int, float], frozenset[int], tuple[float, float, float]]:
     """Word weights from document frequencies; the line by Newton steps on scores that leave each document out."""
-    memo: dict = {}
-    sets = [[features(w) for w in restored_words(t, letters, memo)] for t in texts]
-    counts = (Counter(), Counter())
-    for one, label in zip(sets, labels, strict=True):
-        counts[label].update({f for word in one for f in word})
-    n = (int((labels == 0).sum()), int((labels == 1).sum()))
-    rows = []
-    for one, label in zip(sets, labels, strict=True):
-        flat = np.array([f for word in one for f in word], dtype=np.int64)
-        ends = np.cumsum([len(word) for word in one])
+    own = [np.unique(flat) for flat, _ in rows]
+    names, inverse = np.unique(np.concatenate(own), return_inverse=True)
+    owner = np.repeat(labels, [len(o) for o in own])
+    counts = [np.bincount(inverse, weights=owner == y, minlength=len(names)) for y in (0, 1)]
+    n = [int((labels == y).sum()) for y in (0, 1)]
+    summaries = []
+    for (flat, sizes), label in zip(rows, labels, strict=True):
         if not len(flat):
-            rows.append((0.0, 0.0))
+            summaries.append((0.0, 0.0))
             continue
-        toxic = np.array([counts[1][f] for f in flat]) - label
-        clean = np.array([counts[0][f] for f in flat]) - (1 - label)
-        weight = _evidence(toxic, np.maximum(clean, 0), n[1], n[0])
-        rows.append(_summary(list(np.maximum.reduceat(weight, np.concatenate([[0], ends[:-1]])))))
-    weights = {}
-    for f, toxic in counts[1].items():
-        w = float(_evidence(np.array(toxic), np.array(counts[0][f]), n[1], n[0]))
-        if toxic > 1 and w > 0.5:
-            weights[f] = w
-    x = np.column_stack([np.array(rows or np.zeros((0, 2))).reshape(-1, 2), np.ones(len(rows))])
+        at = np.searchsorted(names, flat)
+        weight = _evidence(counts[1][at] - label, counts[0][at] - (1 - label), n[1], n[0])
+        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        # each word is judged by its most specific feature that enough documents have
+        first = np.minimum.reduceat(np.where(np.isnan(weight), len(weight), np.arange(len(weight))), begins)
+        summaries.append(_summary(list(np.append(weight, 0.0)[first])))
+    weight = _evidence(counts[1], counts[0], n[1], n[0])
+    kept = ~np.isnan(weight)
+    bad = np.where(kept, weight, 0.0) > 0
+    stems: set[int] = set()
+    for flat, sizes in rows:
+        if len(flat):
+            ends = np.cumsum(sizes).astype(np.int64)
+            speaks = np.logical_or.reduceat(bad[np.searchsorted(names, flat)], np.concatenate([[0], ends[:-1]]))
+            stems.update(flat[ends - 1][speaks].tolist())
+    weights = dict(zip(names[kept].tolist(), weight[kept].tolist(), strict=True))
+    x = np.column_stack([np.array(summaries), np.ones(len(summaries))])
     line = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ line, -30, 30)))
@@ -247,7 +299,7 @@ def fit_words(texts: list[str], labels: np.ndarray, letters: Letters) -> tuple[d
         line += np.clip(move, -2, 2)
         if np.abs(move).max() < 1e-6:
             break
-    return weights, tuple(line)
+    return weights, frozenset(stems), tuple(line)
 
 
 def fold(doc_id) -> F.Column:
@@ -262,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     grams = docs.select("text").mapInArrow(_letter_counts, "n int, bucket long, seen long").groupBy("n", "bucket").agg(F.sum("seen").alias("seen"))
-    counts = {n: np.zeros(BUCKETS, np.int64) for n in (2, 3, 4)}
+    counts = {n: np.zeros(BUCKETS, np.float32) for n in (2, 3, 4)}
     table = grams.toPandas()  # 3 x BUCKETS rows at most
     for n, part in table.groupby("n"):
         counts[int(n)][part["bucket"].to_numpy()] = part["seen"].to_numpy()
@@ -271,36 +323,38 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
         usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     )
     chosen = settled(chosen, "labelled")
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    rows: pd.DataFrame = sample.dropDuplicates(["doc_id"]).toPandas()  # train_rows at most
+    sample = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").groupBy("doc_id")
+    sample = sample.agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    rows = sample.mapInArrow(_feature_rows(counts), "doc_id long, toxic int, features binary, sizes binary").toPandas()  # train_rows at most
     rows = rows.sort_values("doc_id")
     target = (rows["toxic"].to_numpy() > 0).astype(int)
     if len(set(target)) < 2:
         share = float(target.mean()) if len(target) else 0.0
-        return Model(counts, {}, (0.0, 0.0, math.log((share + 1e-6) / (1 - share + 1e-6))))
-    weights, line = fit_words([t or "" for t in rows["text"]], target, Letters(counts))
-    return Model(counts, weights, line)
+        return Model(counts, {}, frozenset(), (0.0, 0.0, math.log((share + 1e-6) / (1 - share + 1e-6))))
+    sparse = [tuple(np.frombuffer(x, "<u4") for x in pair) for pair in zip(rows["features"], rows["sizes"], strict=True)]
+    return Model(counts, *fit_words(sparse, target))
 
 
 def _scored(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters(model.letters)
-        readings: dict = {}
-        known: dict[str, float] = {}
+        memo: dict = {}
+        stems: dict[str, bool] = {}
         a, b, c = model.line
         for batch in batches:
             out = []
             for text in batch["text"]:
-                words = restored_words(text.as_py() or "", letters, readings)
                 scores = []
-                for word in words:
-                    s = known.get(word)
-                    if s is None:
-                        if len(known) > 300_000:
-                            known.clear()
-                        s = known[word] = max(map(model.weights.get, features(word), (0.0,) * 5))
-                    if s:
-                        scores.append(s)
+                for word in restored_words(text.as_py() or "", letters, memo):
+                    stem = word[:4]
+                    hot = stems.get(stem) if len(word) > 4 else None
+                    if hot is None:
+                        # a word can only count if its first four letters, or the whole of a short one, do
+                        hot = features(word)[-1] in model.stems
+                        if len(word) > 4:
+                            stems[stem] = hot
+                    if hot:
+                        scores.append(next((w for w in map(model.weights.get, features(word)) if w is not None), 0.0))
                 top, second = _summary(scores)
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, a * top + b * second + c)))))
             yield batch.drop_columns(["text"]).append_column("score", pa.array(out, pa.float64()))
@@ -323,9 +377,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that score below ``threshold``, with all columns of ``docs``."""
     model = train(docs, labels)
-    flag, body = "_toxic_score", F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    tagged = docs.select(body.alias("_doc"), "text")
-    return scored(tagged, model).withColumnRenamed("score", flag).filter(F.col(flag) < threshold).select("_doc.*")
+    rated = scored(boxed(docs).select("_doc", "text"), model)
+    return rated.filter(F.col("score") < threshold).select("_doc.*")
 
 
 def query(spark, sf_dir):
