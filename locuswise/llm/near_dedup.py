@@ -25,6 +25,11 @@ SIMILARITY = 75
 AGREEING = 32
 #: Rows of an Arrow batch of whole texts.
 BATCH_ROWS = 512
+#: Counters that say how common a shingle is: a table of one size for every input, used for an order only.
+COUNTERS_LOG2 = 18
+#: Rows of a block of a posting, and the ranks at which the next tier of pairs begins.
+BLOCK = 512
+TIERS = (4, 64)
 
 SIGNED = "doc_id long, _row long, n_shingles long, set_key binary, signature binary"
 
@@ -81,14 +86,16 @@ def _star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["pivot", "node"]).rename_columns(["a", "b"]).filter(pa.array(near))
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
+def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs (a, b) of nodes that may be near copies, from ``nodes`` (node, n_shingles, signature).
 
     A tree orders all signatures from another value on. Rows that share the first values of a tree form a
     region. A region of at most ``SMALL`` rows gives all its pairs. A larger one gives the pairs of all its rows
     with one pivot, the row that lies in the most crowded regions over all trees (of copies of one text, the
     text itself), and is then looked at again at more values, until it falls apart into small ones. No region is
-    cut off: each row of it meets at least the pivot, at every depth.
+    cut off: each row of it meets at least the pivot, at every depth. What a large region leaves unsaid is for
+    ``rest_pairs``: the large regions of the first depth (region, node) come second, and a short form of all
+    signatures (node, n_shingles, low) third.
     """
     doubled = F.concat("signature", "signature")
     low = F.expr("array_join(transform(sequence(0, %d), i -> hex(substring(signature, 4 * i + 1, 1))), '')" % (shingles.VALUES - 1))
@@ -115,6 +122,8 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
         )
         found.append(settled(pairs, f"pairs-{depth}"))
         large = shared.filter(F.col("members") > SMALL)
+        if level == 0:
+            crowded = large.select("region", "node")
         if large.isEmpty():
             break
         pivots = settled(
@@ -139,7 +148,131 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), crowded, sketch
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << COUNTERS_LOG2, np.int64)
+    for batch in batches:
+        for values in shingles.distinct_sets(*shingles.shingle_hashes(batch["text"])):
+            np.add.at(counts, (values >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64), 1)
+    used = np.flatnonzero(counts)
+    yield pa.record_batch({"counter": pa.array(used, pa.int64()), "n": pa.array(counts[used], pa.int64())})
+
+
+def _rare_shingles(counts):
+    """Per text its rarest shingles, so many that two sets at ``SIMILARITY`` percent have one of them in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rare = []
+            for values in shingles.distinct_sets(*shingles.shingle_hashes(batch["text"])):
+                order = np.lexsort((values, counts.value[(values >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)]))
+                rare.append(values[order[: len(values) - (SIMILARITY * len(values) + 99) // 100 + 1]].view(np.int64))
+            times = pa.array(np.repeat(np.arange(len(batch)), [len(r) for r in rare]))
+            posting = np.concatenate(rare) if rare else np.empty(0, np.int64)
+            yield pa.record_batch(
+                {"posting": pa.array(posting, pa.int64()), "node": batch["node"].take(times), "component": batch["component"].take(times)}
+            )
+
+    return run
+
+
+def _block(members: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Columns of the members of a block, sorted by component."""
+    flat = pa.concat_arrays([members]).flatten()
+    node, size, component = (flat.field(c).to_numpy() for c in ("node", "n_shingles", "component"))
+    low = np.frombuffer(b"".join(flat.field("low").to_pylist()), np.uint8).reshape(len(flat), -1)
+    order = np.argsort(component, kind="stable")
+    return node[order], size[order], component[order], low[order]
+
+
+def _across_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components that their sizes and signatures allow; the tier follows from the rank in the block."""
+    for batch in batches:
+        for k in range(len(batch)):
+            mine, others = (_block(batch[c].slice(k, 1)) for c in ("seekers", "members"))
+            node, size, component, low = others
+            a, b, tier = [], [], []
+            for u, n, own, sketch in zip(*mine, strict=True):
+                agree = (low == sketch).sum(axis=1)
+                near = (agree >= AGREEING) & (component != own)
+                near &= 100 * np.minimum(size, n) >= SIMILARITY * np.maximum(size, n)
+                at = np.flatnonzero(near)
+                at = at[np.lexsort((node[at], -agree[at], component[at]))]
+                _, first, count = np.unique(component[at], return_index=True, return_counts=True)
+                rank = np.arange(len(at)) - np.repeat(first, count)
+                a.append(np.minimum(node[at], u))
+                b.append(np.maximum(node[at], u))
+                tier.append(np.searchsorted(TIERS, rank, side="right"))
+            yield pa.record_batch({n: pa.array(np.concatenate(x), pa.int64()) for n, x in (("a", a), ("b", b), ("tier", tier))})
+
+
+def rest_pairs(crowded: DataFrame, sketch: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b, tier) across components that large regions may have left out, best ones in the lowest tier.
+
+    ``names`` (node, component) says what is linked so far. A large region whose rows are one component has
+    nothing to add. The rows of the others are dealt by their rarest shingles (two sets at 75 % share one of these
+    whatever the order is, so nothing is lost; the order keeps passages that many documents share out of it). A
+    posting with one component again has nothing to add. In the others all rows outside the largest component meet
+    all rows of other components, in blocks that hold signatures only; just the pairs that may be near leave the task.
+    """
+    spark = crowded.sparkSession
+    known = settled(
+        crowded.join(names, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component")), "crowded"
+    )
+    mixed = known.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    mixed = settled(mixed.select("region"), "mixed")
+    rest = settled(known.join(mixed, "region", "left_semi").select("node", "component").distinct(), "rest")
+    texts = settled(texts.join(rest, "node"), "rest-texts")
+    counted = texts.select("text").mapInArrow(_counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    counts = np.zeros(1 << COUNTERS_LOG2, np.int64)
+    for part in counted.toArrow().to_batches():  # one row per counter at most
+        counts[part["counter"].to_numpy()] = part["n"].to_numpy()
+    run = _rare_shingles(spark.sparkContext.broadcast(counts))
+    postings = settled(texts.mapInArrow(run, "posting long, node long, component long"), "postings")
+    mixed = postings.groupBy("posting").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    mixed = settled(mixed.select("posting"), "mixed-postings")
+    known = settled(postings.join(mixed, "posting", "left_semi"), "across")
+    largest = (
+        known.groupBy("posting", "component")
+        .agg(F.count("*").alias("n"))
+        .groupBy("posting")
+        .agg(F.sum("n").alias("rows"), F.max(F.struct("n", "component"))["component"].alias("largest"))
+    )
+    known = settled(known.join(settled(largest, "largest"), "posting").join(sketch, "node"), "members")
+    slices = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / BLOCK)).alias("slice")
+    member = F.struct("node", "n_shingles", "component", "low")
+    members = known.groupBy("posting", slices).agg(F.collect_list(member).alias("members")).drop("slice")
+    seekers = known.filter("component != largest").groupBy("posting", slices).agg(F.collect_list(member).alias("seekers")).drop("slice")
+    met = settled(seekers, "seekers").join(settled(members, "blocks"), "posting").select("seekers", "members")
+    pairs = met.mapInArrow(_across_components, "a long, b long, tier long")
+    return settled(pairs.groupBy("a", "b").agg(F.min("tier").alias("tier")), "rest-pairs")
+
+
+def linked_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of all nodes with a link.
+
+    The pairs of the trees come first. What large regions left out follows tier by tier: a pair whose ends have
+    become one component by then needs no look at its texts.
+    """
+    pairs, crowded, sketch = candidate_pairs(nodes)
+    links = settled(confirmed_links(pairs, texts), "links")
+    names = component_names(links)
+    if crowded.isEmpty():
+        return names
+    rest = rest_pairs(crowded, sketch, names, texts)
+    for tier in range(len(TIERS) + 1):
+        of = lambda c: names.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: B023, E731
+        apart = rest.filter(F.col("tier") == tier).join(of("a"), "a", "left").join(of("b"), "b", "left")
+        apart = settled(apart.filter("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b"), "apart")
+        if apart.isEmpty():
+            continue
+        more = settled(confirmed_links(apart, texts), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            names = component_names(links)
+    return names
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +319,7 @@ def grouped_rows(docs: DataFrame) -> DataFrame:
         "nodes",
     )
     texts = docs.select(F.col(ROW).alias("node"), "text")
-    links = settled(confirmed_links(candidate_pairs(nodes), texts), "links")
-    names = component_names(links)  # node, component: nodes with a link only
+    names = linked_components(nodes, texts)
     named = settled(
         nodes.select("set_key", "node", "least")
         .join(names, "node", "left")

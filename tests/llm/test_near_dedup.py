@@ -80,6 +80,46 @@ def test_group_larger_than_a_small_region_around_one_text(spark, tmp_path):
     assert found(documents(spark, tmp_path, rows)) == want
 
 
+def _edited(rng, words, places, tag):
+    """``words`` with one word changed at each of ``places`` spots at least 20 apart."""
+    out = list(words)
+    for i in rng.sample(range(len(words) // 20), places):
+        out[20 * i + rng.randrange(10)] = f"{tag}x{i}"
+    return out
+
+
+@pytest.fixture
+def first_depth_only(monkeypatch):
+    """Large regions aren't looked at deeper down, so that their rest has to find what the pivots leave out."""
+    monkeypatch.setattr(near_dedup, "DEPTHS", near_dedup.DEPTHS[:1])
+
+
+def test_texts_near_to_one_member_of_a_crowded_region_only(spark, tmp_path, first_depth_only):
+    """Around a text with 150 copies lie texts that are near to one copy each, but not to the text itself."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(600)]
+    copies = [_edited(rng, words, 15, f"a{k}") for k in range(150)]
+    rows = [(1000 + k, " ".join(c)) for k, c in enumerate([words, *copies])]
+    rows += [(k, " ".join(_edited(rng, copies[k], 14, f"b{k}"))) for k in range(60)]
+    want = expected(rows)
+    assert found(documents(spark, tmp_path, rows)) == want
+    assert sum(c == 0 for *_, c in want) > 200
+
+
+def test_pairs_among_many_texts_that_share_a_passage(spark, tmp_path, first_depth_only):
+    """A passage that makes up half of 500 texts crowds the regions; the near pairs among them are found all the same."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(150)]
+    rows = []
+    for k in range(500):
+        words = passage + [f"t{k}w{i}" for i in range(150)]
+        rows.append((len(rows), " ".join(words)))
+        if k % 4 == 0:
+            rows.append((len(rows), " ".join(words[:160] + _edited(rng, words[160:], 6, f"c{k}"))))
+            rows.append((len(rows), " ".join(_edited(rng, words, 9, f"d{k}"))))
+    assert found(documents(spark, tmp_path, rows)) == expected(rows)
+
+
 def test_stage_keeps_one_of_each_group_and_all_blank_rows(spark, tmp_path):
     docs = documents(spark, tmp_path, awkward(), clashing=True)
     out = near_dedup.drop_near_copies(docs)
