@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locuswise.functions.lineage import settled
+
 #: White space of the word rules: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,7 +26,8 @@ def with_row_key(df: DataFrame) -> DataFrame:
     """Add ``_row``, one number per row.
 
     The number follows from the partition and the place in it, so ``df`` must be a scan of stored
-    files: then a task that is run again gives the same numbers.
+    files: then a task that is run again gives the same numbers. Each job cuts the files anew, by the cores it
+    finds: what is read more than once must be written with its numbers first.
     """
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
@@ -36,6 +39,13 @@ def boxed(df: DataFrame) -> DataFrame:
     return df.select(whole, *used, F.monotonically_increasing_id().alias(ROW))
 
 
+def stored_box(df: DataFrame) -> DataFrame:
+    """A boxed table that is written once, so that all its readers find the same ``_row``; text and doc_id are read out of ``_doc``."""
+    rows = settled(boxed(df).select("_doc", ROW), "rows")
+    used = [c for c in ("doc_id", "text", "source") if c in df.columns]
+    return rows.select("_doc", *[F.col("_doc")[c].alias(c) for c in used], ROW)
+
+
 def keep_rows(box: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of a boxed table whose ``_row`` is in ``kept``, with the columns they had."""
     return box.join(kept.select(ROW).hint("shuffle_hash"), ROW, "left_semi").select("_doc.*")

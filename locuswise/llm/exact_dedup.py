@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locuswise.functions.lineage import settled
-from locuswise.llm.common import ROW, SPACES, boxed, keep_rows, with_row_key
+from locuswise.llm.common import ROW, SPACES, keep_rows, stored_box, with_row_key
 
 #: Leaf runs, and runs merged into one per round (three rounds of a binomial tree, two levels each).
 RUNS = 64
@@ -80,7 +80,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all columns of ``docs``."""
-    box = boxed(docs)
+    box = stored_box(docs)
     return keep_rows(box, exact_groups(box).filter("kept"))
 
 

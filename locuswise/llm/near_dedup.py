@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from locuswise.functions.lineage import settled
 from locuswise.llm import shingles
-from locuswise.llm.common import ROW, boxed, keep_rows, with_row_key
+from locuswise.llm.common import ROW, keep_rows, stored_box, with_row_key
 from locuswise.llm.graph import component_names
 
 TREES = 16
@@ -298,12 +298,12 @@ def confirmed_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """Groups without the internal name of the component; see ``grouped_rows``."""
-    return grouped_rows(docs).drop("component")
+    """Groups without the internal name of the component; see ``grouped_rows``. Rows are written with their ``_row`` first."""
+    return grouped_rows(settled(docs.select("doc_id", ROW, "text"), "rows")).drop("component")
 
 
 def grouped_rows(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text and ``_row``): shingles of its text, its component and whether it stays.
+    """Per row of ``docs`` (doc_id, text and a stored ``_row``): shingles of its text, its component and whether it stays.
 
     Equal shingle sets are one node from the start, so copies cost one row each. Null, empty and blank texts have
     no shingles and are linked with nothing; their component is their own doc_id. Rows repeated under one doc_id
@@ -336,7 +336,7 @@ def grouped_rows(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each group, with all columns of ``docs``; rows without words all stay."""
-    box = boxed(docs)
+    box = stored_box(docs)
     groups = grouped_rows(box)
     once = groups.filter("kept AND n_shingles > 0").groupBy("component").agg(F.min(ROW).alias(ROW)).select(ROW)
     return keep_rows(box, once.unionByName(groups.filter("n_shingles = 0").select(ROW)))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from helpers import awkward, documents
-from locuswise.llm import near_dedup
+from locuswise.llm import exact_dedup, near_dedup
 from locuswise.llm.common import ROW, table, with_row_key
 from locuswise.llm.graph import component_names
 
@@ -147,3 +147,47 @@ def test_components_of_chains_and_stars(spark):
     assert len({names[i] for i in range(201)}) == 1 and len({names[i] for i in range(1000, 1101)}) == 1
     assert names[0] != names[1000] and 5000 not in names
     assert component_names(links.filter("a = b")).count() == 0
+
+
+@pytest.mark.parametrize("module, stage", [(near_dedup, near_dedup.drop_near_copies), (exact_dedup, exact_dedup.drop_exact_copies)])
+def test_stages_keep_their_rows_when_files_are_cut_anew(spark, tmp_path, recut, module, stage):
+    recut(module)
+    docs = _in_files(spark, tmp_path)
+    assert sorted(r.doc_id for r in stage(docs).collect()) == list(range(0, 80, 2))
+
+
+def test_groups_when_files_are_cut_anew(spark, tmp_path, recut):
+    recut(near_dedup)
+    docs = _in_files(spark, tmp_path, " more")
+    assert found(docs) == expected([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def _in_files(spark, tmp_path, tail=""):
+    """80 documents in eight files; each odd one copies the one before, which lies in another file, and adds ``tail``."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(2000)], k=40)) for _ in range(40)]
+    docs = documents(spark, tmp_path, [(d, texts[d // 2] + tail * (d % 2)) for d in range(80)])
+    docs.repartitionByRange(8, (docs.doc_id * 7) % 80).write.parquet(f"{tmp_path}/files")
+    return spark.read.parquet(f"{tmp_path}/files")
+
+
+@pytest.fixture
+def recut(spark, monkeypatch):
+    """After the first table that a module stores, files are cut another way, as when executors come or go."""
+    key = "spark.sql.files.maxPartitionBytes"
+
+    def start(module):
+        spark.conf.set(key, "2k")
+        plain = module.settled
+
+        def settled(*args):
+            out = plain(*args)
+            spark.conf.set(key, "128m")
+            spark.conf.set("spark.sql.files.minPartitionNum", "1")
+            return out
+
+        monkeypatch.setattr(module, "settled", settled)
+
+    yield start
+    spark.conf.unset(key)
+    spark.conf.unset("spark.sql.files.minPartitionNum")
