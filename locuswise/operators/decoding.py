@@ -22,6 +22,7 @@ from locuswise.operators.scoring import (
     Model,
     _lists,
     carry_table,
+    join_nulls,
     most_fragments,
     pack_fragments,
 )
@@ -91,16 +92,17 @@ def _decoder(model: Model, summarise, schema_names):
                 sites = part["sites"].to_numpy(zero_copy_only=False)
                 codes = _symbol_matrix(_lists(part["lengths"]), _lists(part["symbols"]), sites)
                 start = np.stack(_lists(part["start"]))
-                keys = [part[k].to_numpy(zero_copy_only=False) for k in ("diploid", "block_id", "frag_start")]
+                keys = [part[k].to_numpy(zero_copy_only=False) for k in ("block_id", "frag_start")]
+                diploids = part["diploid"].cast(pa.int64())
                 emit = lambda t0, t1: by_symbol[codes[:, t0:t1]]
                 for t0, posterior, _ in smooth(emit, sites, trans, start):
                     at = t0 + np.arange(posterior.shape[1])
                     inside = at[None, :] < sites[:, None]
                     row, col = np.nonzero(inside)
                     arrays = [
-                        pa.array(keys[0][row].astype(np.int64)),
-                        pa.array(keys[1][row].astype(np.int32)),
-                        pa.array((keys[2][row] + t0 + col).astype(np.int64)),
+                        diploids.take(pa.array(row)),
+                        pa.array(keys[0][row].astype(np.int32)),
+                        pa.array((keys[1][row] + t0 + col).astype(np.int64)),
                         *summarise(posterior[inside]),
                     ]
                     yield pa.RecordBatch.from_arrays(arrays, names=schema_names)
@@ -111,7 +113,7 @@ def _decoder(model: Model, summarise, schema_names):
 def _decode(runs, blocks, model, size, summarise, columns):
     fragments = pack_fragments(runs, blocks, size)
     starts = carry_table(fragments, model, most_fragments(blocks, size))
-    joined = fragments.join(starts, ["diploid", "block_id", "file_index"])
+    joined = join_nulls(fragments, starts, ["diploid", "block_id", "file_index"])
     names = ["diploid", "block_id", "pos", *columns]
     schema = ", ".join(
         ["diploid long", "block_id int", "pos long", *[f"{n} {t}" for n, t in columns.items()]]

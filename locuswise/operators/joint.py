@@ -26,6 +26,7 @@ from locuswise.operators.scoring import (
     _single,
     by_fragment,
     fragment_transfers,
+    join_nulls,
     most_fragments,
     multiply_up,
     pack_fragments,
@@ -45,13 +46,13 @@ def transition_symbols(decoded: DataFrame, n: int, tile: int = TILE) -> DataFram
 
 def emission_symbols(decoded: DataFrame, sites: DataFrame, n_obs: int = 3) -> DataFrame:
     """Code of (decoded time, observed state)."""
-    joined = decoded.select(*KEYS, "pos", "k").join(sites.select(*KEYS, "pos", "state"), [*KEYS, "pos"])
+    joined = join_nulls(decoded.select(*KEYS, "pos", "k"), sites.select(*KEYS, "pos", "state"), [*KEYS, "pos"])
     return joined.select(*KEYS, "pos", (F.col("k") * n_obs + F.col("state")).cast("int").alias("symbol"))
 
 
 def mask_decoded(decoded: DataFrame, sites: DataFrame, n: int) -> DataFrame:
     """Decoded time index at missing sites becomes the extra index ``n``."""
-    joined = decoded.select(*KEYS, "pos", "k").join(sites.select(*KEYS, "pos", "state"), [*KEYS, "pos"])
+    joined = join_nulls(decoded.select(*KEYS, "pos", "k"), sites.select(*KEYS, "pos", "state"), [*KEYS, "pos"])
     return joined.select(
         *KEYS, "pos", F.when(F.col("state") == 2, F.lit(n)).otherwise(F.col("k")).cast("int").alias("k")
     )
@@ -115,7 +116,7 @@ def joint_decode(
     """
     weights = np.asarray(scales, float) * base
     states = len(weights)
-    rows = fragments if carried is None else fragments.join(carried, [*KEYS, "file_index"])
+    rows = fragments if carried is None else join_nulls(fragments, carried, [*KEYS, "file_index"])
 
     def run(batches):
         for batch in batches:
@@ -176,7 +177,7 @@ def both_carries(items: DataFrame, depth: int, states: int) -> DataFrame:
     keys = ["diploid", "block_id", F.col("idx").alias("file_index")]
     forward = push_down(levels, states).select(*keys, "start")
     backward = push_down(levels, states, backward=True).select(*keys, F.col("start").alias("end"))
-    return forward.join(backward, [*KEYS, "file_index"])
+    return join_nulls(forward, backward, [*KEYS, "file_index"])
 
 
 def _count_schema():
@@ -225,7 +226,7 @@ def expected_counts(runs: DataFrame, blocks: DataFrame, model: Model, size: int
     fragments = pack_fragments(runs, blocks, size)
     items = fragment_transfers(fragments, _single(model, runs.sparkSession), 1, lead=True)
     carried = both_carries(items, most_fragments(blocks, size), model.states)
-    joined = fragments.join(carried, [*KEYS, "file_index"])
+    joined = join_nulls(fragments, carried, [*KEYS, "file_index"])
     return joined.mapInArrow(_counter(model.trans, model.emis), _count_schema())
 
 
@@ -278,7 +279,7 @@ def train_joint(
         return both_carries(items, depth, states)
 
     for _ in range(rounds):
-        joined = fragments.join(carries(trans), [*KEYS, "file_index"])
+        joined = join_nulls(fragments, carries(trans), [*KEYS, "file_index"])
         counts = joined.mapInArrow(_counter(trans, None), _count_schema())
         summed = {(r["j"], r["k"]): r["n"] for r in _summed(counts, "trans_counts", states).collect()}
         matrix = np.array([[summed.get((j, k), 0.0) for k in range(states)] for j in range(states)])

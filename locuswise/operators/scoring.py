@@ -48,6 +48,13 @@ def by_fragment(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.repartition(count, *keys, "file_index")
 
 
+def join_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on whole-number ``keys``; null equals null, so a null diploid finds its own rows."""
+    key = F.struct(*[F.col(k).cast("long").alias(k) for k in keys]).alias("_key")
+    values = [c for c in right.columns if c not in keys]
+    return left.select("*", key).join(right.select(key, *values), "_key").drop("_key")
+
+
 def pack_fragments(runs: DataFrame, blocks: DataFrame, size: int = FRAGMENT) -> DataFrame:
     """One row per (diploid, block, fragment): first site, run lengths and symbols in order.
 
@@ -273,16 +280,14 @@ def _products(batches):
 
 def _group_members(items: DataFrame) -> DataFrame:
     group = (F.floor((F.col("idx") - 1) / FAN_IN) + 1).cast("int")
-    # stated here so that both readers of a level share its shuffle
-    keyed = items.withColumn("group", group).filter(
-        "diploid IS NOT NULL AND block_id IS NOT NULL AND batch IS NOT NULL AND `group` IS NOT NULL"
-    )
-    grouped = keyed.groupBy(*TRANSFER_KEYS, "group").agg(
+    # the key is a struct: never null itself, so a null diploid stays and both readers of a level share its shuffle
+    keyed = items.withColumn("_key", F.struct(*TRANSFER_KEYS, group.alias("idx")))
+    grouped = keyed.groupBy("_key").agg(
         F.sort_array(F.collect_list(F.struct("idx", "mats", "logs"))).alias("m")
     )
     return grouped.select(
-        *TRANSFER_KEYS,
-        F.col("group").alias("idx"),
+        "_key",
+        "_key.*",
         F.col("m.idx").alias("members"),
         F.col("m.mats").alias("mats"),
         F.col("m.logs").alias("logs"),
@@ -293,7 +298,7 @@ def multiply_up(items: DataFrame, depth: int, until: int = 1) -> list[DataFrame]
     """Item tables per level, up to the first with at most ``until`` items per (diploid, block)."""
     levels = [items]
     while depth > until:
-        levels.append(_group_members(levels[-1]).mapInArrow(_products, TRANSFER_SCHEMA))
+        levels.append(_group_members(levels[-1]).drop("_key").mapInArrow(_products, TRANSFER_SCHEMA))
         depth = math.ceil(depth / FAN_IN)
     return levels
 
@@ -425,8 +430,8 @@ def push_down(levels: list[DataFrame], states: int, backward: bool = False) -> D
         if known is None:
             grouped = grouped.withColumn("start", outer)
         else:
-            grouped = grouped.join(known, [*TRANSFER_KEYS, "idx"])
-        known = grouped.mapInArrow(step, START_SCHEMA)
+            grouped = grouped.join(known.select(F.struct(*TRANSFER_KEYS, "idx").alias("_key"), "start"), "_key")
+        known = grouped.drop("_key").mapInArrow(step, START_SCHEMA)
     return known
 
 

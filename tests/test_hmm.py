@@ -153,6 +153,32 @@ def test_carry_and_posterior(spark, data, monkeypatch, fan_in):
                 assert posterior[d, b, at + t + 1] == pytest.approx(p / p.sum(), abs=1e-10)
 
 
+@pytest.mark.parametrize("size", [1000, 8])
+def test_a_null_diploid_counts_in_one_fragment_and_in_many(data, spark, size):
+    runs, blocks = data
+    unnamed = runs.replace(2, None, ["diploid"])
+    trans, emis = random_model(3)
+    model = scoring.Model(trans, emis)
+    named = lambda r: 2 if r.diploid is None else r.diploid
+    logs = [
+        sorted((r.candidate_id, named(r), r.block_id, round(r.loglik, 9)) for r in scoring.forward_loglik(t, blocks, models_table(spark, [1]), size).collect())
+        for t in (runs, unnamed)
+    ]
+    assert len(logs[1]) == 3 and logs[0] == logs[1]
+    starts = [
+        sorted((named(r), r.block_id, r.file_index, *r.start) for r in scoring.filter_carry(t, blocks, model, size).collect())
+        for t in (runs, unnamed)
+    ]
+    assert starts[0] == starts[1]
+    found = [
+        sorted((named(r), r.block_id, r.pos, *r.p) for r in decoding.posterior_decode(t, blocks, model, size).collect())
+        for t in (runs, unnamed)
+    ]
+    assert len(found[1]) == 145 and found[0] == found[1]
+    proposed = [sorted((r.j, r.k, round(r.p, 9)) for r in joint.baum_welch_trans(t, blocks, model, size).collect()) for t in (runs, unnamed)]
+    assert proposed[0] == proposed[1]
+
+
 def test_chunked_smoothing_equals_one_pass(monkeypatch):
     trans, emis = random_model(2)
     obs = np.random.default_rng(1).choice([0, 1, 2], size=(2, 500))
