@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from locuswise import bindings as b
@@ -163,6 +165,17 @@ def map_files(spark, sf):
     return rounded(out.filter("value IS NOT NULL"), "value")
 
 
+def all_map_files(spark, sf):
+    """Every resolution written in one call, and all files read back."""
+    limits = b.land_blocks(spark, sf)
+    rates = bins.bin_rate(b.lands(spark, sf), limits, SIZES)
+    # the diploids are the columns of a file, so their list fits a row
+    ids = sorted(r[0] for r in rates.select("diploid").distinct().collect())
+    made = bedgraph.write_bedgraph(rates, limits, scratch_folder(spark, "maps") + "/rho", ids, SIZES)
+    parts = [bedgraph.read_bedgraph(spark, path, "rho", bedgraph.size_suffix(n)) for path, n in zip(made, SIZES, strict=True)]
+    return rounded(reduce(lambda x, y: x.unionByName(y), parts).filter("value IS NOT NULL"), "value")
+
+
 def estimate_files(spark, sf):
     path = scratch_folder(spark, "estimates")
     named = param_list(spark, sf).select(
@@ -188,6 +201,7 @@ QUERIES = {
     "read_fragments": fragment_files,
     "write_bedgraph": map_files,
     "read_bedgraph": map_files,
+    "bedgraph_sizes": all_map_files,
     "write_estimates": estimate_files,
     "read_estimates": estimate_files,
 }
@@ -209,6 +223,17 @@ MAP_ROWS = q.query(BINNED, f"""
       SELECT chrom, lo - 1 + bin * bin_size, least(lo - 1 + (bin + 1) * bin_size, hi), 'sample_mean', avg(value)
       FROM (SELECT chrom, lo, hi, bin, bin_size, diploid, sum(value) / count(*) AS value FROM binned
             WHERE bin_size = {SIZES[-1]} GROUP BY ALL) GROUP BY ALL)""")
+ALL_MAP_ROWS = q.query(BINNED, f""",
+    per_diploid AS (
+      SELECT chrom, lo - 1 + bin * bin_size AS chrom_start, least(lo - 1 + (bin + 1) * bin_size, hi) AS chrom_end,
+             diploid, bin_size, sum(value) / count(*) AS value
+      FROM binned GROUP BY chrom, lo, hi, bin, bin_size, diploid)
+    SELECT chrom, chrom_start, chrom_end, CAST(diploid AS VARCHAR) AS diploid, round(value, {DIGITS}) AS value,
+           'rho' AS label, bin_size || 'b' AS window_size
+    FROM per_diploid
+    UNION ALL
+    SELECT chrom, chrom_start, chrom_end, 'sample_mean', round(avg(value), {DIGITS}), 'rho', bin_size || 'b'
+    FROM per_diploid GROUP BY chrom, chrom_start, chrom_end, bin_size""")
 ESTIMATE_ROWS = q.query(PARAMS, f"""
     SELECT name || '_' || candidate_id AS name, round(value, {DIGITS}) AS value FROM params""")
 
@@ -245,6 +270,7 @@ ORACLES = {
     "read_fragments": FRAGMENT_ROWS,
     "write_bedgraph": MAP_ROWS,
     "read_bedgraph": MAP_ROWS,
+    "bedgraph_sizes": ALL_MAP_ROWS,
     "write_estimates": ESTIMATE_ROWS,
     "read_estimates": ESTIMATE_ROWS,
 }

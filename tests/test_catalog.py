@@ -4,6 +4,7 @@ import pytest
 from compare import compare, connect
 
 from locuswise import catalog
+from locuswise.catalog.maps import SIZES
 
 
 @pytest.fixture(scope="module")
@@ -17,5 +18,10 @@ def test_query(spark, con, small, name):
     assert ok is not False, note
 
 
+def test_maps_of_every_resolution_are_read_back(spark, small):
+    found = catalog.queries()["bedgraph_sizes"](spark, small).select("window_size").distinct().collect()
+    assert {r.window_size for r in found} == {f"{n}b" for n in SIZES}
+
+
 def test_oracles_belong_to_queries():
     assert set(catalog.oracles()) <= set(catalog.queries())
