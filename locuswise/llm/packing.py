@@ -2,65 +2,36 @@
 
 from __future__ import annotations
 
-import array
-import base64
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locuswise.functions.lineage import settled
+from locuswise.llm import tokens
 from locuswise.llm.common import ROW, with_row_key
 
 CAPACITY = 2048
 END_ID = 0
-VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Lengths are fitted in classes of this width, with patterns of at most this many documents.
 CLASS_WIDTH = 16
 PATTERN_DOCS = 3
 BATCH_ROWS = 256
-#: Characters of a text that are encoded at once; a cut falls before a blank between two plain letters.
-SEGMENT = 1 << 20
-_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 PIECES = "doc_id long, _row long, piece int, start long, length long, ids_crc32 long"
 
 
-def _encoder(path: str):
-    import tiktoken
-
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def _segments(text: str) -> Iterator[str]:
-    start = 0
-    while len(text) - start > SEGMENT:
-        cut = _CUT.search(text, start + SEGMENT)
-        if not cut:
-            break
-        yield text[start : cut.start()]
-        start = cut.start()
-    yield text[start:]
-
-
 def _token_pieces(path: str, capacity: int, keep_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = tokens.Encoder(path)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, row, text in zip(*(batch[c].to_pylist() for c in ("doc_id", ROW, "text")), strict=True):
-                ids = array.array("I")
-                for segment in _segments(text or ""):
-                    ids.extend(encoder.encode_ordinary(segment))
-                ids.append(END_ID)
+                ids = encoder.ids(text, END_ID)
                 ends = range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)
                 start = 0
                 for piece, end in enumerate(ends):
@@ -79,11 +50,11 @@ def _token_pieces(path: str, capacity: int, keep_ids: bool):
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """The documents' token ids, each closed by id 0 and cut into pieces; only the first piece may be shorter.
 
-    Ids are those of the byte-level BPE vocabulary with 50,257 entries, read from its rank file (the same ids as
-    its JSON file gives, which a test confirms). With ``keep_ids``, column ids has them as little-endian bytes.
+    Ids are those of the byte-level BPE vocabulary with 50,257 entries (see ``tokens.Encoder``). With ``keep_ids``,
+    column ids has them as little-endian bytes.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    cut = _token_pieces(path or str(public_tokenizers.path(VOCABULARY)), capacity, keep_ids)
+    cut = _token_pieces(path or tokens.vocabulary_path(), capacity, keep_ids)
     rows = docs.select(F.col("doc_id").cast("long"), ROW, "text")
     return rows.mapInArrow(cut, PIECES + (", ids binary" if keep_ids else ""))
 

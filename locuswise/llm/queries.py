@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from locuswise.llm import exact_dedup, html_extract, mixing, near_dedup, packing, pii, quality, toxicity, urls, warc
+from locuswise.llm import exact_dedup, html_extract, merkle, mixing, mixture_packing, near_dedup, packing, pii, quality, spelling, toxicity, urls, warc
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.query,
     "op9_pack_sequences": packing.query,
     "op10_toxicity": toxicity.query,
+    "op11_merkle_manifest": merkle.query,
+    "op12_spelling_variants": spelling.query,
+    "op13_mixture_packing": mixture_packing.query,
 }
 
 ORACLES = {
     "op5_mix_sources": mixing.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op12_spelling_variants": spelling.SQL,
 }

@@ -6,15 +6,13 @@ import pytest
 from tokenizers import Tokenizer
 
 from helpers import awkward, documents
-from locuswise.llm import packing
+from locuswise.llm import packing, tokens
 from locuswise.llm.common import table
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    made = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def ids_of(tokenizer, text):
@@ -87,10 +85,17 @@ def test_empty_table(spark, tmp_path):
 
 def test_long_texts_are_encoded_in_segments(tokenizer):
     text = "some words, and 12 numbers\n\n  here " * 40_000
-    assert "".join(packing._segments(text)) == text and len(list(packing._segments(text))) > 1
-    encoder = packing._encoder(str(public_tokenizers.path(packing.VOCABULARY)))
-    ids = [i for part in packing._segments(text) for i in encoder.encode_ordinary(part)]
-    assert ids == tokenizer.encode(text, add_special_tokens=False).ids
+    assert "".join(tokens.segments(text)) == text and len(list(tokens.segments(text))) > 1
+    assert tokens.Encoder(tokens.vocabulary_path()).ids(text, 0).tolist() == ids_of(tokenizer, text)
+
+
+@pytest.mark.parametrize(
+    "text", ["a<|endoftext|>b", "<|endoftext|>", "  <|endoftext|>  \n<|endoftext|><|endoftext|", "x <|endoftext|> y\t", "<|endofText|>", ""]
+)
+def test_the_added_token(tokenizer, text):
+    ids = tokens.Encoder(tokens.vocabulary_path()).ids(text, 0).tolist()
+    assert ids == ids_of(tokenizer, text)
+    assert ids.count(50256) == text.count("<|endoftext|>")
 
 
 @pytest.mark.parametrize("seed", range(4))
