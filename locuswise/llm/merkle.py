@@ -1,12 +1,14 @@
 """Merkle manifest of a dataset, level by level with sibling-shift self-joins (DataFrame functions only).
 
-A node is (tree, place, digest, n): its tree, its place among the n nodes of its level, its digest. At every level a
-node computes the places of the nodes of its run (its own slot plus 0, 1, ... modulo the arity) and an equijoin
-on (tree, place) brings their digests; then the rows of slot zero emit the parents.
+A node is (tree, place, digest, n): its tree, its place among the n nodes of its level, its digest. At every level
+the places of a run's nodes are computed from its slot zero (offsets 0, 1, ... up to the arity), an equijoin of the
+level with itself on (tree, place) brings their digests, and the rows of slot zero emit the parents.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def field(value: Column) -> Column:
 
 
 def row_digest(*values: Column) -> Column:
-    return F.sha2(F.concat(*map(field, values)), 256)
+    return F.unhex(F.sha2(F.concat(*map(field, values)), 256))
 
 
 def tree_name(value: Column) -> Column:
@@ -52,106 +54,107 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return joined.withColumn("place", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
 
 
-def _up(place: str, arity: int) -> Column:
-    return F.floor(F.col(place) / F.lit(arity)).cast("long")
+def _hex(digest: Column) -> Column:
+    return F.lower(F.hex(digest))
+
 
+def _up(place: Column, arity: int) -> Column:
+    return F.floor(place / F.lit(arity)).cast("long")
 
-def met_siblings(nodes: DataFrame, arity: int) -> DataFrame:
-    """Per node of a tree with several nodes at this level: the digests of its run before and after it.
 
-    Rows (tree, place, up, n, before, after, whole): ``up`` is the parent's place, ``before`` and ``after`` the siblings'
-    digests in order as one text each, ``whole`` those of all the run. A run has at most ``arity`` nodes.
+def emitted_parents(nodes: DataFrame, arity: int) -> DataFrame:
+    """The next level of the trees that have several nodes at this one, with ``run``, the digests of a parent's nodes.
+
+    The row of slot zero computes the places of its run (itself and the slots after it, as far as the level goes); an
+    equijoin brings their digests. A run has at most ``arity`` nodes, so no group grows.
     """
-    first = _up("place", arity) * arity
-    sibling = first + F.pmod(F.col("place") + F.col("shift"), F.lit(arity))
-    shifts = F.explode(F.sequence(F.lit(0), F.lit(arity - 1))).alias("shift")
-    wanted = nodes.filter("n > 1").select("tree", "place", "n", shifts).withColumn("sibling", sibling).filter("sibling < n")
-    other = nodes.select("tree", F.col("place").alias("sibling"), F.col("digest").alias("other"))
-    met = wanted.join(other, ["tree", "sibling"]).groupBy("tree", "place", "n").agg(
-        F.sort_array(F.collect_list(F.struct("sibling", "other"))).alias("run")
-    )
-    text = lambda run: F.array_join(F.transform(run, lambda x: x["other"]), "")
-    return met.select(
+    zero = nodes.filter((F.col("n") > 1) & (F.pmod("place", F.lit(arity)) == 0))
+    run = F.sequence("place", F.least(F.col("place") + arity, "n") - 1)
+    wanted = zero.select("tree", "n", _up(F.col("place"), arity).alias("up"), F.explode(run).alias("sibling"))
+    met = wanted.join(nodes.select("tree", F.col("place").alias("sibling"), "digest"), ["tree", "sibling"])
+    runs = met.groupBy("tree", "up", "n").agg(F.sort_array(F.collect_list(F.struct("sibling", "digest"))).alias("run"))
+    text = F.array_join(F.transform("run", lambda x: _hex(x["digest"])), "")
+    return runs.select(
         "tree",
-        "place",
-        _up("place", arity).alias("up"),
-        "n",
-        text(F.filter("run", lambda x: x["sibling"] < F.col("place"))).alias("before"),
-        text(F.filter("run", lambda x: x["sibling"] > F.col("place"))).alias("after"),
-        F.when(F.pmod("place", F.lit(arity)) == 0, text(F.col("run"))).alias("whole"),
+        F.col("up").alias("place"),
+        F.ceil(F.col("n") / arity).cast("long").alias("n"),
+        F.unhex(F.sha2(text, 256)).alias("digest"),
+        F.transform("run", lambda x: x["digest"]).alias("run"),
     )
 
 
 class Forest:
-    """All levels of the trees over ``nodes`` (tree, place, n, digest), stored level by level."""
-
-    def __init__(self, nodes: DataFrame, arity: int = ARITY):
-        self.arity, self.runs, tops = arity, [], []
-        most = nodes.agg(F.max("n")).first()[0] or 0
-        while True:
-            tops.append(nodes.filter("n = 1").select("tree", "digest", F.lit(len(self.runs)).alias("level")))
-            if most <= 1:
-                break
-            runs = settled(met_siblings(nodes, arity), f"runs-{len(self.runs)}")
-            self.runs.append(runs.drop("whole"))
-            parents = runs.filter("whole IS NOT NULL").select(
-                "tree", F.col("up").alias("place"), F.ceil(F.col("n") / arity).cast("long").alias("n"), F.sha2("whole", 256).alias("digest")
-            )
-            nodes = settled(parents, f"nodes-{len(self.runs)}")
+    """All levels of the trees over ``leaves`` (tree, place, n, digest and others), stored level by level.
+
+    Digests are kept as bytes and turned to text where they are hashed.
+    """
+
+    def __init__(self, leaves: DataFrame, arity: int = ARITY):
+        self.arity, self.levels = arity, [leaves]
+        most = leaves.agg(F.max("n")).first()[0] or 0
+        while most > 1:
+            nodes = self.levels[-1].select("tree", "place", "n", "digest")
+            self.levels.append(settled(emitted_parents(nodes, arity), f"nodes-{len(self.levels)}"))
             most = -(-most // arity)
-        self.tops = tops[0]
-        for more in tops[1:]:
-            self.tops = self.tops.unionByName(more)
-        self.tops = settled(self.tops, "tops")
+
+    def tops(self) -> DataFrame:
+        """(tree, digest) of each tree's last node."""
+        last = [nodes.filter("n = 1").select("tree", "digest") for nodes in self.levels]
+        return reduce(DataFrame.unionByName, last)
 
     def paths(self, above: DataFrame, carried: list[str]) -> DataFrame:
-        """Per leaf (tree, place): ``path``, the (before, after) of each level upwards, then what is ``above`` its tree.
+        """``leaves`` with ``path``, the siblings before and after a node for each level upwards, then what is above its tree.
 
-        ``above`` has a row per tree with its own path and the columns ``carried`` down. A parent hands its path to
-        at most ``arity`` children, so nothing is joined on the tree alone.
+        ``above`` has a row per tree with its own path and the columns ``carried`` down. A parent hands its run and its
+        path to at most ``arity`` children, so the tree alone is no join key but for the trees' last nodes.
         """
-        tops = self.tops.select("tree", "level").join(above, "tree").withColumn("place", F.lit(0).cast("long"))
-        columns = ["tree", "place", "path", *carried]
-        down = tops.filter(F.col("level") == len(self.runs)).select(columns)
-        for level in reversed(range(len(self.runs))):
-            up = down.withColumnRenamed("place", "up").withColumnRenamed("path", "upper")
-            step = F.array(F.struct("before", "after"))
-            met = self.runs[level].join(up, ["tree", "up"]).withColumn("path", F.concat(step, "upper")).select(columns)
-            down = met.unionByName(tops.filter(F.col("level") == level).select(columns))
-            if level:
-                down = settled(down, f"paths-{level}")
+        down = None
+        for level in reversed(range(len(self.levels))):
+            nodes = self.levels[level]
+            met = nodes.filter("n = 1").join(above, "tree")
+            if down is not None:
+                slot = F.pmod(F.col("place"), F.lit(self.arity)).cast("int")
+                all_of = lambda run: F.concat(F.lit(b""), *[F.coalesce(F.get(run, F.lit(i)), F.lit(b"")) for i in range(self.arity)])
+                sides = F.struct(
+                    all_of(F.slice("upper_run", F.lit(1), slot)).alias("before"),
+                    all_of(F.slice("upper_run", slot + 2, F.lit(self.arity))).alias("after"),
+                )
+                upper = down.select("tree", F.col("place").alias("up"), F.col("run").alias("upper_run"), F.col("path").alias("upper_path"), *carried)
+                inner = nodes.filter("n > 1").withColumn("up", _up(F.col("place"), self.arity)).join(upper, ["tree", "up"])
+                inner = inner.withColumn("path", F.concat(F.array(sides), "upper_path")).drop("up", "upper_run", "upper_path")
+                met = met.unionByName(inner)
+            down = settled(met, f"paths-{level}") if level else met
         return down
 
 
-EMPTY_PATH = "CAST(array() AS array<struct<before: string, after: string>>)"
+EMPTY_PATH = "CAST(array() AS array<struct<before: binary, after: binary>>)"
 
 
 def folded(claim: Column, path: Column) -> Column:
-    """The root that follows from a leaf's digest and its siblings, level by level."""
-    return F.aggregate(path, claim, lambda h, s: F.sha2(F.concat(s["before"], h, s["after"]), 256))
+    """The root (text) that follows from a leaf's digest (bytes) and its siblings, level by level."""
+    return F.aggregate(path, _hex(claim), lambda h, s: F.sha2(F.concat(_hex(s["before"]), h, _hex(s["after"])), 256))
 
 
 def proof(path: Column) -> Column:
     """One digest of all siblings, level by level from the leaf to the root, left to right."""
-    return F.sha2(F.array_join(F.transform(path, lambda s: F.concat(s["before"], s["after"])), ""), 256)
+    return F.sha2(F.array_join(F.transform(path, lambda s: F.concat(_hex(s["before"]), _hex(s["after"]))), ""), 256)
 
 
 def manifest(leaves: DataFrame, arity: int = ARITY) -> DataFrame:
-    """Add subroot, root and path to ``leaves`` (tree, doc_id, leaf and others without these names).
+    """Add subroot, root and path to ``leaves`` (tree, doc_id, digest as bytes, and others without these names).
 
-    A tree's leaves ascend by doc_id (null first, equal ones by leaf); its subroot is what remains after joining runs of
+    A tree's leaves ascend by doc_id (null first, equal ones by digest); its subroot is what remains after joining runs of
     ``arity`` nodes, and the subroots in order of their trees' names give the root alike. A lone leaf is its subroot,
     a lone subroot the root. Repeated rows are leaves each. An empty table gives an empty result.
     """
-    placed = settled(numbered(leaves, ["doc_id", "leaf"]), "leaves")
-    below = Forest(placed.select("tree", "place", "n", F.col("leaf").alias("digest")), arity)
-    subroots = below.tops.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
-    ranked = settled(numbered(subroots, ["name"]), "subroots")
-    top = Forest(ranked.select("tree", "place", "n", "digest"), arity)
-    start = top.tops.select("tree", F.expr(EMPTY_PATH).alias("path"), F.col("digest").alias("root"))
-    over = top.paths(start, ["root"]).join(ranked.select("place", "name", F.col("digest").alias("subroot")), "place")
-    over = settled(over.select(F.col("name").alias("tree"), "path", "subroot", "root"), "over")
-    return placed.join(below.paths(over, ["subroot", "root"]), ["tree", "place"]).drop("tree", "place", "n")
+    placed = settled(numbered(settled(leaves, "digests"), ["doc_id", "digest"]), "leaves")
+    below = Forest(placed, arity)
+    subroots = settled(below.tops().select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), "tops")
+    top = Forest(settled(numbered(subroots, ["name"]), "subroots"), arity)
+    start = top.tops().select("tree", F.expr(EMPTY_PATH).alias("path"), F.col("digest").alias("root"))
+    over = top.paths(settled(start, "root"), ["root"])
+    over = settled(over.select(F.col("name").alias("tree"), "path", F.col("digest").alias("subroot"), "root"), "over")
+    return below.paths(over, ["subroot", "root"]).drop("tree", "place", "n")
 
 
 def verified_manifest(docs: DataFrame) -> DataFrame:
@@ -164,11 +167,12 @@ def verified_manifest(docs: DataFrame) -> DataFrame:
     changed = row_digest(*values[:-1], F.translate("text", UPPER, LOWER))
     hit = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 0
     leaves = docs.select(
-        tree_name(F.col("lang")).alias("tree"), "doc_id", row_digest(*values).alias("leaf"), F.when(hit, changed).alias("claim")
+        tree_name(F.col("lang")).alias("tree"), "doc_id", row_digest(*values).alias("digest"), F.when(hit, changed).alias("claim")
     )
     made = manifest(leaves)
-    again = folded(F.coalesce("claim", "leaf"), F.col("path"))
-    rows = made.select("doc_id", "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"), again.alias("folded_root"))
+    again = folded(F.coalesce("claim", "digest"), F.col("path"))
+    named = [_hex(F.col(c)).alias(name) for c, name in (("digest", "leaf"), ("subroot", "subroot"), ("root", "root"))]
+    rows = made.select("doc_id", *named, proof(F.col("path")).alias("proof_sha256"), again.alias("folded_root"))
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 

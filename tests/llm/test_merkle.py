@@ -87,10 +87,11 @@ def test_other_arities(spark, tmp_path, arity):
     rows = [(i, f"t{i}", "abc"[i % 3], "s", i) for i in range(40)]
     docs = docs_frame(spark, tmp_path, rows)
     leaves = docs.select(
-        merkle.tree_name(docs.lang).alias("tree"), "doc_id", merkle.row_digest(*(docs[c] for c in merkle.FIELDS)).alias("leaf")
+        merkle.tree_name(docs.lang).alias("tree"), "doc_id", merkle.row_digest(*(docs[c] for c in merkle.FIELDS)).alias("digest")
     )
     made = merkle.manifest(leaves, arity)
-    got = {r.doc_id: tuple(r) for r in made.select("doc_id", "leaf", "subroot", "root", merkle.proof(made.path), merkle.folded(made.leaf, made.path)).collect()}
+    named = [merkle._hex(made[c]) for c in ("digest", "subroot", "root")]
+    got = {r[0]: tuple(r) for r in made.select("doc_id", *named, merkle.proof(made.path), merkle.folded(made.digest, made.path)).collect()}
     for row in expected(docs.collect(), arity):
         assert got[row[0]][:5] == row[:5] and got[row[0]][5] == row[3]
 
