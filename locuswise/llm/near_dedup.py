@@ -20,16 +20,16 @@ DEPTHS = (2, 4, 8, 16, 32, 64)
 #: Members up to which a region gives all its pairs.
 SMALL = 32
 #: Percent of the union that linked sets share, and signature values (of 64) that a candidate pair shares at least:
-#: a pair at 75 % shares 48 on average, and fewer than 32 once in some hundred thousand.
+#: a pair at 75 % shares 48 on average, and fewer than 28 once in some hundred million.
 SIMILARITY = 75
-AGREEING = 32
+AGREEING = 28
 #: Rows of an Arrow batch of whole texts.
 BATCH_ROWS = 512
 #: Counters that say how common a shingle is: a table of one size for every input, used for an order only.
 COUNTERS_LOG2 = 18
-#: Rows of a block of a posting, and the ranks at which the next tier of pairs begins.
+#: Rows of a slice of a posting, and shingles of one; a block holds two slices.
 BLOCK = 512
-TIERS = (4, 64)
+BLOCK_SHINGLES = 1 << 20
 
 SIGNED = "doc_id long, _row long, n_shingles long, set_key binary, signature binary"
 
@@ -86,7 +86,7 @@ def _star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["pivot", "node"]).rename_columns(["a", "b"]).filter(pa.array(near))
 
 
-def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of nodes that may be near copies, from ``nodes`` (node, n_shingles, signature).
 
     A tree orders all signatures from another value on. Rows that share the first values of a tree form a
@@ -94,8 +94,7 @@ def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     with one pivot, the row that lies in the most crowded regions over all trees (of copies of one text, the
     text itself), and is then looked at again at more values, until it falls apart into small ones. No region is
     cut off: each row of it meets at least the pivot, at every depth. What a large region leaves unsaid is for
-    ``rest_pairs``: the large regions of the first depth (region, node) come second, and a short form of all
-    signatures (node, n_shingles, low) third.
+    ``rest_links``: the large regions of the first depth (region, node) come second.
     """
     doubled = F.concat("signature", "signature")
     low = F.expr("array_join(transform(sequence(0, %d), i -> hex(substring(signature, 4 * i + 1, 1))), '')" % (shingles.VALUES - 1))
@@ -148,74 +147,94 @@ def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), crowded, sketch
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), crowded
+
+
+def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = shingles.distinct_sets(*shingles.shingle_hashes(batch["text"]))
+        kept = pa.array([v.tobytes() for v in sets], pa.binary())
+        yield pa.record_batch([batch["node"], batch["component"], kept], ["node", "component", "shingles"])
+
+
+def _sets(column) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << COUNTERS_LOG2, np.int64)
     for batch in batches:
-        for values in shingles.distinct_sets(*shingles.shingle_hashes(batch["text"])):
+        for values in _sets(batch["shingles"]):
             np.add.at(counts, (values >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64), 1)
     used = np.flatnonzero(counts)
     yield pa.record_batch({"counter": pa.array(used, pa.int64()), "n": pa.array(counts[used], pa.int64())})
 
 
 def _rare_shingles(counts):
-    """Per text its rarest shingles, so many that two sets at ``SIMILARITY`` percent have one of them in common."""
+    """Per set its rarest shingles, so many that two sets at ``SIMILARITY`` percent have one of them in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rare = []
-            for values in shingles.distinct_sets(*shingles.shingle_hashes(batch["text"])):
+            rare, sizes = [], []
+            for values in _sets(batch["shingles"]):
                 order = np.lexsort((values, counts.value[(values >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)]))
                 rare.append(values[order[: len(values) - (SIMILARITY * len(values) + 99) // 100 + 1]].view(np.int64))
-            times = pa.array(np.repeat(np.arange(len(batch)), [len(r) for r in rare]))
+                sizes.append(len(values))
+            times = np.repeat(np.arange(len(batch)), [len(r) for r in rare])
             posting = np.concatenate(rare) if rare else np.empty(0, np.int64)
-            yield pa.record_batch(
-                {"posting": pa.array(posting, pa.int64()), "node": batch["node"].take(times), "component": batch["component"].take(times)}
-            )
+            at = pa.array(times)
+            columns = [pa.array(posting, pa.int64()), batch["node"].take(at), batch["component"].take(at), pa.array(np.array(sizes, np.int64)[times])]
+            yield pa.record_batch(columns, ["posting", "node", "component", "n_shingles"])
 
     return run
 
 
-def _block(members: pa.ListArray) -> tuple[np.ndarray, ...]:
-    """Columns of the members of a block, sorted by component."""
-    flat = pa.concat_arrays([members]).flatten()
-    node, size, component = (flat.field(c).to_numpy() for c in ("node", "n_shingles", "component"))
-    low = np.frombuffer(b"".join(flat.field("low").to_pylist()), np.uint8).reshape(len(flat), -1)
-    order = np.argsort(component, kind="stable")
-    return node[order], size[order], component[order], low[order]
+def block_links(node: np.ndarray, component: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the components of a block as far as its full sets do: a spanning forest, not all links.
+
+    Rows of the component that most rows have are looked for, not from: between two of them nothing is open.
+    """
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    names, label = np.unique(component, return_inverse=True)
+    most = np.bincount(label).argmax()
+    links = []
+    for u in np.flatnonzero(label != most):
+        first, last = (np.searchsorted(flat, sets[u], side=side) for side in ("left", "right"))
+        count = last - first
+        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        linked = 100 * both >= SIMILARITY * (sizes + sizes[u] - both)
+        for v in np.flatnonzero(linked & (label != label[u])):
+            if label[v] != label[u]:
+                label[label == label[v]] = label[u]
+                links.append((min(node[u], node[v]), max(node[u], node[v])))
+        if (label == label[0]).all():
+            break
+    return links
 
 
-def _across_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components that their sizes and signatures allow; the tier follows from the rank in the block."""
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(len(batch)):
-            mine, others = (_block(batch[c].slice(k, 1)) for c in ("seekers", "members"))
-            node, size, component, low = others
-            a, b, tier = [], [], []
-            for u, n, own, sketch in zip(*mine, strict=True):
-                agree = (low == sketch).sum(axis=1)
-                near = (agree >= AGREEING) & (component != own)
-                near &= 100 * np.minimum(size, n) >= SIMILARITY * np.maximum(size, n)
-                at = np.flatnonzero(near)
-                at = at[np.lexsort((node[at], -agree[at], component[at]))]
-                _, first, count = np.unique(component[at], return_index=True, return_counts=True)
-                rank = np.arange(len(at)) - np.repeat(first, count)
-                a.append(np.minimum(node[at], u))
-                b.append(np.maximum(node[at], u))
-                tier.append(np.searchsorted(TIERS, rank, side="right"))
-            yield pa.record_batch({n: pa.array(np.concatenate(x), pa.int64()) for n, x in (("a", a), ("b", b), ("tier", tier))})
-
-
-def rest_pairs(crowded: DataFrame, sketch: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b, tier) across components that large regions may have left out, best ones in the lowest tier.
+        for members in batch["members"]:
+            rows = members.values
+            node, component = (rows.field(c).to_numpy() for c in ("node", "component"))
+            links = block_links(node, component, _sets(rows.field("shingles")))
+            a, b = zip(*links, strict=True) if links else ((), ())
+            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def rest_links(crowded: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) across components that large regions may have left out: enough to join what is linked.
 
     ``names`` (node, component) says what is linked so far. A large region whose rows are one component has
     nothing to add. The rows of the others are dealt by their rarest shingles (two sets at 75 % share one of these
     whatever the order is, so nothing is lost; the order keeps passages that many documents share out of it). A
-    posting with one component again has nothing to add. In the others all rows outside the largest component meet
-    all rows of other components, in blocks that hold signatures only; just the pairs that may be near leave the task.
+    posting with one component again has nothing to add, and of postings with the same rows one is enough. The others
+    are compared in their tasks on the full sets, in blocks of a slice of all rows and one of those outside the
+    posting's largest component, and a block gives fewer links than it has rows, however many of its texts are alike.
     """
     spark = crowded.sparkSession
     known = settled(
@@ -224,55 +243,49 @@ def rest_pairs(crowded: DataFrame, sketch: DataFrame, names: DataFrame, texts: D
     mixed = known.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     mixed = settled(mixed.select("region"), "mixed")
     rest = settled(known.join(mixed, "region", "left_semi").select("node", "component").distinct(), "rest")
-    texts = settled(texts.join(rest, "node"), "rest-texts")
-    counted = texts.select("text").mapInArrow(_counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    sets = settled(texts.join(rest, "node").select("node", "component", "text").mapInArrow(_full_sets, "node long, component long, shingles binary"), "rest-sets")
+    counted = sets.select("shingles").mapInArrow(_counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
     counts = np.zeros(1 << COUNTERS_LOG2, np.int64)
     for part in counted.toArrow().to_batches():  # one row per counter at most
         counts[part["counter"].to_numpy()] = part["n"].to_numpy()
     run = _rare_shingles(spark.sparkContext.broadcast(counts))
-    postings = settled(texts.mapInArrow(run, "posting long, node long, component long"), "postings")
-    mixed = postings.groupBy("posting").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    mixed = settled(mixed.select("posting"), "mixed-postings")
-    known = settled(postings.join(mixed, "posting", "left_semi"), "across")
-    largest = (
-        known.groupBy("posting", "component")
-        .agg(F.count("*").alias("n"))
-        .groupBy("posting")
-        .agg(F.sum("n").alias("rows"), F.max(F.struct("n", "component"))["component"].alias("largest"))
+    postings = settled(sets.mapInArrow(run, "posting long, node long, component long, n_shingles long"), "postings")
+    by_component = postings.groupBy("posting", "component").agg(
+        F.count("*").alias("n"),
+        F.sum("n_shingles").alias("shingles"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"),
+        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("xor"),
     )
-    known = settled(known.join(settled(largest, "largest"), "posting").join(sketch, "node"), "members")
-    slices = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / BLOCK)).alias("slice")
-    member = F.struct("node", "n_shingles", "component", "low")
-    members = known.groupBy("posting", slices).agg(F.collect_list(member).alias("members")).drop("slice")
-    seekers = known.filter("component != largest").groupBy("posting", slices).agg(F.collect_list(member).alias("seekers")).drop("slice")
-    met = settled(seekers, "seekers").join(settled(members, "blocks"), "posting").select("seekers", "members")
-    pairs = met.mapInArrow(_across_components, "a long, b long, tier long")
-    return settled(pairs.groupBy("a", "b").agg(F.min("tier").alias("tier")), "rest-pairs")
+    largest = F.max(F.struct("n", "component")).alias("largest")
+    mixed = by_component.groupBy("posting").agg(
+        F.count("*").alias("components"), largest, *[f(c).alias(c) for f, c in ((F.sum, "n"), (F.sum, "shingles"), (F.sum, "sum"), (F.bit_xor, "xor"))]
+    )
+    mixed = mixed.filter("components > 1").groupBy("n", "sum", "xor").agg(F.min(F.struct("posting", "shingles", "largest")).alias("first"))
+    slices = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("first.shingles") / BLOCK_SHINGLES)).cast("long")
+    seeking = F.ceil(slices * (F.col("n") - F.col("first.largest.n")) / F.col("n")).cast("long")
+    once = settled(mixed.select("first.posting", F.col("first.largest.component").alias("largest"), slices.alias("slices"), seeking.alias("seeking")), "mixed-postings")
+    met = settled(postings.select("posting", "node", "component").join(once, "posting"), "across")
+    # a row lies in one slice; rows outside the largest component are seekers too, and meet every slice
+    own, from_ = (F.pmod(F.xxhash64("node"), F.col(c)) for c in ("slices", "seeking"))
+    as_member = met.select("posting", "node", own.alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("seeking") - 1)).alias("i"))
+    as_seeker = met.filter("component != largest").select(
+        "posting", "node", own.alias("own"), from_.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("j")
+    )
+    blocks = as_member.unionByName(as_seeker.filter("j != own").drop("own"))
+    members = F.collect_list(F.struct("node", "component", "shingles")).alias("members")
+    found = blocks.join(sets, "node").groupBy("posting", "i", "j").agg(members).select("members").mapInArrow(_block_links, "a long, b long")
+    return settled(found.distinct(), "rest-links")
 
 
 def linked_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, component) of all nodes with a link.
-
-    The pairs of the trees come first. What large regions left out follows tier by tier: a pair whose ends have
-    become one component by then needs no look at its texts.
-    """
-    pairs, crowded, sketch = candidate_pairs(nodes)
+    """(node, component) of all nodes with a link: the pairs of the trees first, then what large regions left out."""
+    pairs, crowded = candidate_pairs(nodes)
     links = settled(confirmed_links(pairs, texts), "links")
     names = component_names(links)
     if crowded.isEmpty():
         return names
-    rest = rest_pairs(crowded, sketch, names, texts)
-    for tier in range(len(TIERS) + 1):
-        of = lambda c: names.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: B023, E731
-        apart = rest.filter(F.col("tier") == tier).join(of("a"), "a", "left").join(of("b"), "b", "left")
-        apart = settled(apart.filter("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b"), "apart")
-        if apart.isEmpty():
-            continue
-        more = settled(confirmed_links(apart, texts), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            names = component_names(links)
-    return names
+    rest = rest_links(crowded, names, texts)
+    return names if rest.isEmpty() else component_names(links.unionByName(rest))
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

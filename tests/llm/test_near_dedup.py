@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from helpers import awkward, documents
@@ -120,6 +121,41 @@ def test_pairs_among_many_texts_that_share_a_passage(spark, tmp_path, first_dept
     assert found(documents(spark, tmp_path, rows)) == expected(rows)
 
 
+@pytest.mark.parametrize("block", [2, 7, 512])
+def test_many_texts_alike_by_half_and_a_large_group(spark, tmp_path, first_depth_only, monkeypatch, block):
+    """A large group of near copies, and around it texts alike by 50 to 75 % without a link: postings hold many of both."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join(_edited(rng, words, k % 6, f"a{k}"))) for k in range(120)]
+    rows += [(200 + k, " ".join(_edited(rng, words, 19, f"b{k}")[: 300 + k % 90])) for k in range(60)]
+    rows += [(300 + k, " ".join(_edited(rng, _edited(rng, words, 12, f"c{k % 9}"), 4, f"d{k}"))) for k in range(45)]
+    want = expected(rows)
+    assert 10 < len({c for *_, c in want}) < 120
+    assert found(documents(spark, tmp_path, rows)) == want
+
+
+def test_block_links_join_what_is_linked_and_no_more():
+    rng = random.Random(2)
+    for _ in range(40):
+        pool = [frozenset(rng.sample(range(60), 40)) for _ in range(4)]
+        sets = [frozenset(x for x in rng.choice(pool) if rng.random() < 0.93) for _ in range(25)]
+        component = np.array([rng.randrange(12) for _ in sets])
+        arrays = [np.array(sorted(s), np.uint64) for s in sets]
+        links = near_dedup.block_links(np.arange(25), component, arrays)
+        assert all(100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a, b in links) and len(links) < 25
+        true = [(a, b) for a in range(25) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+        same = [(a, b) for a in range(25) for b in range(a) if component[a] == component[b]]
+
+        def groups(pairs):
+            label = list(range(25))
+            for a, b in pairs:
+                label = [label[b] if x == label[a] else x for x in label]
+            return {frozenset(i for i in range(25) if label[i] == x) for x in label}
+
+        assert groups(same + links) == groups(same + true)
+
+
 def test_stage_keeps_one_of_each_group_and_all_blank_rows(spark, tmp_path):
     docs = documents(spark, tmp_path, awkward(), clashing=True)
     out = near_dedup.drop_near_copies(docs)
