@@ -31,8 +31,11 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def train_chain(sequences: list[list[list[str]]], labels: list[list[int]], n_labels: int, steps: int = 150, l2: float = 1e-3, rate: float = 0.1) -> Chain:
-    """Likeliest weights by Adam steps over all sequences, with exact forward and backward sums."""
+def train_chain(sequences: list[list[list[str]]], labels: list[list[int]], n_labels: int, steps: int = 150, l2: float = 1e-3, rate: float = 0.1, ends: bool = True) -> Chain:
+    """Likeliest weights by Adam steps over all sequences, with exact forward and backward sums.
+
+    Without ``ends`` the steps to and from a sequence's ends weigh nothing.
+    """
     names: dict[str, int] = {}
     at, owner = [], []
     longest = max(map(len, sequences))
@@ -73,8 +76,8 @@ def train_chain(sequences: list[list[list[str]]], labels: list[list[int]], n_lab
         slopes = [
             np.stack([np.bincount(at, weights=gap.reshape(-1, n_labels)[owner, y], minlength=len(names)) for y in range(n_labels)], axis=-1),
             pair,
-            gap[:, 0].sum(axis=0),
-            gap[rows, sizes - 1].sum(axis=0),
+            ends * gap[:, 0].sum(axis=0),
+            ends * gap[rows, sizes - 1].sum(axis=0),
         ]
         for i, slope in enumerate(slopes):
             slope = slope / len(sequences) + l2 * weights[i]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from locuswise.llm.crf import Chain, train_chain, viterbi
 
 #: Labelled pages that train the model; they are built from layouts by a rule (``labelled_pages``).
-TRAIN_PAGES = 300
+TRAIN_PAGES = 500
 BATCH_ROWS = 256
 _NAMES = lambda text: frozenset(text.split())
 BLOCKS = _NAMES(
@@ -64,23 +64,28 @@ def _marks(tag: str, attributes: str) -> tuple[str, ...]:
 def leaf_blocks(page: str) -> list[Block]:
     """The page's runs of text between block tags, with white space made plain and references decoded.
 
-    Text in scripts, styles and comments is no block. Tags left open are closed as a browser would in the common
+    The time grows with the page, however deep it is nested. Text in scripts, styles and comments is no block. Tags left open are closed as a browser would in the common
     cases: a paragraph by the next block, a list item or cell by the next one, anything by the end of what holds it.
     """
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    places: dict[str, list[int]] = {}
+    open_marks: dict[str, int] = {}
+    named: list[int] = []
     buffer: list[str] = []
     linked = 0
     at = 0
 
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(buffer)).split())
         if text:
-            holder = next((t for t, _ in reversed(stack) if t in BLOCKS), "")
-            inner = next((marks for _, marks in reversed(stack) if len(marks) > 1), ())
-            marks = tuple(dict.fromkeys(m for _, marks in stack for m in marks))
-            blocks.append(Block(text, marks, inner, holder, linked / len(text)))
+            k = last(BLOCKS)
+            inner = stack[named[-1]][1] if named else ()
+            blocks.append(Block(text, tuple(open_marks), inner, stack[k][0] if k >= 0 else "", linked / len(text)))
         buffer.clear()
         linked = 0
 
@@ -91,15 +96,22 @@ def leaf_blocks(page: str) -> list[Block]:
             linked += len(text.strip())
 
     def close(names, borders) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in borders:
-                return
-
+        """Close the innermost of ``names``, and all in it, unless a border stands further in."""
+        k = last(names)
+        if k >= 0 and k >= last(borders):
+            for tag, marks in stack[k:]:
+                places[tag].pop()
+                for m in marks:
+                    open_marks[m] -= 1
+                    if not open_marks[m]:
+                        del open_marks[m]
+            del stack[k:]
+            while named and named[-1] >= k:
+                named.pop()
+
+    closed = page.rfind(">")
     while at < len(page):
-        mark = _MARK.search(page, at)
+        mark = _MARK.search(page, at) if at <= closed or page.find("<!--", at) >= 0 else None
         if not mark:
             put(page[at:])
             break
@@ -128,7 +140,13 @@ def leaf_blocks(page: str) -> list[Block]:
             names, borders = CLOSES[tag]
             close(names.split(), borders)
         if not mark[3].rstrip().endswith("/") or tag in BLOCKS:
-            stack.append((tag, _marks(tag, mark[3])))
+            marks = _marks(tag, mark[3])
+            for m in marks:
+                open_marks[m] = open_marks.get(m, 0) + 1
+            if len(marks) > 1:
+                named.append(len(stack))
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, marks))
     flush()
     return blocks
 
@@ -186,7 +204,8 @@ def _open(path: str, inner: str) -> str:
 def labelled_pages(count: int = TRAIN_PAGES, seed: int = 5) -> list[tuple[str, set[int]]]:
     """Pages put together from the layouts, with the numbers of the leaf blocks that are main text.
 
-    Main text is marked while the page is made (every block of it opens with a sign that is taken out again).
+    Main text is marked while the page is made (every block of it opens with a sign that is taken out again). Some
+    pages are an article alone or have no holder, some articles are a line, and main text may open as other text does.
     """
     rng = np.random.default_rng(seed)
     pick = lambda options: options[int(rng.integers(len(options)))]
@@ -196,6 +215,12 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 5) -> list[tuple[str, s
         made = ["".join(pick(_SYLLABLES) for _ in range(int(rng.integers(1, 4)))) for _ in range(n)]
         return " ".join(made).capitalize() + pick((".", ".", ".", "", "!"))
 
+    def said(low: int, high: int) -> str:
+        if rng.integers(4):
+            return words(low, high)
+        opening = pick([o for of in OPENINGS.values() for o in of])
+        return pick((f"{opening} {words(low, high)}", opening)) or words(1, 4)
+
     def other(kind: str, paths) -> str:
         if kind == "menu":
             items = "".join(f'<li><a href="/x">{pick((*OPENINGS["menu"], words(1, 3)))}</a></li>' for _ in range(int(rng.integers(2, 7))))
@@ -212,30 +237,36 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 5) -> list[tuple[str, s
     pages = []
     for _ in range(count):
         body = []
-        if rng.integers(8):
-            body.append(pick((f"<h1>\x01{words(2, 9)}</h1>", f"<h1>\x01{words(2, 9)}</h1>", f"<h2>\x01{words(2, 9)}</h2>")))
-        for _ in range(int(rng.integers(1, 9))):
-            long = words(*pick(((1, 3), (3, 10), (10, 40), (20, 60))))
+        short = not rng.integers(5)
+        if rng.integers(3) if short else rng.integers(8):
+            body.append(pick((f"<h1>\x01{said(2, 9)}</h1>", f"<h1>\x01{said(2, 9)}</h1>", f"<h2>\x01{said(2, 9)}</h2>")))
+        for _ in range(pick((0, 1, 1, 2)) if short and body else int(rng.integers(1, 2 if short else 9))):
+            long = said(*pick(((1, 3), (3, 10), (10, 40), (20, 60))))
             kind = int(rng.integers(12))
             if kind < 7:
                 body.append(f"<p>\x01{long}" + pick(("</p>", "</p>", "")))
             elif kind == 7:
-                body.append(f"<p><b>\x01{long}<br><p>\x01{words(1, 20)}</p>")
+                body.append(f"<p><b>\x01{long}<br><p>\x01{said(1, 20)}</p>")
             elif kind == 8:
-                body.append("<ul>" + "".join(f"<li>\x01{words(1, 9)}</li>" for _ in range(3)) + "</ul>")
+                body.append("<ul>" + "".join(f"<li>\x01{said(1, 9)}</li>" for _ in range(3)) + "</ul>")
             elif kind == 9:
-                body.append(pick((f"<blockquote>\x01{long}</blockquote>", f"<pre>\x01{long}</pre>", f"<h2>\x01{words(1, 6)}</h2>", f"<h3>\x01{words(1, 6)}</h3>")))
+                body.append(pick((f"<blockquote>\x01{long}</blockquote>", f"<pre>\x01{long}</pre>", f"<h2>\x01{said(1, 6)}</h2>", f"<h3>\x01{said(1, 6)}</h3>")))
             elif kind == 10:
-                body.append(f"<table><tr><td>\x01{words(1, 4)}</td><td>\x01{words(1, 4)}</td></tr></table>")
+                body.append(f"<table><tr><td>\x01{said(1, 4)}</td><td>\x01{said(1, 4)}</td></tr></table>")
             else:
-                body.append(f"<figure><img src=x><figcaption>\x01{words(2, 9)}</figcaption></figure>")
+                body.append(f"<figure><img src=x><figcaption>\x01{said(2, 9)}</figcaption></figure>")
         inside = (("advert", ADVERTS), ("side", SIDES), ("notice", NOTICES), ("comment", COMMENTS), ("form", FORMS))
         for kind, paths in inside:
-            if not rng.integers(5):
+            if not short and not rng.integers(5):
                 body.insert(int(rng.integers(1, len(body) + 1)), other(kind, paths))
         before = [other(k, p) for k, p in (("header", HEADERS), ("menu", MENUS), ("notice", NOTICES), ("advert", ADVERTS), ("form", FORMS)) if rng.integers(3)]
         after = [other(k, p) for k, p in (("side", SIDES), ("comment", COMMENTS), ("advert", ADVERTS), ("notice", NOTICES), ("form", FORMS), ("footer", FOOTERS)) if rng.integers(3)]
-        page = f"<html><head><title>{words(2, 8)}</title></head><body>{''.join(before)}{_open(pick(HOLDERS), ''.join(body))}{''.join(after)}</body></html>"
+        article = _open(pick(HOLDERS), "".join(body)) if rng.integers(9) else "".join(body)
+        title = f"<head><title>{words(2, 8)}</title></head>" if rng.integers(4) else ""
+        if rng.integers(6):
+            page = f"<html>{title}<body>{''.join(before)}{article}{''.join(after)}</body></html>"
+        else:
+            page = pick((article, f"<html>{title}<body>{article}</body></html>"))
         page = page.replace("<body><body>", "<body>").replace("</body></body>", "</body>")
         main = {k for k, b in enumerate(leaf_blocks(page)) if b.text.startswith("\x01")}
         pages.append((page.replace("\x01", ""), main))
@@ -249,7 +280,7 @@ def train(pages: list[tuple[str, set[int]]] | None = None) -> Chain:
         if blocks:
             sequences.append(block_features(blocks))
             labels.append([int(k in main) for k in range(len(blocks))])
-    return train_chain(sequences, labels, 2)
+    return train_chain(sequences, labels, 2, ends=False)
 
 
 def main_blocks(page: str | None, model: Chain) -> list[str]:
