@@ -158,7 +158,7 @@ def read_page(page: str) -> Page:
     text: list[str] = []
     links: list[str] = []
     title, in_head, at, closed = None, False, 0, page.rfind(">")
-    head_end = max((m.start() for m in _HEAD_ENDS.finditer(page)), default=-1)
+    head_end, title_end = (max((m.start() for m in ends.finditer(page)), default=-1) for ends in (_HEAD_ENDS, _TITLE_ENDS))
     while at < len(page):
         mark = _MARK.search(page, at) if at <= closed or page.find("<!--", at) >= 0 else None
         stop = mark.start() if mark else len(page)
@@ -183,7 +183,8 @@ def read_page(page: str) -> Page:
             end = RAW[tag].search(page, at)
             at = end.end() if end else len(page)
             text.append(" ")
-        elif tag == "title" and title is None and (end := _TITLE_ENDS.search(page, at)):
+        elif tag == "title" and title is None and at <= title_end:
+            end = _TITLE_ENDS.search(page, at)
             title = " ".join(html.unescape(page[at : end.start()]).split())
         elif tag == "a" and (target := _HREF.search(mark[3])):
             links.append(html.unescape(target[1].strip("\"'")))
