@@ -1,13 +1,19 @@
-"""Array steps used inside tasks: run products and a chunked forward-backward pass.
+"""Array steps used inside tasks: run products, pieces of long sequences, and a chunked forward-backward pass.
 
 Each works on one bounded batch that Spark has already grouped; nothing here knows about tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import NamedTuple
+
 import numpy as np
 
 CHUNK_CELLS = 4_000_000
+#: A long sequence is worked on in so many pieces at once, each of so many sites at least.
+PIECES = 256
+LEAST_PIECE = 1024
 
 
 def _rescale(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,6 +55,17 @@ class RunPowers:
             bit += 1
         return left, log
 
+    def ahead_of(self, right: np.ndarray, symbol: int, length: int) -> np.ndarray:
+        """What follows (column vector of the first model) seen from before a run, scaled to a maximum of one."""
+        bit = 0
+        while length:
+            if length & 1:
+                right = self._power(symbol, bit)[0][0] @ right
+                right = right / max(right.max(), 1e-300)
+            length >>= 1
+            bit += 1
+        return right
+
     def fragment(self, lengths, symbols, start: np.ndarray | None, lead: bool):
         """Row vector(s) after the fragment if ``start`` is given, else its transfer matrix.
 
@@ -139,15 +156,134 @@ def smooth(emit, lengths, trans, start, end=None, previous=None, linked=None, wa
         yield t0, posterior.transpose(1, 0, 2), counts
 
 
+class Pieces(NamedTuple):
+    """Stretches of sequences that are smoothed side by side, with what reaches each from both sides.
+
+    ``row`` and ``offset`` say where a piece comes from. ``start`` is the distribution in force at its first site,
+    ``before`` the one at the site ahead of it (meaningful where ``linked``), ``end`` what follows its last site.
+    """
+
+    row: np.ndarray
+    offset: np.ndarray
+    sites: np.ndarray
+    before: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    linked: np.ndarray
+
+    @staticmethod
+    def joined(parts: Sequence[Pieces]) -> Pieces:
+        return Pieces(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def piece_length(sites: int) -> int:
+    return max(LEAST_PIECE, -(-int(sites) // PIECES))
+
+
+def _linked_pieces(row, sites, step, before, start, end, linked, trans, forward, backward) -> Pieces:
+    """Pieces of one sequence from ``forward(p, vector)`` and ``backward(p, vector)``, which carry a vector across piece p."""
+    offset = np.arange(0, sites, step)
+    count = len(offset)
+    befores, starts, ends = (np.empty((count, len(trans))) for _ in range(3))
+    befores[0], starts[0], ends[-1] = before, start, end
+    for p in range(1, count):
+        reached = forward(p - 1, befores[p - 1])
+        mass = reached.sum()
+        befores[p] = reached / (mass if mass > 0 else 1.0)
+        starts[p] = befores[p] @ trans
+        ends[count - 1 - p] = backward(count - p, ends[count - p])
+    flags = np.ones(count, bool)
+    flags[0] = linked
+    return Pieces(np.full(count, row), offset, np.minimum(step, sites - offset), befores, starts, ends, flags)
+
+
+def cut_runs(lengths: np.ndarray, symbols: np.ndarray, step: int) -> list[tuple[list[int], list[int]]]:
+    """Runs cut at every ``step`` sites, piece by piece."""
+    stops = np.cumsum(lengths)
+    total = int(stops[-1])
+    edges = np.union1d(stops, np.arange(step, total, step))
+    sizes = np.diff(edges, prepend=0)
+    codes = np.asarray(symbols)[np.searchsorted(stops, edges, side="left")]
+    borders = np.searchsorted(edges, np.arange(step, total, step), side="right")
+    return [(a.tolist(), b.tolist()) for a, b in zip(np.split(sizes, borders), np.split(codes, borders), strict=True)]
+
+
+def run_pieces(powers: RunPowers, row, lengths, symbols, start, end=None, before=None, linked=False) -> Pieces:
+    """Pieces of a sequence of runs under the first model of ``powers``.
+
+    The vectors at the borders are carried along the runs (one product per set bit of a run's length), so the
+    steps that remain are those inside one piece, taken for all pieces at once.
+    """
+    trans = powers.trans[0]
+    states = len(trans)
+    sites = int(np.sum(lengths))
+    step = piece_length(sites)
+    runs = cut_runs(lengths, symbols, step)
+
+    def forward(p, vector):
+        if p == 0:
+            return powers.fragment(*runs[0], start, lead=False)[0][0, 0]
+        left, log = vector[None, None], np.zeros(1)
+        for length, symbol in zip(*runs[p], strict=True):
+            left, log = powers.extend(left, log, symbol, length)
+        return left[0, 0]
+
+    def backward(p, vector):
+        for length, symbol in zip(reversed(runs[p][0]), reversed(runs[p][1]), strict=True):
+            vector = powers.ahead_of(vector, symbol, length)
+        return vector
+
+    end = np.ones(states) if end is None else end
+    return _linked_pieces(row, sites, step, start if before is None else before, start, end, linked, trans, forward, backward)
+
+
+def _piece_transfers(factors: np.ndarray, trans: np.ndarray, start: np.ndarray | None, step: int):
+    """Transfer of each piece of a sequence of emission factors (sites, states), all pieces stepped together.
+
+    With ``start`` the first piece gives a row vector (in the first row of its matrix), and no transition leads its
+    first site.
+    """
+    sites, states = factors.shape
+    count = -(-sites // step)
+    padded = np.ones((count * step, states))
+    padded[:sites] = factors
+    padded = padded.reshape(count, step, states)
+    last = sites - (count - 1) * step
+    left, log = np.broadcast_to(np.eye(states), (count, states, states)).copy(), np.zeros(count)
+    for t in range(min(step, sites)):
+        moving = count if t < last else count - 1
+        stepped = left[:moving] @ (trans[None] * padded[:moving, t, None, :])
+        if t == 0 and start is not None:
+            stepped[0] = 0.0
+            stepped[0, 0] = start * padded[0, 0]
+        left[:moving], extra = _rescale(stepped)
+        log[:moving] += extra
+    return left, log
+
+
+def factor_pieces(row, factors, trans, start, end=None, before=None, linked=False) -> Pieces:
+    """Pieces of a sequence of emission factors; see :func:`run_pieces`."""
+    sites, states = factors.shape
+    step = piece_length(sites)
+    if sites > step:
+        moves, _ = _piece_transfers(factors, trans, start, step)
+
+    def forward(p, vector):
+        return moves[0][0] if p == 0 else vector @ moves[p]
+
+    def backward(p, vector):
+        vector = moves[p] @ vector
+        return vector / max(vector.max(), 1e-300)
+
+    end = np.ones(states) if end is None else end
+    return _linked_pieces(row, sites, step, start if before is None else before, start, end, linked, trans, forward, backward)
+
+
 def dense_transfer(factors: np.ndarray, trans: np.ndarray, start: np.ndarray | None):
     """Transfer of one sequence of emission factors (sites, states); a transition leads each site
-    except the first one of a block, which takes ``start``."""
+    except the first one of a block, which takes ``start``. Long sequences are stepped in pieces side by side."""
+    moves, logs = _piece_transfers(factors, trans, start, piece_length(len(factors)))
+    members = [(moves[p][None], logs[p : p + 1]) for p in range(len(moves))]
     if start is not None:
-        left, rest = (start * factors[0])[None, None], factors[1:]
-    else:
-        left, rest = np.eye(len(trans))[None], factors
-    left, log = _rescale(left)
-    for factor in rest:
-        left, extra = _rescale(left @ (trans * factor))
-        log = log + extra
-    return left, log
+        members[0] = (members[0][0][:, :1], members[0][1])
+    return chain(members)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locuswise.functions.kernels import smooth
+from locuswise.functions.kernels import Pieces, RunPowers, run_pieces, smooth
 from locuswise.operators.scoring import (
     FRAGMENT,
     Model,
@@ -74,10 +74,14 @@ def _grouped_rows(batch: pa.RecordBatch):
         yield first, len(sites)
 
 
-def _symbol_matrix(lengths, symbols, sites) -> np.ndarray:
-    padded = np.zeros((len(sites), int(sites.max())), dtype=np.int8)
-    for row, runs, codes, n in zip(padded, lengths, symbols, sites):
-        row[:n] = np.repeat(codes, runs)
+def _symbol_matrix(lengths, symbols, pieces: Pieces) -> np.ndarray:
+    """Symbols of the sites, a row per piece."""
+    padded = np.zeros((len(pieces.sites), int(pieces.sites.max())), dtype=np.int8)
+    known = -1
+    for out, row, offset, n in zip(padded, pieces.row, pieces.offset, pieces.sites):
+        if row != known:
+            known, sites = row, np.repeat(symbols[row], lengths[row])
+        out[:n] = sites[offset : offset + n]
     return padded
 
 
@@ -85,24 +89,26 @@ def _decoder(model: Model, summarise, schema_names):
     trans, by_symbol = model.trans, np.ascontiguousarray(model.emis.T)
 
     def run(batches):
+        powers = RunPowers(trans[None], model.emis[None])
         for batch in batches:
             cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             for lo, hi in _grouped_rows(batch):
                 part = {name: col.slice(lo, hi - lo) for name, col in cols.items()}
-                sites = part["sites"].to_numpy(zero_copy_only=False)
-                codes = _symbol_matrix(_lists(part["lengths"]), _lists(part["symbols"]), sites)
-                start = np.stack(_lists(part["start"]))
+                lengths, symbols, starts = (_lists(part[name]) for name in ("lengths", "symbols", "start"))
+                pieces = Pieces.joined([run_pieces(powers, i, *x) for i, x in enumerate(zip(lengths, symbols, starts))])
+                codes = _symbol_matrix(lengths, symbols, pieces)
                 keys = [part[k].to_numpy(zero_copy_only=False) for k in ("block_id", "frag_start")]
                 diploids = part["diploid"].cast(pa.int64())
                 emit = lambda t0, t1: by_symbol[codes[:, t0:t1]]
-                for t0, posterior, _ in smooth(emit, sites, trans, start):
+                for t0, posterior, _ in smooth(emit, pieces.sites, trans, pieces.start, pieces.end):
                     at = t0 + np.arange(posterior.shape[1])
-                    inside = at[None, :] < sites[:, None]
-                    row, col = np.nonzero(inside)
+                    inside = at[None, :] < pieces.sites[:, None]
+                    piece, col = np.nonzero(inside)
+                    row = pieces.row[piece]
                     arrays = [
                         diploids.take(pa.array(row)),
                         pa.array(keys[0][row].astype(np.int32)),
-                        pa.array((keys[1][row] + t0 + col).astype(np.int64)),
+                        pa.array((keys[1][row] + pieces.offset[piece] + t0 + col).astype(np.int64)),
                         *summarise(posterior[inside]),
                     ]
                     yield pa.RecordBatch.from_arrays(arrays, names=schema_names)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locuswise.functions.kernels import dense_transfer, smooth
+from locuswise.functions.kernels import Pieces, RunPowers, dense_transfer, factor_pieces, run_pieces, smooth
 from locuswise.functions.lineage import settled
 from locuswise.functions.tiling import TILE, neighbours
 from locuswise.operators.decoding import _grouped_rows, _symbol_matrix
@@ -95,10 +95,11 @@ def pack_factors(factors: DataFrame, blocks: DataFrame, size: int = FRAGMENT) ->
     )
 
 
-def _pad_factors(part, sites, states) -> np.ndarray:
-    padded = np.ones((len(sites), int(sites.max()), states))
-    for row, flat, n in zip(padded, _lists(part["factors"]), sites):
-        row[:n] = flat.reshape(n, states)
+def _pad_factors(factors: Sequence[np.ndarray], pieces: Pieces) -> np.ndarray:
+    """Emission factors of the sites, a row per piece."""
+    padded = np.ones((len(pieces.sites), int(pieces.sites.max()), factors[0].shape[1]))
+    for out, row, offset, n in zip(padded, pieces.row, pieces.offset, pieces.sites):
+        out[:n] = factors[row][offset : offset + n]
     return padded
 
 
@@ -123,28 +124,31 @@ def joint_decode(
             cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             for lo, hi in _grouped_rows(batch):
                 part = {name: col.slice(lo, hi - lo) for name, col in cols.items()}
-                sites = part["sites"].to_numpy(zero_copy_only=False)
-                padded = _pad_factors(part, sites, states)
+                factors = [flat.reshape(-1, states) for flat in _lists(part["factors"])]
                 positions = _lists(part["positions"])
+                begins = np.cumsum([0, *map(len, positions)])[:-1]
+                positions = np.concatenate(positions).astype(np.int64)
                 blocks = part["block_id"].to_numpy(zero_copy_only=False)
-                start, end = np.full((len(sites), states), 1.0 / states), None
+                start, end = np.full((len(factors), states), 1.0 / states), [None] * len(factors)
                 if "start" in part:
-                    before, end = np.stack(_lists(part["start"])), np.stack(_lists(part["end"]))
+                    before, end = np.stack(_lists(part["start"])), _lists(part["end"])
                     first = part["file_index"].to_numpy(zero_copy_only=False) == 1
                     start = np.where(first[:, None], before, before @ trans)
+                pieces = Pieces.joined([factor_pieces(i, f, trans, start[i], end[i]) for i, f in enumerate(factors)])
+                padded = _pad_factors(factors, pieces)
                 emit = lambda t0, t1: padded[:, t0:t1]
-                for t0, posterior, _ in smooth(emit, sites, trans, start, end):
-                    means = posterior @ weights
-                    for i in range(len(sites)):
-                        n = max(0, min(int(sites[i]) - t0, means.shape[1]))
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(n, blocks[i], np.int32)),
-                                pa.array(positions[i][t0 : t0 + n].astype(np.int64)),
-                                pa.array(np.ascontiguousarray(means[i, :n])),
-                            ],
-                            names=["block_id", "pos", "value"],
-                        )
+                for t0, posterior, _ in smooth(emit, pieces.sites, trans, pieces.start, pieces.end):
+                    inside = (t0 + np.arange(posterior.shape[1]))[None, :] < pieces.sites[:, None]
+                    piece, col = np.nonzero(inside)
+                    row = pieces.row[piece]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(blocks[row].astype(np.int32)),
+                            pa.array(positions[begins[row] + pieces.offset[piece] + t0 + col]),
+                            pa.array((posterior @ weights)[inside]),
+                        ],
+                        names=["block_id", "pos", "value"],
+                    )
 
     return rows.mapInArrow(run, "block_id int, pos long, value double")
 
@@ -190,23 +194,30 @@ def _counter(trans: np.ndarray, emis: np.ndarray | None):
     by_symbol = None if emis is None else np.ascontiguousarray(emis.T)
 
     def run(batches):
+        powers = None if emis is None else RunPowers(trans[None], emis[None])
         for batch in batches:
             cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             for lo, hi in _grouped_rows(batch):
                 part = {name: col.slice(lo, hi - lo) for name, col in cols.items()}
-                sites = part["sites"].to_numpy(zero_copy_only=False)
                 before, end = np.stack(_lists(part["start"])), np.stack(_lists(part["end"]))
                 linked = part["file_index"].to_numpy(zero_copy_only=False) > 1
                 start = np.where(linked[:, None], before @ trans, before)
+                reaching = list(zip(start, end, before, linked))
                 if emis is None:
-                    padded = _pad_factors(part, sites, states)
+                    factors = [flat.reshape(-1, states) for flat in _lists(part["factors"])]
+                    pieces = Pieces.joined([factor_pieces(i, factors[i], trans, *x) for i, x in enumerate(reaching)])
+                    padded = _pad_factors(factors, pieces)
                     emit = lambda t0, t1: padded[:, t0:t1]
                 else:
-                    codes = _symbol_matrix(_lists(part["lengths"]), _lists(part["symbols"]), sites)
+                    lengths, symbols = _lists(part["lengths"]), _lists(part["symbols"])
+                    pieces = Pieces.joined([run_pieces(powers, i, lengths[i], symbols[i], *x) for i, x in enumerate(reaching)])
+                    codes = _symbol_matrix(lengths, symbols, pieces)
                     emit = lambda t0, t1: by_symbol[codes[:, t0:t1]]
+                sites = pieces.sites
                 total = np.zeros((states, states))
                 seen = np.zeros((states, 0 if emis is None else emis.shape[1]))
-                for t0, posterior, counts in smooth(emit, sites, trans, start, end, before, linked, True):
+                smoothed = smooth(emit, sites, trans, pieces.start, pieces.end, pieces.before, pieces.linked, True)
+                for t0, posterior, counts in smoothed:
                     total += counts.sum(axis=0)
                     if emis is not None:
                         inside = (t0 + np.arange(posterior.shape[1]))[None, :] < sites[:, None]

@@ -214,6 +214,108 @@ def test_expected_counts_cross_fragments(data):
         assert rows[j, 1] == pytest.approx(seen[j, 1] / seen[j, :2].sum(), abs=1e-9)
 
 
+def encoded(obs):
+    groups = [(len(list(g)), int(k)) for k, g in itertools.groupby(obs)]
+    return np.array([n for n, _ in groups]), np.array([k for _, k in groups], np.int8)
+
+
+def laid_out(pieces, found, sites):
+    """Posterior of each sequence from smoothed pieces."""
+    out = [np.full((n, S), np.nan) for n in sites]
+    for t0, posterior, _ in found:
+        for piece, (row, offset, n) in enumerate(zip(pieces.row, pieces.offset, pieces.sites)):
+            part = posterior[piece, : max(0, n - t0)]
+            out[row][offset + t0 : offset + t0 + len(part)] = part
+    return out
+
+
+@pytest.mark.parametrize("least, pieces, cells", [(1, 500, 10**6), (7, 10, 600), (50, 4, 10**6), (10_000, 256, 10**6)])
+def test_pieces_side_by_side_equal_one_pass(monkeypatch, least, pieces, cells):
+    monkeypatch.setattr(kernels, "LEAST_PIECE", least)
+    monkeypatch.setattr(kernels, "PIECES", pieces)
+    monkeypatch.setattr(kernels, "CHUNK_CELLS", cells)
+    trans, emis = random_model(5)
+    r = np.random.default_rng(2)
+    observed = [r.choice([0, 1, 2], size=n, p=[0.8, 0.15, 0.05]) for n in (1, 2, 333, 900)]
+    uniform = np.full(S, 1 / S)
+    powers = kernels.RunPowers(trans[None], emis[None])
+    by_runs = [kernels.run_pieces(powers, i, *encoded(obs), uniform) for i, obs in enumerate(observed)]
+    factors = [emis.T[obs] for obs in observed]
+    by_factors = [kernels.factor_pieces(i, f, trans, uniform) for i, f in enumerate(factors)]
+    for made in (by_runs, by_factors):
+        cut = kernels.Pieces.joined(made)
+        assert cut.sites.max() <= max(least, -(-900 // pieces))
+        padded = np.ones((len(cut.sites), cut.sites.max(), S))
+        for out, row, offset, n in zip(padded, cut.row, cut.offset, cut.sites):
+            out[:n] = factors[row][offset : offset + n]
+        emit = lambda t0, t1: padded[:, t0:t1]
+        found = list(kernels.smooth(emit, cut.sites, trans, cut.start, cut.end, cut.before, cut.linked, True))
+        got = laid_out(cut, found, map(len, observed))
+        total = sum(counts.sum(axis=0) for *_, counts in found)
+        wanted = [full_posterior(obs, trans, emis) for obs in observed]
+        for mine, (want, _) in zip(got, wanted):
+            np.testing.assert_allclose(mine, want, atol=1e-10)
+        np.testing.assert_allclose(total, sum(c for _, c in wanted), atol=1e-8)
+
+
+@pytest.mark.parametrize("step", [1, 4, 100])
+def test_dense_transfer_in_pieces(monkeypatch, step):
+    monkeypatch.setattr(kernels, "LEAST_PIECE", step)
+    monkeypatch.setattr(kernels, "PIECES", 10**6)
+    trans, _ = random_model(5)
+    factors = np.random.default_rng(3).random((57, S))
+    for start in (None, np.array([0.2, 0.3, 0.5])):
+        want = np.eye(S) if start is None else (start * factors[0])[None]
+        for f in factors[0 if start is None else 1 :]:
+            want = want @ (trans * f)
+        got, log = kernels.dense_transfer(factors, trans, start)
+        np.testing.assert_allclose(got[0] * np.exp(log[0]), want, rtol=1e-9)
+
+
+@pytest.mark.parametrize("step", [1, 3, 7, 50])
+def test_runs_are_cut_at_every_step(step):
+    obs = np.random.default_rng(8).choice([0, 0, 0, 1, 2], size=50)
+    cut = kernels.cut_runs(*encoded(obs), step)
+    assert [sum(n) for n, _ in cut] == [min(step, 50 - at) for at in range(0, 50, step)]
+    assert np.concatenate([np.repeat(k, n) for n, k in cut]).tolist() == obs.tolist()
+
+
+def test_a_fragment_of_the_default_size(spark):
+    """One fragment of many pieces: decoding against NumPy, training against small fragments."""
+    trans, emis = random_model(6)
+    obs = np.random.default_rng(12).choice([0, 0, 0, 0, 0, 1, 2], size=9_000)
+    lengths, symbols = encoded(obs)
+    stops = np.cumsum(lengths)
+    rows = [(1, 0, int(b - n + 1), int(b), int(k)) for n, b, k in zip(lengths, stops, symbols)]
+    runs = spark.createDataFrame(rows, "diploid long, block_id int, start_pos long, end_pos long, state int")
+    blocks = spark.createDataFrame([(0, 1, 9_000)], "block_id int, start long, end long")
+    model = scoring.Model(trans, emis)
+    assert kernels.piece_length(9_000) == kernels.LEAST_PIECE < 9_000
+    want, _ = full_posterior(obs, trans, emis)
+    got = np.array([r.p for r in decoding.posterior_decode(runs, blocks, model).orderBy("pos").collect()])
+    np.testing.assert_allclose(got, want, atol=1e-9)
+    for proposed, keys in ((joint.baum_welch_trans, ("j", "k")), (joint.baum_welch_emis, ("j", "obs"))):
+        whole, small = (
+            {tuple(r[k] for k in keys): r.p for r in proposed(runs, blocks, model, size).collect()} for size in (scoring.FRAGMENT, 700)
+        )
+        assert whole.keys() == small.keys() and all(whole[k] == pytest.approx(small[k], abs=1e-10) for k in whole)
+
+
+def test_joint_model_over_a_fragment_of_many_pieces(spark):
+    r = np.random.default_rng(10)
+    factors = r.random((5_000, 2))
+    trans, scales = np.array([[0.9, 0.1], [0.3, 0.7]]), np.array([0.5, 2.0])
+    symbols = spark.createDataFrame([(1, 0, t + 1, t) for t in range(5_000)], "diploid long, block_id int, pos long, symbol int")
+    table = spark.createDataFrame([(c, t, float(factors[t, c])) for c in range(2) for t in range(5_000)], "cat int, symbol int, p double")
+    blocks = spark.createDataFrame([(0, 1, 5_000)], "block_id int, start long, end long")
+    got = {x.pos: x.value for x in joint.em_loop(symbols, table, blocks, trans, scales, 1.0, rounds=2).collect()}
+    for _ in range(2):
+        _, counts = smooth_factors(factors, trans)
+        trans = counts / counts.sum(axis=1, keepdims=True)
+    want, _ = smooth_factors(factors, trans)
+    assert [got[t + 1] for t in range(5_000)] == pytest.approx(want @ scales, abs=1e-8)
+
+
 def joint_inputs(spark):
     r = np.random.default_rng(9)
     length, diploids = 40, 3
