@@ -99,6 +99,37 @@ def joint_landscape(spark, sf):
     return rounded(joint.joint_decode(packed, CATEGORY_TRANS, CATEGORY_SCALES, 0.001), "value", digits=9)
 
 
+def time_runs(spark, sf):
+    return joint.time_runs(decoded(spark, sf))
+
+
+def symbol_runs(spark, sf):
+    return joint.transition_symbol_runs(time_runs(spark, sf), 2)
+
+
+def emission_run_rows(spark, sf):
+    runs, _ = inputs(spark, sf)
+    return joint.emission_symbol_runs(time_runs(spark, sf), runs)
+
+
+def masked_run_rows(spark, sf):
+    runs, _ = inputs(spark, sf)
+    return joint.mask_decoded_runs(time_runs(spark, sf), runs, 2)
+
+
+def factor_run_rows(spark, sf):
+    """The factors of every site, from the stretches in which they are equal."""
+    found = joint.factor_runs(symbol_runs(spark, sf), symbol_table(spark, sf), 2)
+    sites = found.select("block_id", F.explode(F.sequence("start_pos", "end_pos")).alias("pos"), "logs")
+    return rounded(sites.select("block_id", "pos", F.col("logs")[0].alias("l0"), F.col("logs")[1].alias("l1")), "l0", "l1", digits=6)
+
+
+def joint_landscape_from_runs(spark, sf):
+    factors = joint.factor_runs(symbol_runs(spark, sf), symbol_table(spark, sf), 2)
+    packed = joint.pack_factor_runs(factors, b.event_blocks(spark, sf), FRAGMENT)
+    return rounded(joint.joint_decode(packed, CATEGORY_TRANS, CATEGORY_SCALES, 0.001), "value", digits=9)
+
+
 def trained_landscape(spark, sf):
     out = joint.em_loop(
         symbols(spark, sf),
@@ -254,6 +285,11 @@ QUERIES = {
     "shannon_evenness": on_posterior(decoding.shannon_evenness, digits=("evenness",)),
     "transition_symbols": symbols,
     "emission_symbols": emission_rows,
+    "transition_symbol_runs": symbol_runs,
+    "emission_symbol_runs": emission_run_rows,
+    "mask_decoded_runs": masked_run_rows,
+    "factor_runs": factor_run_rows,
+    "joint_decode_runs": joint_landscape_from_runs,
     "mask_decoded": masked_rows,
     "joint_decode": joint_landscape,
     "decode_dataset": whole_dataset,
@@ -389,6 +425,14 @@ def _sql(ctes, select):
     return q.query(ctes, select, recursive=True)
 
 
+def _runs_of(ctes, sites, column):
+    """Maximal runs of a column over consecutive sites."""
+    return _sql(ctes, f"""
+        SELECT diploid, block_id, min(pos) AS start_pos, max(pos) AS end_pos, {column} FROM (
+          SELECT *, pos - row_number() OVER (PARTITION BY diploid, block_id, {column} ORDER BY pos) AS grp FROM ({sites}))
+        GROUP BY diploid, block_id, {column}, grp""")
+
+
 ORACLES = {
     "forward_loglik": _sql(FORWARD, """
         SELECT candidate_id, diploid, block_id, round(ll, 6) AS loglik FROM lls"""),
@@ -434,6 +478,17 @@ ORACLES = {
     "mask_decoded": _sql(SMOOTH, """
         SELECT diploid, block_id, pos, CAST(CASE WHEN state = 2 THEN 2 ELSE k END AS INTEGER) AS k
         FROM decoded JOIN dense USING (diploid, block_id, pos)"""),
+    "transition_symbol_runs": _runs_of(SYMBOLS, "SELECT * FROM symbols", "symbol"),
+    "emission_symbol_runs": _runs_of(SMOOTH, """
+        SELECT diploid, block_id, pos, CAST(k * 3 + state AS INTEGER) AS symbol
+        FROM decoded JOIN dense USING (diploid, block_id, pos)""", "symbol"),
+    "mask_decoded_runs": _runs_of(SMOOTH, """
+        SELECT diploid, block_id, pos, CAST(CASE WHEN state = 2 THEN 2 ELSE k END AS INTEGER) AS k
+        FROM decoded JOIN dense USING (diploid, block_id, pos)""", "k"),
+    "factor_runs": _sql(JOINT, "SELECT block_id, pos, round(l0, 6) AS l0, round(l1, 6) AS l1 FROM logs"),
+    "joint_decode_runs": _sql(JOINT, """
+        SELECT f.block_id, f.pos, round(0.001 * (0.5 * a0 * c0 + 1.5 * a1 * c1) / (a0 * c0 + a1 * c1), 9) AS value
+        FROM joint_fwd f JOIN joint_bwd b ON b.block_id = f.block_id AND b.pos = f.pos"""),
     "decode_state": q.query(q.POSTERIOR, """
         SELECT diploid, pos, CAST(s AS INTEGER) AS s, k, c AS c_rho FROM (
           SELECT *, row_number() OVER (PARTITION BY pos ORDER BY p DESC, s) AS rn FROM posterior) WHERE rn = 1"""),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from locuswise import bindings as b
 from locuswise.catalog import sql as q
 from locuswise.operators import bins, blocks
+from locuswise.operators.overlay import value_runs
 
 SIZES = (50, 100, 500)
 FRAGMENT = 150
@@ -71,6 +72,13 @@ def window_table(spark, sf):
     return blocks.window_coords(rates, limits)
 
 
+def maps_in_time(spark, sf):
+    sites = b.lands(spark, sf)
+    runs = [value_runs(sites, c) for c in ("k", "state", "value")]
+    found = bins.bins_in_time(*runs, b.land_blocks(spark, sf), SIZES, *TIMES)
+    return rounded(found, "value", "missing", "diversity")
+
+
 QUERIES = {
     "fragment_blocks": lambda s, d: blocks.fragment_blocks(b.land_blocks(s, d), FRAGMENT),
     "trim_to_cutoffs": lambda s, d: blocks.trim_to_cutoffs(b.lands(s, d), b.land_blocks(s, d)),
@@ -88,6 +96,7 @@ QUERIES = {
     "bin_rate_in_time": lambda s, d: rounded(
         bins.bin_rate_in_time(b.lands(s, d), b.land_blocks(s, d), SIZES, *TIMES), "value"
     ),
+    "bins_in_time": maps_in_time,
     "average_landscape": lambda s, d: rounded(bins.average_landscape(b.lands(s, d)), "sample_mean"),
     "concat_fragments": concatenated,
     "window_coords": window_table,
@@ -139,6 +148,13 @@ ORACLES = {
                count(*) AS sites,
                round(avg(value) FILTER (k >= {TIMES[0]} AND k < {TIMES[1]}), {DIGITS}) AS value
         FROM binned GROUP BY 1, 2, 3, 4"""),
+    "bins_in_time": q.query(BINNED + f""",
+        timed AS (SELECT *, k >= {TIMES[0]} AND k < {TIMES[1]} AS t FROM binned)""", f"""
+        SELECT block_id, diploid, bin_size, bin, count(*) AS sites, count(*) FILTER (t) AS sites_in_time,
+               round(avg(value) FILTER (t), {DIGITS}) AS value,
+               round(avg(CAST(state = 2 AS INTEGER)) FILTER (t), {DIGITS}) AS missing,
+               round(avg(CAST(state = 1 AS INTEGER)) FILTER (t AND state < 2), {DIGITS}) AS diversity
+        FROM timed GROUP BY 1, 2, 3, 4"""),
     "average_landscape": q.query(q.LANDS, f"""
         SELECT block_id, pos, round(avg(value), {DIGITS}) AS sample_mean, count(*) AS diploids
         FROM lands GROUP BY 1, 2"""),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from locuswise.operators.blocks import trimmed_limits
 from locuswise.operators.calling import HETEROZYGOUS, MISSING
+from locuswise.operators.overlay import overlay
 from locuswise.operators.runs import as_runs
 
 DEFAULT_SIZES = (10_000, 100_000, 1_000_000)
@@ -90,21 +91,24 @@ def bin_rate_dropping_last(
     )
 
 
-def bin_states(
-    states: DataFrame, blocks: DataFrame, sizes: Sequence[int] = DEFAULT_SIZES
+def run_sums(
+    runs: DataFrame,
+    blocks: DataFrame,
+    sizes: Sequence[int],
+    totals: Mapping[str, Column],
+    keys: Sequence[str] = ("block_id", "diploid"),
 ) -> DataFrame:
-    """Missing, heterozygous and total sites per bin, straight from runs (or sites).
+    """Sums per bin straight from runs; ``totals`` are expressions over a run's columns and ``_len``, its sites in the bin.
 
     A run contributes its overlap with each bin, so dense sites are never produced. Sizes whose common
     step is far below the smallest of them are binned one by one.
     """
     step = math.gcd(*[int(s) for s in sizes])
     if len(sizes) > 1 and 4 * step < min(sizes):
-        return reduce(lambda a, b: a.unionByName(b), [bin_states(states, blocks, [s]) for s in sizes])
-    keys = ["block_id", "diploid"]
+        return reduce(lambda a, b: a.unionByName(b), [run_sums(runs, blocks, [s], totals, keys) for s in sizes])
+    keys = list(keys)
     clipped = (
-        as_runs(states)
-        .join(trimmed_limits(blocks), "block_id")
+        runs.join(trimmed_limits(blocks), "block_id")
         .withColumn("start_pos", F.greatest("start_pos", "_lower") - F.col("_lower"))
         .withColumn("end_pos", F.least("end_pos", "_upper") - F.col("_lower"))
         .filter("start_pos <= end_pos")
@@ -120,13 +124,66 @@ def bin_states(
         clipped.withColumn("_cell", F.explode(F.sequence(first, last)))
         .withColumn("_len", overlap)
         .groupBy(*keys, "_cell")
-        .agg(
-            F.sum(F.when(F.col("state") == MISSING, F.col("_len")).otherwise(0)).alias("missing_sites"),
-            F.sum(F.when(F.col("state") == HETEROZYGOUS, F.col("_len")).otherwise(0)).alias("het_sites"),
-            F.sum("_len").alias("sites"),
-        )
+        .agg(*[F.sum(expr).alias(name) for name, expr in totals.items()])
+    )
+    return _roll_up(cells, keys, step, sizes, list(totals))
+
+
+def bin_states(
+    states: DataFrame, blocks: DataFrame, sizes: Sequence[int] = DEFAULT_SIZES
+) -> DataFrame:
+    """Missing, heterozygous and total sites per bin, straight from runs (or sites)."""
+    totals = {
+        "missing_sites": F.when(F.col("state") == MISSING, F.col("_len")).otherwise(0),
+        "het_sites": F.when(F.col("state") == HETEROZYGOUS, F.col("_len")).otherwise(0),
+        "sites": F.col("_len"),
+    }
+    return run_sums(as_runs(states), blocks, sizes, totals)
+
+
+def bins_in_time(
+    times: DataFrame,
+    states: DataFrame,
+    rates: DataFrame,
+    blocks: DataFrame,
+    sizes: Sequence[int],
+    lowest: int,
+    highest: int,
+) -> DataFrame:
+    """Rate, missing share and diversity per bin over the sites whose decoded time index lies in ``[lowest, highest)``.
+
+    ``times`` (k), ``states`` (state) and ``rates`` (value) are runs of the same sequences; they are laid over each other,
+    so the work follows their edges. A bin without sites in the time range has nulls. Sites without a decoded time
+    take no part; missing ones count in the rate, as in :func:`bin_rate_in_time`, but not in the diversity.
+    """
+    laid = overlay({"k": times, "state": states, "value": rates}).filter("k IS NOT NULL")
+    inside = (F.col("k") >= lowest) & (F.col("k") < highest)
+    sites = lambda where: F.when(inside & where, F.col("_len")).otherwise(0)
+    sums = run_sums(
+        laid,
+        blocks,
+        sizes,
+        {
+            "sites": F.col("_len"),
+            "sites_in_time": sites(F.lit(True)),
+            "_missing": sites(F.col("state") == MISSING),
+            "_het": sites(F.col("state") == HETEROZYGOUS),
+            "_rated": sites(F.col("value").isNotNull()),
+            "_total": F.when(inside, F.col("value") * F.col("_len")).otherwise(0.0),
+        },
+    )
+    share = lambda part, whole: part / F.nullif(whole, F.lit(0))
+    return sums.select(
+        "block_id",
+        "diploid",
+        "bin_size",
+        "bin",
+        "sites",
+        "sites_in_time",
+        share(F.col("_total"), F.col("_rated")).alias("value"),
+        share(F.col("_missing"), F.col("sites_in_time")).alias("missing"),
+        share(F.col("_het"), F.col("sites_in_time") - F.col("_missing")).alias("diversity"),
     )
-    return _roll_up(cells, keys, step, sizes, ["missing_sites", "het_sites", "sites"])
 
 
 def bin_missing(states: DataFrame, blocks: DataFrame, sizes: Sequence[int] = DEFAULT_SIZES) -> DataFrame:

@@ -14,6 +14,7 @@ from locuswise.functions.lineage import settled
 from locuswise.functions.tiling import TILE, neighbours
 from locuswise.operators.decoding import _grouped_rows, _symbol_matrix
 from locuswise.operators import scoring
+from locuswise.operators.overlay import covering_sums, overlay, value_runs
 from locuswise.operators.runs import KEYS
 from locuswise.operators.scoring import (
     FRAGMENT,
@@ -34,6 +35,8 @@ from locuswise.operators.scoring import (
 )
 
 EM_ROUNDS = 20
+#: Logarithms are summed over diploids as whole numbers of this many to one.
+LOG_UNIT = 1 << 40
 
 
 def transition_symbols(decoded: DataFrame, n: int, tile: int = TILE) -> DataFrame:
@@ -95,6 +98,110 @@ def pack_factors(factors: DataFrame, blocks: DataFrame, size: int = FRAGMENT) ->
     )
 
 
+def time_runs(decoded: DataFrame, tile: int = TILE) -> DataFrame:
+    """Maximal runs of decoded time. Sites and runs are written once: what made them is not done again by each reader."""
+    sites = settled(decoded.select(*KEYS, "pos", "k"), "decoded-sites")
+    return settled(value_runs(sites, "k", tile=tile), "time-runs")
+
+
+def transition_symbol_runs(times: DataFrame, n: int, tile: int = TILE) -> DataFrame:
+    """:func:`transition_symbols` from runs (keys, start_pos, end_pos, k) to maximal runs of equal symbol.
+
+    Inside a run the time stays; its last site leads to the next run, and the sequence's last site repeats the code before.
+    """
+    merged = settled(value_runs(times, "k", tile=tile), "merged-times")
+    linked = neighbours(merged, KEYS, "start_pos", "prev", "next", tile)
+    k, stays = F.col("k"), F.col("k") * n + F.col("k")
+    alone = F.col("start_pos") == F.col("end_pos")
+    last = F.coalesce(k * n + F.col("next.k"), F.when(alone, F.col("prev.k") * n + k), stays)
+    run = lambda a, b, code: F.struct(a.alias("start_pos"), b.alias("end_pos"), code.cast("int").alias("symbol"))
+    inner = F.when(~alone, run(F.col("start_pos"), F.col("end_pos") - 1, stays))
+    both = F.filter(F.array(inner, run(F.col("end_pos"), F.col("end_pos"), last)), lambda r: r.isNotNull())
+    coded = settled(linked.select(*KEYS, F.explode(both).alias("r")).select(*KEYS, "r.*"), "coded-runs")
+    return settled(value_runs(coded, "symbol", tile=tile), "symbol-runs")
+
+
+def emission_symbol_runs(times: DataFrame, states: DataFrame, n_obs: int = 3, tile: int = TILE) -> DataFrame:
+    """:func:`emission_symbols` from runs of decoded time and runs of observed state."""
+    laid = overlay({"k": times, "state": states}, KEYS, tile).filter("k IS NOT NULL AND state IS NOT NULL")
+    coded = settled(laid.withColumn("symbol", (F.col("k") * n_obs + F.col("state")).cast("int")), "coded-runs")
+    return value_runs(coded, "symbol", tile=tile)
+
+
+def mask_decoded_runs(times: DataFrame, states: DataFrame, n: int, tile: int = TILE) -> DataFrame:
+    """:func:`mask_decoded` from runs of decoded time and runs of observed state."""
+    laid = overlay({"k": times, "state": states}, KEYS, tile).filter("k IS NOT NULL AND state IS NOT NULL")
+    masked = laid.withColumn("k", F.when(F.col("state") == 2, F.lit(n)).otherwise(F.col("k")).cast("int"))
+    return value_runs(settled(masked, "masked-runs"), "k", tile=tile)
+
+
+def factor_runs(symbols: DataFrame, emission: DataFrame, categories: int, tile: int = TILE) -> DataFrame:
+    """Stretches (block_id, start_pos, end_pos, logs) of equal factors: the runs of all diploids swept together.
+
+    ``logs`` is the log of the product over the diploids there of P(symbol | category). A probability of zero gives
+    minus infinity, however many diploids say otherwise; a stretch where that holds for every category, and a symbol
+    without a probability in each category, raise an error. Logs are summed in units of 2^-40, so that taking a run away
+    behind its end leaves no trace.
+    """
+    logs = emission.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("cat", "p"))).alias("c"))
+    lookup = settled(logs.select("symbol", F.col("c.p").alias("p")), "emission")
+    known = symbols.join(lookup, "symbol", "left")
+    complete = F.when(F.size(F.coalesce("p", F.array().cast("array<double>"))) == categories, F.col("p")).otherwise(
+        F.raise_error(F.concat(F.lit("no emission of symbol "), F.coalesce(F.col("symbol").cast("string"), F.lit("null")))).cast("array<double>")
+    )
+    known = known.withColumn("p", complete)
+    units = lambda p: F.when(p > 0, F.round(F.log(p) * LOG_UNIT)).otherwise(0)
+    sums = {f"l{j}": units(F.col("p")[j]) for j in range(categories)} | {f"z{j}": (F.col("p")[j] <= 0).cast("int") for j in range(categories)}
+    swept = covering_sums(known, ["block_id"], sums, tile)
+    each = [F.when(F.col(f"z{j}") > 0, F.lit(float("-inf"))).otherwise(F.col(f"l{j}") / LOG_UNIT) for j in range(categories)]
+    possible = F.when(F.greatest(*each) > float("-inf"), F.array(*each)) if categories > 1 else F.when(each[0] > float("-inf"), F.array(*each))
+    nothing = F.raise_error(F.concat(F.lit("no category is possible at site "), F.col("start_pos").cast("string"))).cast("array<double>")
+    return swept.select("block_id", "start_pos", "end_pos", F.coalesce(possible, nothing).alias("logs"))
+
+
+def pack_factor_runs(factors: DataFrame, blocks: DataFrame, size: int = FRAGMENT) -> DataFrame:
+    """One row per (block, fragment) with the factors of its stretches in order, scaled to a maximum of one.
+
+    The sites of a stretch are told apart in the tasks that smooth them only.
+    """
+    limits = blocks.select("block_id", F.col("start").alias("_lo"))
+    number = lambda c: F.floor((F.col(c) - F.col("_lo")) / F.lit(size)).cast("int")
+    pieces = (
+        factors.join(limits, "block_id")
+        .withColumn("_i", F.explode(F.sequence(number("start_pos"), number("end_pos"))))
+        .withColumn("start_pos", F.greatest(F.col("start_pos"), F.col("_lo") + F.col("_i") * F.lit(int(size))))
+        .withColumn("end_pos", F.least(F.col("end_pos"), F.col("_lo") + (F.col("_i") + 1) * F.lit(int(size)) - 1))
+    )
+    scaled = F.transform("logs", lambda x: F.exp(x - F.array_max("logs")))
+    run = F.struct("start_pos", (F.col("end_pos") - F.col("start_pos") + 1).alias("n"), scaled.alias("f"))
+    placed = by_fragment(pieces.withColumn("file_index", F.col("_i") + 1), ["block_id"])
+    packed = placed.groupBy("block_id", "file_index").agg(F.sort_array(F.collect_list(run)).alias("s"))
+    return packed.select(
+        F.lit(0).cast("long").alias("diploid"),
+        "block_id",
+        "file_index",
+        F.aggregate("s.n", F.lit(0).cast("long"), lambda a, x: a + x).alias("sites"),
+        F.col("s.start_pos").alias("run_starts"),
+        F.col("s.n").alias("run_lengths"),
+        F.flatten("s.f").alias("factors"),
+    )
+
+
+def _site_rows(part, states: int) -> list[np.ndarray]:
+    """Factors (sites, states) of each packed row, from sites or from stretches."""
+    flats = [flat.reshape(-1, states) for flat in _lists(part["factors"])]
+    if "run_lengths" not in part:
+        return flats
+    return [np.repeat(f, n, axis=0) for f, n in zip(flats, _lists(part["run_lengths"]))]
+
+
+def _site_positions(part) -> list[np.ndarray]:
+    if "positions" in part:
+        return _lists(part["positions"])
+    rows = zip(_lists(part["run_starts"]), _lists(part["run_lengths"]))
+    return [np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum()) for starts, n in rows]
+
+
 def _pad_factors(factors: Sequence[np.ndarray], pieces: Pieces) -> np.ndarray:
     """Emission factors of the sites, a row per piece."""
     padded = np.ones((len(pieces.sites), int(pieces.sites.max()), factors[0].shape[1]))
@@ -124,8 +231,8 @@ def joint_decode(
             cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             for lo, hi in _grouped_rows(batch):
                 part = {name: col.slice(lo, hi - lo) for name, col in cols.items()}
-                factors = [flat.reshape(-1, states) for flat in _lists(part["factors"])]
-                positions = _lists(part["positions"])
+                factors = _site_rows(part, states)
+                positions = _site_positions(part)
                 begins = np.cumsum([0, *map(len, positions)])[:-1]
                 positions = np.concatenate(positions).astype(np.int64)
                 blocks = part["block_id"].to_numpy(zero_copy_only=False)
@@ -165,9 +272,9 @@ def _factor_transfers(trans: np.ndarray):
             keys["idx"] = cols["file_index"]
             keys["batch"] = pa.array(np.zeros(batch.num_rows, np.int32))
             mats, logs = [], []
-            for flat, idx in zip(_lists(cols["factors"]), cols["file_index"].to_pylist()):
+            for factors, idx in zip(_site_rows(cols, states), cols["file_index"].to_pylist()):
                 start = np.full(states, 1.0 / states) if idx == 1 else None
-                m, log = dense_transfer(flat.reshape(-1, states), trans, start)
+                m, log = dense_transfer(factors, trans, start)
                 mats.append(m)
                 logs.append(log)
             yield _emit_transfer(keys, mats, logs)
@@ -204,7 +311,7 @@ def _counter(trans: np.ndarray, emis: np.ndarray | None):
                 start = np.where(linked[:, None], before @ trans, before)
                 reaching = list(zip(start, end, before, linked))
                 if emis is None:
-                    factors = [flat.reshape(-1, states) for flat in _lists(part["factors"])]
+                    factors = _site_rows(part, states)
                     pieces = Pieces.joined([factor_pieces(i, factors[i], trans, *x) for i, x in enumerate(reaching)])
                     padded = _pad_factors(factors, pieces)
                     emit = lambda t0, t1: padded[:, t0:t1]
@@ -308,8 +415,14 @@ def em_loop(
     size: int = FRAGMENT,
     rounds: int = EM_ROUNDS,
 ) -> DataFrame:
-    """Train the category transitions, then the posterior mean rate of every site."""
-    packed = pack_factors(site_factors(symbols, emission, len(scales)), blocks, size)
+    """Train the category transitions, then the posterior mean rate of every site.
+
+    ``symbols`` are sites or, which is cheaper, runs (:func:`transition_symbol_runs`, :func:`emission_symbol_runs`); both give the same rates.
+    """
+    if "pos" in symbols.columns:
+        packed = pack_factors(site_factors(symbols, emission, len(scales)), blocks, size)
+    else:
+        packed = pack_factor_runs(factor_runs(symbols, emission, len(scales)), blocks, size)
     fragments = settled(packed, "factors")
     trans, carried = train_joint(fragments, trans, most_fragments(blocks, size), rounds)
     return joint_decode(fragments, trans, scales, base, carried)
