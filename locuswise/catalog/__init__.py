@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from locuswise.catalog import files, hmm, maps, models, sites, streams
+from locuswise.catalog import files, hmm, maps, models, modulated, sites, streams
 
-SECTIONS = (files, sites, maps, models, hmm, streams)
+SECTIONS = (files, sites, maps, models, modulated, hmm, streams)
 
 
 def queries():

@@ -272,25 +272,34 @@ QUERIES = {
     "time_weighted_size": weighted_sizes,
 }
 
-GRID = q.CANDIDATES + f""",
+
+
+def cells_sql(n: int) -> str:
+    return f""",
 cells AS (
-  SELECT *, 0.1 * pow(1 + {TMAX} / CAST(0.1 AS DOUBLE), k / CAST({N} AS DOUBLE)) - 0.1 AS t_lo,
-         CASE WHEN k < {N - 1} THEN 0.1 * pow(1 + {TMAX} / CAST(0.1 AS DOUBLE), (k + 1) / CAST({N} AS DOUBLE)) - 0.1 END
+  SELECT *, 0.1 * pow(1 + {TMAX} / CAST(0.1 AS DOUBLE), k / CAST({n} AS DOUBLE)) - 0.1 AS t_lo,
+         CASE WHEN k < {n - 1} THEN 0.1 * pow(1 + {TMAX} / CAST(0.1 AS DOUBLE), (k + 1) / CAST({n} AS DOUBLE)) - 0.1 END
            AS t_hi,
          1 + CAST(0.1 AS DOUBLE) * ((candidate_id + k) % 5) AS "lambda"
-  FROM (SELECT *, CAST(unnest(range(0, {N})) AS INTEGER) AS k FROM candidates)
+  FROM (SELECT *, CAST(unnest(range(0, {n})) AS INTEGER) AS k FROM candidates)
 )"""
 
-TIMED = GRID + """,
-timed AS (
+
+def timed_sql(source: str = "cells", name: str = "timed") -> str:
+    return f""",
+{name} AS (
   SELECT *, CASE WHEN t_hi IS NULL THEN t_lo + 1 / "lambda"
        ELSE (1 + "lambda" * t_lo - exp(-"lambda" * (t_hi - t_lo)) * (1 + "lambda" * t_hi))
             / ("lambda" * (1 - exp(-"lambda" * (t_hi - t_lo)))) END AS t_mean
-  FROM cells
+  FROM {source}
 )"""
 
 
-def _transitions(source: str, keys: str, rho: str) -> str:
+GRID = q.CANDIDATES + cells_sql(N)
+TIMED = GRID + timed_sql()
+
+
+def transitions_sql(source: str, keys: str, rho: str) -> str:
     """Pairwise sums over earlier cells, written out without the fold used in Spark."""
     on = " AND ".join(f"x.{k} = y.{k}" for k in keys.split(", "))
     own = ", ".join(f"x.{k}" for k in keys.split(", "))
@@ -409,12 +418,12 @@ ORACLES = {
         SELECT candidate_id, CAST(a * 3 + b AS INTEGER) AS code, CAST(a AS INTEGER) AS k,
                CAST(b AS INTEGER) AS obs
         FROM (SELECT *, unnest(range(0, 3)) AS b FROM (SELECT *, unnest(range(0, n)) AS a FROM sizes))"""),
-    "time_transitions": q.query(TIMED + _transitions("timed", "candidate_id", "rho"), f"""
+    "time_transitions": q.query(TIMED + transitions_sql("timed", "candidate_id", "rho"), f"""
         SELECT candidate_id, k_from, k_to, round(p, {DIGITS}) AS p FROM time_trans"""),
     "state_transitions": q.query(
         TIMED + _scales("cats", "c", RHO_SCALES) + """,
         scaled AS (SELECT timed.*, c, rho * scale AS scaled_rho FROM timed, cats)"""
-        + _transitions("scaled", "candidate_id, c", "scaled_rho"), f"""
+        + transitions_sql("scaled", "candidate_id, c", "scaled_rho"), f"""
         SELECT t.candidate_id, CAST(k_from * 3 + t.c AS INTEGER) AS s_from,
                CAST(k_to * 3 + x.c AS INTEGER) AS s_to,
                round(p * CASE WHEN t.c = x.c THEN 1 - p_size * CAST(0.0001 AS DOUBLE)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locuswise.functions.lineage import cut_lineage, settled
-from locuswise.operators import grid, model
+from locuswise.operators import grid, model, modulated
 from locuswise.operators.params import best_model, resume_sweep
 from locuswise.operators.scoring import FRAGMENT, Scorer, pack_models
 
@@ -58,6 +58,18 @@ def smc_models(
     return pack_models(trans, emis)
 
 
+def smc_modulated_models(
+    candidates: DataFrame, knots: DataFrame, n: int, n_knots: int, **rates: modulated.Modulation
+) -> DataFrame:
+    """Packed models in which each of ``theta``, ``rho`` and ``ne`` that is given changes along the sequence."""
+    parts = {rate: modulated.constant(candidates, rate) for rate in modulated.RATES}
+    unknown = set(rates) - set(parts)
+    if unknown:
+        raise ValueError(f"unknown rates {sorted(unknown)}")
+    timed = smc_grids(candidates.select("candidate_id", "theta", "rho"), knots, n, n_knots)
+    return modulated.modulated_models(timed, **(parts | rates))
+
+
 def default_knots(candidates: DataFrame, n_knots: int) -> DataFrame:
     """Starting heights: one, nudged up and down in turn, flat ends."""
     nudged = F.when(F.col("i") % 2 == 0, 1.01).otherwise(0.99)
