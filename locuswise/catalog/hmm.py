@@ -19,6 +19,10 @@ CATEGORY_TRANS = np.array([[0.95, 0.05], [0.1, 0.9]])
 CATEGORY_SCALES = (0.5, 1.5)
 # P(pair of successive time indices | category), pairs coded 2 * from + to
 SYMBOL_P = ((0.98, 0.02, 0.03, 0.97), (0.6, 0.4, 0.5, 0.5))
+# P(decoded time and observed state | category), coded 3 * time + state
+THETA_P = ((0.97, 0.03, 1.0, 0.9, 0.1, 1.0), (0.93, 0.07, 1.0, 0.75, 0.25, 1.0))
+THETA_TRANS = np.array([[0.97, 0.03], [0.04, 0.96]])
+THETA_SCALES = (0.25, 4.0)
 PARAM_NAMES = ("het_0", "het_1", "stay_0", "stay_1")
 
 
@@ -81,11 +85,9 @@ def decoded(spark, sf):
     return decoding.decode_genome(runs, blocks, TWO_STATES, [0, 1], FRAGMENT)
 
 
-def symbol_table(spark, sf):
+def symbol_table(spark, sf, table=SYMBOL_P):
     """Emission of decoded symbols per category, expanded from the categories of the fixed table."""
-    rows = [
-        (c, s, float(p)) for c, probabilities in enumerate(SYMBOL_P) for s, p in enumerate(probabilities)
-    ]
+    rows = [(c, s, float(p)) for c, probabilities in enumerate(table) for s, p in enumerate(probabilities)]
     return spark.createDataFrame(rows, "cat int, symbol int, p double")
 
 
@@ -130,6 +132,16 @@ def joint_landscape_from_runs(spark, sf):
     return rounded(joint.joint_decode(packed, CATEGORY_TRANS, CATEGORY_SCALES, 0.001), "value", digits=9)
 
 
+def joint_landscapes_of_rates(spark, sf):
+    """Rho and theta of all sequences together, from one decoding."""
+    chains = {
+        "rho": joint.Chain(symbol_table(spark, sf), CATEGORY_TRANS, CATEGORY_SCALES, 0.001),
+        "theta": joint.Chain(symbol_table(spark, sf, THETA_P), THETA_TRANS, THETA_SCALES, 0.002),
+    }
+    runs, blocks = inputs(spark, sf)
+    return rounded(joint.joint_landscapes(time_runs(spark, sf), runs, blocks, chains, 2, FRAGMENT), "value", digits=9)
+
+
 def trained_landscape(spark, sf):
     out = joint.em_loop(
         symbols(spark, sf),
@@ -290,6 +302,7 @@ QUERIES = {
     "mask_decoded_runs": masked_run_rows,
     "factor_runs": factor_run_rows,
     "joint_decode_runs": joint_landscape_from_runs,
+    "joint_landscapes": joint_landscapes_of_rates,
     "mask_decoded": masked_rows,
     "joint_decode": joint_landscape,
     "decode_dataset": whole_dataset,
@@ -382,35 +395,64 @@ symbols AS (
 )"""
 
 
-JOINT = SYMBOLS + f""",
-table_p(cat, symbol, p) AS (VALUES {", ".join(
-    f"({c}, {i}, CAST({p} AS DOUBLE))" for c, row in enumerate(SYMBOL_P) for i, p in enumerate(row))}),
-logs AS (
+def second_level(name: str, symbols: str, table, trans) -> str:
+    """Forward and backward of a chain of two categories over all sequences, reset at every fragment start."""
+    (t00, t01), (t10, t11) = [[f"CAST({float(p)} AS DOUBLE)" for p in row] for row in trans]
+    rows = ", ".join(f"({c}, {i}, CAST({p} AS DOUBLE))" for c, row in enumerate(table) for i, p in enumerate(row))
+    return f""",
+{name}_p(cat, symbol, p) AS (VALUES {rows}),
+{name}_logs AS (
   SELECT block_id, pos, sum(ln(p)) FILTER (cat = 0) AS l0, sum(ln(p)) FILTER (cat = 1) AS l1
-  FROM symbols JOIN table_p USING (symbol) GROUP BY 1, 2),
-joint_sites AS (
+  FROM {symbols} JOIN {name}_p USING (symbol) GROUP BY 1, 2),
+{name}_sites AS (
   SELECT block_id, pos, exp(l0 - greatest(l0, l1)) AS e0, exp(l1 - greatest(l0, l1)) AS e1,
-         (pos - 1) % {FRAGMENT} = 0 AS opens FROM logs),
-joint_fwd AS (
-  SELECT block_id, pos, e0 / (e0 + e1) AS a0, e1 / (e0 + e1) AS a1 FROM joint_sites WHERE pos = 1
+         (pos - 1) % {FRAGMENT} = 0 AS opens FROM {name}_logs),
+{name}_fwd AS (
+  SELECT block_id, pos, e0 / (e0 + e1) AS a0, e1 / (e0 + e1) AS a1 FROM {name}_sites WHERE pos = 1
   UNION ALL
   SELECT block_id, pos, b0 / (b0 + b1), b1 / (b0 + b1) FROM (
     SELECT s.block_id, s.pos,
-           CASE WHEN opens THEN 0.5 ELSE a0 * CAST(0.95 AS DOUBLE) + a1 * CAST(0.1 AS DOUBLE) END * e0 AS b0,
-           CASE WHEN opens THEN 0.5 ELSE a0 * CAST(0.05 AS DOUBLE) + a1 * CAST(0.9 AS DOUBLE) END * e1 AS b1
-    FROM joint_fwd f JOIN joint_sites s ON s.block_id = f.block_id AND s.pos = f.pos + 1)
+           CASE WHEN opens THEN 0.5 ELSE a0 * {t00} + a1 * {t10} END * e0 AS b0,
+           CASE WHEN opens THEN 0.5 ELSE a0 * {t01} + a1 * {t11} END * e1 AS b1
+    FROM {name}_fwd f JOIN {name}_sites s ON s.block_id = f.block_id AND s.pos = f.pos + 1)
 ),
-joint_bwd AS (
+{name}_bwd AS (
   SELECT block_id, pos, CAST(0.5 AS DOUBLE) AS c0, CAST(0.5 AS DOUBLE) AS c1, e0, e1, opens
-  FROM joint_sites WHERE pos = 240
+  FROM {name}_sites WHERE pos = 240
   UNION ALL
   SELECT block_id, pos, g0 / (g0 + g1), g1 / (g0 + g1), e0, e1, opens FROM (
     SELECT s.block_id, s.pos, s.e0, s.e1, s.opens,
-           CASE WHEN b.opens THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.95 AS DOUBLE) * b.e0 * c0 + CAST(0.05 AS DOUBLE) * b.e1 * c1 END AS g0,
-           CASE WHEN b.opens THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) * b.e0 * c0 + CAST(0.9 AS DOUBLE) * b.e1 * c1 END AS g1
-    FROM joint_bwd b JOIN joint_sites s ON s.block_id = b.block_id AND s.pos = b.pos - 1)
+           CASE WHEN b.opens THEN CAST(0.5 AS DOUBLE) ELSE {t00} * b.e0 * c0 + {t01} * b.e1 * c1 END AS g0,
+           CASE WHEN b.opens THEN CAST(0.5 AS DOUBLE) ELSE {t10} * b.e0 * c0 + {t11} * b.e1 * c1 END AS g1
+    FROM {name}_bwd b JOIN {name}_sites s ON s.block_id = b.block_id AND s.pos = b.pos - 1)
 )"""
 
+
+def second_level_rates(name: str, scales, base: float) -> str:
+    low, high = scales
+    return f"""
+        SELECT f.block_id, f.pos, {base} * ({low} * a0 * c0 + {high} * a1 * c1) / (a0 * c0 + a1 * c1) AS value
+        FROM {name}_fwd f JOIN {name}_bwd b ON b.block_id = f.block_id AND b.pos = f.pos"""
+
+
+JOINT = SYMBOLS + second_level("joint", "symbols", SYMBOL_P, CATEGORY_TRANS)
+JOINT_RATES = second_level_rates("joint", CATEGORY_SCALES, 0.001)
+BOTH = JOINT + """,
+theta_symbols AS (
+  SELECT diploid, block_id, pos, CAST(k * 3 + state AS INTEGER) AS symbol
+  FROM decoded JOIN dense USING (diploid, block_id, pos))""" + second_level("theta", "theta_symbols", THETA_P, THETA_TRANS)
+
+# time and rho move apart from each other and rho does not emit: its posterior is where its moves lead
+DATASET = JOINT + f""",
+rho_share AS (
+  SELECT 1 AS pos, CAST(0.5 AS DOUBLE) AS q0
+  UNION ALL
+  SELECT pos + 1, CASE WHEN pos % {FRAGMENT} = 0 THEN q0 ELSE q0 * CAST(0.9 AS DOUBLE) + (1 - q0) * CAST(0.2 AS DOUBLE) END
+  FROM rho_share WHERE pos < 240),
+each AS MATERIALIZED (
+  SELECT diploid, block_id, p.pos, CAST(0.001 AS DOUBLE) * (0.5 * q0 + 1.5 * (1 - q0)) AS rho, 0.5 * p0 + 2 * p1 AS tmrca
+  FROM post p JOIN rho_share r ON r.pos = p.pos)"""
+
 PAIRS = WHOLE + """,
 pairs AS (
   SELECT f.a0 * CAST(0.99 AS DOUBLE) * b.e0 * b.c0 AS n00, f.a0 * CAST(0.01 AS DOUBLE) * b.e1 * b.c1 AS n01,
@@ -433,6 +475,16 @@ def _runs_of(ctes, sites, column):
         GROUP BY diploid, block_id, {column}, grp""")
 
 
+# not among ORACLES: some of its values lie halfway between two numbers of 9 digits, and either may come out
+WHOLE_DATASET = _sql(DATASET, f"""
+        SELECT 'diploid' AS source, diploid, block_id, pos, 'rho' AS metric, rho AS value FROM each
+        UNION ALL
+        SELECT 'diploid', diploid, block_id, pos, 'tmrca', tmrca FROM each
+        UNION ALL
+        SELECT 'sample_mean', NULL, block_id, pos, 'rho', avg(rho) FROM each GROUP BY block_id, pos
+        UNION ALL
+        SELECT 'joint_decode', NULL, block_id, pos, 'rho', value FROM ({JOINT_RATES})""")
+
 ORACLES = {
     "forward_loglik": _sql(FORWARD, """
         SELECT candidate_id, diploid, block_id, round(ll, 6) AS loglik FROM lls"""),
@@ -455,9 +507,7 @@ ORACLES = {
     "posterior_decode": _sql(SMOOTH, """
         SELECT diploid, block_id, pos, round(p0, 6) AS p0, round(p1, 6) AS p1 FROM post"""),
     "decode_genome": _sql(SMOOTH, "SELECT diploid, block_id, pos, k FROM decoded"),
-    "joint_decode": _sql(JOINT, """
-        SELECT f.block_id, f.pos, round(0.001 * (0.5 * a0 * c0 + 1.5 * a1 * c1) / (a0 * c0 + a1 * c1), 9) AS value
-        FROM joint_fwd f JOIN joint_bwd b ON b.block_id = f.block_id AND b.pos = f.pos"""),
+    "joint_decode": _sql(JOINT, f"SELECT block_id, pos, round(value, 9) AS value FROM ({JOINT_RATES})"),
     "baum_welch_trans": _sql(PAIRS, """
         SELECT CAST(j AS INTEGER) AS j, CAST(k AS INTEGER) AS k, round(CASE
                WHEN j = 0 AND k = 0 THEN s00 / (s00 + s01) WHEN j = 0 THEN s01 / (s00 + s01)
@@ -485,10 +535,12 @@ ORACLES = {
     "mask_decoded_runs": _runs_of(SMOOTH, """
         SELECT diploid, block_id, pos, CAST(CASE WHEN state = 2 THEN 2 ELSE k END AS INTEGER) AS k
         FROM decoded JOIN dense USING (diploid, block_id, pos)""", "k"),
-    "factor_runs": _sql(JOINT, "SELECT block_id, pos, round(l0, 6) AS l0, round(l1, 6) AS l1 FROM logs"),
-    "joint_decode_runs": _sql(JOINT, """
-        SELECT f.block_id, f.pos, round(0.001 * (0.5 * a0 * c0 + 1.5 * a1 * c1) / (a0 * c0 + a1 * c1), 9) AS value
-        FROM joint_fwd f JOIN joint_bwd b ON b.block_id = f.block_id AND b.pos = f.pos"""),
+    "factor_runs": _sql(JOINT, "SELECT block_id, pos, round(l0, 6) AS l0, round(l1, 6) AS l1 FROM joint_logs"),
+    "joint_decode_runs": _sql(JOINT, f"SELECT block_id, pos, round(value, 9) AS value FROM ({JOINT_RATES})"),
+    "joint_landscapes": _sql(BOTH, f"""
+        SELECT 'rho' AS rate, block_id, pos, round(value, 9) AS value FROM ({JOINT_RATES})
+        UNION ALL
+        SELECT 'theta', block_id, pos, round(value, 9) FROM ({second_level_rates("theta", THETA_SCALES, 0.002)})"""),
     "decode_state": q.query(q.POSTERIOR, """
         SELECT diploid, pos, CAST(s AS INTEGER) AS s, k, c AS c_rho FROM (
           SELECT *, row_number() OVER (PARTITION BY pos ORDER BY p DESC, s) AS rn FROM posterior) WHERE rn = 1"""),

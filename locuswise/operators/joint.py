@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -426,3 +428,42 @@ def em_loop(
     fragments = settled(packed, "factors")
     trans, carried = train_joint(fragments, trans, most_fragments(blocks, size), rounds)
     return joint_decode(fragments, trans, scales, base, carried)
+
+
+@dataclass(frozen=True)
+class Chain:
+    """Second-level model of one rate: ``emission(cat, symbol, p)``, moves between categories, their scales and the base rate."""
+
+    emission: DataFrame
+    trans: np.ndarray
+    scales: Sequence[float]
+    base: float = 1.0
+
+
+def joint_landscapes(
+    times: DataFrame,
+    states: DataFrame,
+    blocks: DataFrame,
+    chains: Mapping[str, Chain],
+    n: int,
+    size: int = FRAGMENT,
+    rounds: int = 0,
+) -> DataFrame:
+    """The joint landscape of every rate in ``chains`` from one decoding: (rate, block_id, pos, value).
+
+    ``times`` are the runs of :func:`time_runs`, written once and read by all chains; ``states`` are the observed runs.
+    Theta is seen through pairs of decoded time and observed state, any other rate through changes of decoded time. With
+    ``rounds`` each chain's moves are trained first, and fragments then know what precedes and follows them.
+    """
+    if not chains:
+        raise ValueError("no rate to decode")
+    found = []
+    for rate, chain in chains.items():
+        symbols = emission_symbol_runs(times, states) if rate == "theta" else transition_symbol_runs(times, n)
+        if rounds:
+            values = em_loop(symbols, chain.emission, blocks, chain.trans, chain.scales, chain.base, size, rounds)
+        else:
+            packed = pack_factor_runs(factor_runs(symbols, chain.emission, len(chain.scales)), blocks, size)
+            values = joint_decode(packed, chain.trans, chain.scales, chain.base)
+        found.append(values.select(F.lit(rate).alias("rate"), "block_id", "pos", "value"))
+    return reduce(DataFrame.unionByName, found)

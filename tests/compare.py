@@ -56,8 +56,9 @@ def compare(spark, con, name, sf_dir):
         return False, f"columns {sorted(frame.columns)} vs {sorted(names)}", took
     left, right = normalise(frame.columns, got), normalise(names, want)
     if left != right:
-        extra = [r for r in left if r not in set(right)][:3]
-        lacking = [r for r in right if r not in set(left)][:3]
+        found, expected = set(left), set(right)
+        extra = [r for r in left if r not in expected][:3]
+        lacking = [r for r in right if r not in found][:3]
         return False, f"rows {len(got)} vs {len(want)}; only spark {extra}; only sql {lacking}", took
     return True, f"rows={len(got)}", took
 

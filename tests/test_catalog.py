@@ -4,6 +4,7 @@ import pytest
 from compare import compare, connect
 
 from locuswise import catalog
+from locuswise.catalog import hmm
 from locuswise.catalog.maps import SIZES
 
 
@@ -25,3 +26,13 @@ def test_maps_of_every_resolution_are_read_back(spark, small):
 
 def test_oracles_belong_to_queries():
     assert set(catalog.oracles()) <= set(catalog.queries())
+
+
+def test_whole_dataset_is_what_its_sql_gives(spark, con, small):
+    """Every row, to the last of the nine digits."""
+    place = lambda r: (r[0], -1 if r[1] is None else r[1], r[2], r[3], r[4])
+    names = ["source", "diploid", "block_id", "pos", "metric", "value"]
+    got = sorted((tuple(r) for r in catalog.queries()["decode_dataset"](spark, small).select(names).collect()), key=place)
+    want = sorted(con.execute(hmm.WHOLE_DATASET).fetchall(), key=place)
+    assert [place(r) for r in got] == [place(r) for r in want]
+    assert max(abs(g[5] - w[5]) for g, w in zip(got, want)) < 0.6e-9

@@ -1,9 +1,11 @@
 """Run overlays, and what is made from them, against site by site versions."""
 
+import itertools
 import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from locuswise.operators import bins, joint, overlay
 
@@ -165,3 +167,43 @@ def test_bins_in_time(spark):
         assert r.missing == pytest.approx(mean([s == 2 for s, _ in inside]))
         assert r.diversity == pytest.approx(mean([s == 1 for s, _ in inside if s != 2]))
     assert any(r.sites_in_time == 0 and r.value is None and r.missing is None for r in got.values())
+
+
+def test_every_rate_has_its_joint_landscape_from_one_decoding(spark):
+    """Joint landscapes of theta and rho against posteriors summed over all category paths, fragments apart."""
+    rng = np.random.default_rng(5)
+    sites = 9
+    k = rng.integers(0, 2, (3, sites))
+    state = rng.integers(0, 3, (3, sites))
+    rows = [(d, 0, p + 1, int(k[d, p]), int(state[d, p])) for d in range(3) for p in range(sites)]
+    dense = spark.createDataFrame(rows, "diploid long, block_id int, pos long, k int, state int")
+    blocks = spark.createDataFrame([(0, "chr1", 1, sites, 1, sites)], "block_id int, chrom string, start long, end long, lower_cut long, upper_cut long")
+    one = lambda name: dense.select("diploid", "block_id", F.col("pos").alias("start_pos"), F.col("pos").alias("end_pos"), name)
+    tables = {"rho": rng.uniform(0.1, 0.9, (2, 4)), "theta": rng.uniform(0.1, 0.9, (3, 6))}
+    trans = {"rho": np.array([[0.9, 0.1], [0.3, 0.7]]), "theta": np.array([[0.8, 0.1, 0.1], [0.2, 0.7, 0.1], [0.3, 0.3, 0.4]])}
+    scales, bases = {"rho": [0.5, 2.0], "theta": [0.1, 1.0, 5.0]}, {"rho": 0.01, "theta": 0.2}
+    chains = {
+        rate: joint.Chain(
+            spark.createDataFrame([(c, s, float(p)) for c, row in enumerate(table) for s, p in enumerate(row)], "cat int, symbol int, p double"),
+            trans[rate], scales[rate], bases[rate],
+        )
+        for rate, table in tables.items()
+    }
+    pairs = np.array([[2 * r[i] + r[i + 1] if i + 1 < sites else 2 * r[i - 1] + r[i] for i in range(sites)] for r in k])
+    symbols = {"rho": pairs, "theta": 3 * k + state}
+    got = {(r.rate, r.pos): r.value for r in joint.joint_landscapes(one("k"), one("state"), blocks, chains, 2, size=5).collect()}
+    assert len(got) == 2 * sites
+    for rate in chains:
+        for lo, hi in ((0, 5), (5, 9)):
+            total, weight = np.zeros(hi - lo), 0.0
+            for path in itertools.product(range(len(scales[rate])), repeat=hi - lo):
+                p = math.prod(tables[rate][c, s] for i, c in enumerate(path) for s in symbols[rate][:, lo + i])
+                p *= math.prod(trans[rate][a, b] for a, b in zip(path, path[1:]))
+                # a fragment opens from the uniform distribution
+                total += p * bases[rate] * np.array([scales[rate][c] for c in path])
+                weight += p
+            assert [got[rate, p + 1] for p in range(lo, hi)] == pytest.approx((total / weight).tolist(), rel=1e-9)
+    trained = joint.joint_landscapes(one("k"), one("state"), blocks, chains, 2, size=5, rounds=2).collect()
+    assert {(r.rate, r.pos) for r in trained} == set(got) and all(math.isfinite(r.value) for r in trained)
+    with pytest.raises(ValueError):
+        joint.joint_landscapes(one("k"), one("state"), blocks, {}, 2)
