@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from locuswise import bindings as b
@@ -15,6 +17,9 @@ TMAX = 15
 DIGITS = 10
 NE_SCALES = (0.5, 1.0, 2.0)
 RHO_SCALES = (0.5, 1.0, 2.0)
+CLASSES = 4
+CLASS_BOUNDS = (0.0, 0.2, 0.6, 1.5, 6.0)
+CLASS_MAXIMUM = 5.0
 
 
 def cells(spark, sf):
@@ -199,6 +204,19 @@ def full_transitions(spark, sf):
     )
 
 
+def categories_by_form(spark, sf):
+    """Classes of every form of rate model but the equally probable one."""
+    cand = gamma_models(spark, sf)
+    forms = {
+        "bounds": model.rate_categories(cand, "Gamma", CLASSES, bounds=CLASS_BOUNDS),
+        "maximum": model.rate_categories(cand, "Gamma", CLASSES, maximum=CLASS_MAXIMUM),
+        "hotspot": model.rate_categories(cand, "Hotspot"),
+        "mixed": model.rate_categories(cand, "Gamma+Hotspot", CLASSES),
+    }
+    named = [rows.withColumn("form", F.lit(form)) for form, rows in forms.items()]
+    return rounded(reduce(lambda a, b: a.unionByName(b), named), "scale", "prob", digits=8)
+
+
 def joint_symbols(spark, sf):
     return rounded(
         model.symbol_emissions(timed(spark, sf), scales(spark, sf, RHO_SCALES), "theta", N, missing=True),
@@ -233,8 +251,9 @@ QUERIES = {
         model.category_transitions(gamma_models(s, d), "Gamma", 4), "p"
     ),
     "rate_categories": lambda s, d: rounded(
-        model.rate_categories(gamma_models(s, d), "Gamma", 4), "scale", "prob", digits=8
+        model.rate_categories(gamma_models(s, d), "Gamma", CLASSES), "scale", "prob", digits=8
     ),
+    "rate_categories_by_form": categories_by_form,
     "state_product": lambda s, d: model.state_product(b.candidates(s, d), N, 2, 3, 2),
     "transition_codes": lambda s, d: model.transition_codes(model_sizes(s, d), missing=True),
     "emission_codes": lambda s, d: model.emission_codes(model_sizes(s, d)),
@@ -274,6 +293,47 @@ QUERIES = {
 
 
 
+def lower_gamma_sql(a: str, x: str) -> str:
+    """Share of a gamma of shape ``a`` below ``x``: 200 terms of its series, all of them positive."""
+    return f"""(CASE WHEN {x} <= 0 THEN 0 ELSE
+        list_sum(list_transform(range(0, 200), lambda j: exp(({a} + j) * ln({x}) - ({x}) - lgamma({a} + j + 1)))) END)"""
+
+
+def classes_sql(name: str, edges: str) -> str:
+    """Classes between successive ``edges(size, a, i, x)``; the last edge is open where x is null."""
+    return f""",
+{name}_below AS (
+  SELECT size, i, CASE WHEN x IS NULL THEN 1 ELSE {lower_gamma_sql("a", "x")} END AS p0,
+         CASE WHEN x IS NULL THEN 1 ELSE {lower_gamma_sql("(a + 1)", "x")} END AS p1
+  FROM {edges}),
+{name} AS (
+  SELECT hi.size, CAST(lo.i AS INTEGER) AS cat, (hi.p1 - lo.p1) / (hi.p0 - lo.p0) AS scale,
+         (hi.p0 - lo.p0) / sum(hi.p0 - lo.p0) OVER (PARTITION BY hi.size) AS prob
+  FROM {name}_below lo JOIN {name}_below hi ON hi.size = lo.size AND hi.i = lo.i + 1)"""
+
+
+# quantiles by halving a bracket of log x, for each size once
+EQUAL_CLASSES = f"""
+alphas AS (SELECT DISTINCT p_size AS size, p_size / CAST(20 AS DOUBLE) AS a FROM part),
+halved AS (
+  SELECT size, a, i, 0 AS step, CAST(-200 AS DOUBLE) AS lo, CAST(5 AS DOUBLE) AS hi FROM alphas, range(1, {CLASSES}) r(i)
+  UNION ALL
+  SELECT size, a, i, step + 1, CASE WHEN below THEN mid ELSE lo END, CASE WHEN below THEN hi ELSE mid END FROM (
+    SELECT *, (lo + hi) / 2 AS mid, {lower_gamma_sql("a", "exp((lo + hi) / 2)")} < i / CAST({CLASSES} AS DOUBLE) AS below
+    FROM halved WHERE step < 60)),
+edges AS (
+  SELECT size, a, i, exp((lo + hi) / 2) AS x FROM halved WHERE step = 60
+  UNION ALL SELECT size, a, 0, 0 FROM alphas
+  UNION ALL SELECT size, a, {CLASSES}, NULL FROM alphas)""" + classes_sql("equal", "edges")
+
+FIXED_CLASSES = f""",
+bound_edges AS (
+  SELECT size, a, i, a * [{", ".join(f"CAST({x} AS DOUBLE)" for x in CLASS_BOUNDS)}][i + 1] AS x
+  FROM alphas, range(0, {CLASSES + 1}) r(i)),
+even_edges AS (SELECT size, a, i, a * CAST({CLASS_MAXIMUM} AS DOUBLE) * i / {CLASSES} AS x FROM alphas, range(0, {CLASSES + 1}) r(i))
+""" + classes_sql("bounded", "bound_edges") + classes_sql("even", "even_edges")
+
+
 def cells_sql(n: int) -> str:
     return f""",
 cells AS (
@@ -400,6 +460,18 @@ ORACLES = {
     "scale_rates_by_ne": q.query(GRID + _scales("cats", "c_ne", NE_SCALES), f"""
         SELECT candidate_id, CAST(c_ne AS INTEGER) AS c_ne, k, round("lambda" / scale, {DIGITS}) AS "lambda"
         FROM cells, cats"""),
+    "rate_categories": q.query(EQUAL_CLASSES, """
+        SELECT p_partkey AS candidate_id, cat, round(scale, 8) AS scale, round(prob, 8) AS prob
+        FROM part JOIN equal ON size = p_size""", recursive=True),
+    "rate_categories_by_form": q.query(EQUAL_CLASSES + FIXED_CLASSES + """,
+        forms AS (
+          SELECT 'bounds' AS form, p_partkey AS candidate_id, cat, scale, prob FROM part JOIN bounded ON size = p_size
+          UNION ALL SELECT 'maximum', p_partkey, cat, scale, prob FROM part JOIN even ON size = p_size
+          UNION ALL SELECT 'hotspot', p_partkey, 0, 1, 0.5 FROM part
+          UNION ALL SELECT 'hotspot', p_partkey, 1, p_retailprice / 10, 0.5 FROM part
+          UNION ALL SELECT 'mixed', p_partkey, 0, p_retailprice / 10, NULL FROM part
+          UNION ALL SELECT 'mixed', p_partkey, cat + 1, scale, prob FROM part JOIN equal ON size = p_size)""", """
+        SELECT form, candidate_id, cat, round(scale, 8) AS scale, round(prob, 8) AS prob FROM forms""", recursive=True),
     "category_transitions": q.query("""
         cats AS (SELECT p_partkey AS candidate_id, 1 - p_size * CAST(0.0001 AS DOUBLE) AS stay FROM part)""", f"""
         SELECT candidate_id, CAST(a AS INTEGER) AS cat_from, CAST(b AS INTEGER) AS cat_to,

@@ -98,6 +98,17 @@ def test_gamma_categories():
     np.testing.assert_allclose(means[2], 5 * (upper[:-1] - upper[1:]), atol=1e-10)
 
 
+def test_log_gamma_and_quantiles():
+    shapes = np.geomspace(1e-3, 1e5, 500)
+    want = np.array([math.lgamma(v) for v in shapes])
+    np.testing.assert_allclose(gamma.log_gamma(shapes), want, rtol=1e-13, atol=1e-13)
+    a, p = np.geomspace(0.05, 200, 40)[:, None], np.array([1e-9, 0.01, 0.25, 0.5, 0.75, 0.99, 1 - 1e-9])[None]
+    np.testing.assert_allclose(gamma.lower_regularised(a, gamma.quantile(a, p)), np.broadcast_to(p, (40, 7)), rtol=1e-11)
+    np.testing.assert_allclose(gamma.quantile(np.ones(3), np.array([0.1, 0.5, 0.9])), -np.log1p([-0.1, -0.5, -0.9]), rtol=1e-14)
+    # too small for a number: the smallest that is kept
+    assert gamma.quantile(np.array([0.001]), np.array([0.25])) == pytest.approx(np.exp(gamma.LOWEST))
+
+
 def test_category_models(spark):
     cand = spark.createDataFrame([(7, 0.5, 40.0, 0.1, 0.2, 0.3)], "candidate_id long, alpha double, heat double, leave_hot double, leave_background double, share_hot double")
     assert [(r.cat, r.scale) for r in model.rate_categories(cand, "Hotspot").orderBy("cat").collect()] == [(0, 1.0), (1, 40.0)]
