@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from locuswise import bindings as b
 from locuswise.catalog import sql as q
 from locuswise.catalog.maps import rounded
-from locuswise.operators import decoding, joint, model, params, scoring
+from locuswise.functions.lineage import settled
+from locuswise.operators import decoding, holes, joint, model, params, runs as run_ops, scoring
 from locuswise.plans import decode, optimise
 
 TRANS = np.array([[0.99, 0.01], [0.02, 0.98]])
 EMIS = np.array([[0.95, 0.05, 1.0], [0.7, 0.3, 1.0]])
 TWO_STATES = scoring.Model(TRANS, EMIS)
 FRAGMENT = 90
+# missing stretches of this length are left out, and what is left between them counts from the other length on
+GAP_LENGTH = 1
+REGION_LENGTH = 20
 CATEGORY_TRANS = np.array([[0.95, 0.05], [0.1, 0.9]])
 CATEGORY_SCALES = (0.5, 1.5)
 # P(pair of successive time indices | category), pairs coded 2 * from + to
@@ -60,6 +66,18 @@ def logliks(spark, sf):
     return scoring.forward_loglik(runs, blocks, nation_models(spark, sf), FRAGMENT)
 
 
+def region_logliks(spark, sf):
+    """Every candidate over the informative regions, by both ways through what lies between them."""
+    runs, blocks = inputs(spark, sf)
+    regions = run_ops.informative_regions(runs, GAP_LENGTH, REGION_LENGTH)
+    kept = settled(holes.runs_within(runs, regions), "region-runs")
+    models = nation_models(spark, sf)
+    each = [
+        scoring.forward_loglik(kept, blocks, models, FRAGMENT, way).withColumn("holes", F.lit(way)) for way in holes.WAYS
+    ]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
 def posterior(spark, sf):
     runs, blocks = inputs(spark, sf)
     return scoring, decoding.posterior_decode(runs, blocks, TWO_STATES, FRAGMENT)
@@ -257,6 +275,7 @@ def masked_rows(spark, sf):
 
 QUERIES = {
     "forward_loglik": lambda s, d: rounded(logliks(s, d), "loglik", digits=6),
+    "forward_loglik_regions": lambda s, d: rounded(region_logliks(s, d), "loglik", digits=6),
     "composite_loglik": lambda s, d: rounded(scoring.composite_loglik(logliks(s, d)), "loglik", digits=6),
     "median_loglik": lambda s, d: rounded(scoring.median_loglik(logliks(s, d)), "loglik", digits=6),
     "min_loglik": lambda s, d: rounded(scoring.min_loglik(logliks(s, d)), "loglik", digits=6),
@@ -343,6 +362,40 @@ fwd AS (
 lls AS (SELECT candidate_id, diploid, block_id, ll FROM fwd WHERE pos = 240),
 per_diploid AS (SELECT candidate_id, diploid, sum(ll) AS ll FROM lls GROUP BY 1, 2)"""
 
+FACTORS = FORWARD[FORWARD.index("cand AS"):FORWARD.index("fwd AS")]
+REGIONS = q.RUNS + f""",
+walls AS (
+  SELECT diploid, block_id, start_pos, end_pos FROM runs WHERE state = 2 AND end_pos - start_pos + 1 >= {GAP_LENGTH}
+  UNION ALL SELECT DISTINCT diploid, block_id, 0, 0 FROM runs
+  UNION ALL SELECT DISTINCT diploid, block_id, 241, 241 FROM runs),
+regions AS (
+  SELECT * FROM (
+    SELECT diploid, block_id, lag(end_pos) OVER (PARTITION BY diploid, block_id ORDER BY start_pos) + 1 AS lo,
+           start_pos - 1 AS hi FROM walls)
+  WHERE hi - lo + 1 > {REGION_LENGTH}),
+{FACTORS}
+ways AS (SELECT unnest(['drift', 'restart']) AS way),
+-- unseen sites have factors of one
+seen AS (
+  SELECT d.diploid, d.block_id, d.pos, r.lo IS NOT NULL AS inside, coalesce(r.lo = d.pos, FALSE) AS opens,
+         candidate_id, CASE WHEN r.lo IS NULL THEN 1 ELSE e0 END AS e0, CASE WHEN r.lo IS NULL THEN 1 ELSE e1 END AS e1
+  FROM dense d SEMI JOIN regions s ON s.diploid = d.diploid AND s.block_id = d.block_id
+  LEFT JOIN regions r ON r.diploid = d.diploid AND r.block_id = d.block_id AND d.pos BETWEEN r.lo AND r.hi
+  JOIN factors f ON f.state = d.state),
+fwd AS (
+  SELECT way, candidate_id, diploid, block_id, pos, e0 / (e0 + e1) AS a0, e1 / (e0 + e1) AS a1, ln((e0 + e1) / 2) AS ll
+  FROM seen, ways WHERE pos = 1
+  UNION ALL
+  SELECT way, candidate_id, diploid, block_id, pos, b0 / (b0 + b1), b1 / (b0 + b1), ll + ln(b0 + b1) FROM (
+    SELECT f.way, f.candidate_id, f.diploid, f.block_id, s.pos, f.ll,
+           CASE WHEN way = 'restart' AND NOT inside THEN a0 WHEN way = 'restart' AND opens THEN 0.5
+                ELSE a0 * CAST(0.99 AS DOUBLE) + a1 * CAST(0.02 AS DOUBLE) END * e0 AS b0,
+           CASE WHEN way = 'restart' AND NOT inside THEN a1 WHEN way = 'restart' AND opens THEN 0.5
+                ELSE a0 * CAST(0.01 AS DOUBLE) + a1 * CAST(0.98 AS DOUBLE) END * e1 AS b1
+    FROM fwd f JOIN seen s ON s.candidate_id = f.candidate_id AND s.diploid = f.diploid AND s.block_id = f.block_id
+                          AND s.pos = f.pos + 1))"""
+
+
 def smoothing(fragment: int) -> str:
     """Forward-backward of the two-state model, reset at every fragment start."""
     return q.DENSE + f""",
@@ -488,6 +541,8 @@ WHOLE_DATASET = _sql(DATASET, f"""
 ORACLES = {
     "forward_loglik": _sql(FORWARD, """
         SELECT candidate_id, diploid, block_id, round(ll, 6) AS loglik FROM lls"""),
+    "forward_loglik_regions": _sql(REGIONS, """
+        SELECT way AS holes, candidate_id, diploid, block_id, round(ll, 6) AS loglik FROM fwd WHERE pos = 240"""),
     "composite_loglik": _sql(FORWARD, """
         SELECT candidate_id, round(sum(ll), 6) AS loglik FROM lls GROUP BY 1"""),
     "median_loglik": _sql(FORWARD, """

@@ -14,6 +14,8 @@ CHUNK_CELLS = 4_000_000
 #: A long sequence is worked on in so many pieces at once, each of so many sites at least.
 PIECES = 256
 LEAST_PIECE = 1024
+#: Symbols of holes: transitions alone, nothing at all, and (OPEN - s) for a site with symbol s that begins anew.
+DRIFT, SKIP, OPEN = -1, -2, -3
 
 
 def _rescale(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,12 +34,26 @@ class RunPowers:
         self.trans, self.emis = trans, emis
         self._squares: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
+    def _step(self, symbol: int) -> np.ndarray:
+        if symbol == DRIFT:
+            return self.trans
+        if symbol <= OPEN:
+            # whatever came before, the states are equally likely
+            fresh = self.emis[:, None, :, OPEN - symbol] / self.trans.shape[-1]
+            return np.broadcast_to(fresh, self.trans.shape)
+        return self.trans * self.emis[:, None, :, symbol]
+
+    def _enter(self, left: np.ndarray, symbol: int) -> np.ndarray:
+        """A site that no transition leads into."""
+        if symbol >= 0:
+            return left * self.emis[:, None, :, symbol]
+        return left @ self._step(symbol) if symbol <= OPEN else left
+
     def _power(self, symbol: int, bit: int):
         made = self._squares.setdefault(symbol, [])
         while len(made) <= bit:
             if not made:
-                step = self.trans * self.emis[:, None, :, symbol]
-                made.append(_rescale(step))
+                made.append(_rescale(self._step(symbol)))
             else:
                 m, log = made[-1]
                 squared, extra = _rescale(m @ m)
@@ -45,6 +61,8 @@ class RunPowers:
         return made[bit]
 
     def extend(self, left, log, symbol: int, length: int):
+        if symbol == SKIP:
+            return left, log
         bit = 0
         while length:
             if length & 1:
@@ -76,12 +94,12 @@ class RunPowers:
         lengths = [int(n) for n in lengths]
         symbols = [int(s) for s in symbols]
         if start is not None:
-            left = np.broadcast_to(start, (count, 1, size)) * self.emis[:, None, :, symbols[0]]
+            left = self._enter(np.broadcast_to(start, (count, 1, size)), symbols[0])
             lengths[0] -= 1
         elif lead:
             left = np.broadcast_to(np.eye(size), (count, size, size))
         else:
-            left = np.eye(size)[None] * self.emis[:, None, :, symbols[0]]
+            left = self._enter(np.broadcast_to(np.eye(size), (count, size, size)), symbols[0])
             lengths[0] -= 1
         left, extra = _rescale(left)
         log = log + extra

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from locuswise.functions.kernels import RunPowers, chain
 from locuswise.functions.lineage import settled
 from locuswise.functions.tiling import running_total
+from locuswise.operators.holes import with_holes
 from locuswise.operators.runs import KEYS, run_length
 
 FRAGMENT = 3_000_000
@@ -58,7 +59,8 @@ def join_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
 def pack_fragments(runs: DataFrame, blocks: DataFrame, size: int = FRAGMENT) -> DataFrame:
     """One row per (diploid, block, fragment): first site, run lengths and symbols in order.
 
-    A row holds at most ``size`` sites. The runs must cover the fragment without holes.
+    A row holds at most ``size`` sites. The runs must cover the fragment without holes
+    (:func:`locuswise.operators.holes.with_holes` makes runs that do).
     """
     limits = blocks.select("block_id", F.col("start").alias("_lo"))
     index = F.sequence(
@@ -321,14 +323,19 @@ def score_fragments(fragments: DataFrame, models: DataFrame, depth: int) -> Data
     )
 
 
+def _packed(runs: DataFrame, blocks: DataFrame, size: int, holes: str | None) -> DataFrame:
+    return pack_fragments(runs if holes is None else with_holes(runs, blocks, holes), blocks, size)
+
+
 def forward_loglik(
-    runs: DataFrame, blocks: DataFrame, models: DataFrame, size: int = FRAGMENT
+    runs: DataFrame, blocks: DataFrame, models: DataFrame, size: int = FRAGMENT, holes: str | None = None
 ) -> DataFrame:
     """(candidate_id, diploid, block_id, loglik) from a scaled forward pass with uniform start.
 
-    ``models(candidate_id, trans, emis)`` as packed by :func:`pack_models`.
+    ``models(candidate_id, trans, emis)`` as packed by :func:`pack_models`. Runs with holes need ``holes``: the chain
+    goes on unseen (``drift``) or begins anew behind each (``restart``).
     """
-    return score_fragments(pack_fragments(runs, blocks, size), models, most_fragments(blocks, size))
+    return score_fragments(_packed(runs, blocks, size, holes), models, most_fragments(blocks, size))
 
 
 @dataclass(frozen=True)
@@ -339,8 +346,8 @@ class Scorer:
     depth: int
 
     @staticmethod
-    def over(runs: DataFrame, blocks: DataFrame, size: int = FRAGMENT) -> Scorer:
-        return Scorer(settled(pack_fragments(runs, blocks, size), "fragments"), most_fragments(blocks, size))
+    def over(runs: DataFrame, blocks: DataFrame, size: int = FRAGMENT, holes: str | None = None) -> Scorer:
+        return Scorer(settled(_packed(runs, blocks, size, holes), "fragments"), most_fragments(blocks, size))
 
     def __call__(self, models: DataFrame) -> DataFrame:
         return composite_loglik(score_fragments(self.fragments, models, self.depth))
@@ -479,7 +486,7 @@ def min_loglik(ll: DataFrame) -> DataFrame:
 
 
 def likelihood_sweep(
-    models: DataFrame, runs: DataFrame, blocks: DataFrame, size: int = FRAGMENT
+    models: DataFrame, runs: DataFrame, blocks: DataFrame, size: int = FRAGMENT, holes: str | None = None
 ) -> DataFrame:
     """Composite log-likelihood of every candidate on all data."""
-    return composite_loglik(forward_loglik(runs, blocks, models, size))
+    return composite_loglik(forward_loglik(runs, blocks, models, size, holes))

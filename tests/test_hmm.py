@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from locuswise.functions import kernels
-from locuswise.operators import decoding, joint, scoring
+from locuswise.operators import decoding, holes, joint, scoring
 from locuswise.plans import optimise
 
 rng = np.random.default_rng(11)
@@ -404,3 +404,57 @@ def test_refine_finds_the_top(spark):
 
     centre, _ = optimise.refine(score, {"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 1.0}, spark, rounds=14, tolerance=0)
     assert centre["x"] == pytest.approx(2.3, abs=0.05) and centre["y"] == pytest.approx(-0.7, abs=0.05)
+
+
+def holed():
+    """The sequences with a hole at the start, two inside and one at the end; None where nothing is known."""
+    out = {}
+    for key, obs in sequences().items():
+        known = [int(o) for o in obs]
+        for a, b in ((0, 3), (7, 8), (12, 21), (len(obs) - 2, len(obs))):
+            known[a:b] = [None] * (b - a)
+        out[key] = known
+    # all but the ends is unknown, over more than two fragments
+    out[3, 0] = [1, 0] + [None] * 57 + [1, 1]
+    return out
+
+
+@pytest.mark.parametrize("size", [5, 7, 90])
+@pytest.mark.parametrize("way", ["drift", "restart"])
+def test_likelihood_with_holes(spark, data, size, way):
+    _, blocks = data
+    rows = []
+    for (d, b), known in holed().items():
+        at = 1
+        for state, group in itertools.groupby(known):
+            n = len(list(group))
+            if state is not None:
+                rows.append((None if d == 2 else d, b, at, at + n - 1, state))
+            at += n
+    runs = spark.createDataFrame(rows, "diploid long, block_id int, start_pos long, end_pos long, state int")
+    got = scoring.forward_loglik(runs, blocks, models_table(spark, [1, 2]), size, way).collect()
+    found = {(r.candidate_id, r.diploid or 2, r.block_id): r.loglik for r in got}
+    assert len(found) == len(got) == 2 * len(holed())
+    for (d, b), known in holed().items():
+        for seed in (1, 2):
+            trans, emis = random_model(seed)
+            if way == "drift":
+                # a symbol that every state emits
+                seen = [emis.shape[1] if o is None else o for o in known]
+                want, _ = forward(seen, trans, np.column_stack([emis, np.ones(S)]))
+            else:
+                parts = [list(g) for unknown, g in itertools.groupby(known, lambda o: o is None) if not unknown]
+                want = sum(forward(part, trans, emis)[0] for part in parts)
+            assert found[seed, d, b] == pytest.approx(want, abs=1e-10)
+
+
+def test_runs_within_regions(spark):
+    schema = "diploid long, block_id int, start_pos long, end_pos long"
+    runs = spark.createDataFrame([(1, 0, 1, 10, 0), (1, 0, 11, 30, 1), (1, 1, 1, 9, 2)], schema + ", state int")
+    regions = spark.createDataFrame([(1, 0, 4, 12), (1, 0, 20, 25), (2, 0, 1, 5)], schema)
+    got = {tuple(r) for r in holes.runs_within(runs, regions).select(*runs.columns).collect()}
+    assert got == {(1, 0, 4, 10, 0), (1, 0, 11, 12, 1), (1, 0, 20, 25, 1)}
+    with pytest.raises(ValueError):
+        holes.with_holes(runs, regions, "other")
+    blocks = spark.createDataFrame([(0, 1, 30)], "block_id int, start long, end long")
+    assert holes.with_holes(runs.limit(0), blocks, "drift").count() == 0
