@@ -12,7 +12,7 @@ from locuswise.catalog import sql as q
 from locuswise.catalog.maps import rounded
 from locuswise.functions.lineage import settled
 from locuswise.operators import decoding, holes, joint, model, params, runs as run_ops, scoring
-from locuswise.plans import decode, optimise
+from locuswise.plans import decode, fitting, optimise
 
 TRANS = np.array([[0.99, 0.01], [0.02, 0.98]])
 EMIS = np.array([[0.95, 0.05, 1.0], [0.7, 0.3, 1.0]])
@@ -29,6 +29,9 @@ SYMBOL_P = ((0.98, 0.02, 0.03, 0.97), (0.6, 0.4, 0.5, 0.5))
 THETA_P = ((0.97, 0.03, 1.0, 0.9, 0.1, 1.0), (0.93, 0.07, 1.0, 0.75, 0.25, 1.0))
 THETA_TRANS = np.array([[0.97, 0.03], [0.04, 0.96]])
 THETA_SCALES = (0.25, 4.0)
+COV_DIGITS = 9
+SPLINE_CELLS = 8
+SEARCH_ROUNDS = 4
 PARAM_NAMES = ("het_0", "het_1", "stay_0", "stay_1")
 
 
@@ -215,6 +218,30 @@ def knot_fits(spark, sf):
     return rounded(fits, "loglik", digits=6)
 
 
+def spline_state(spark, sf):
+    """Search for rho, heights and slopes from one start per region, with one and with two knots."""
+    runs, blocks = inputs(spark, sf)
+    starts = smc_candidates(spark, sf).withColumnRenamed("candidate_id", "start")
+    score = scoring.Scorer.over(runs, blocks, FRAGMENT)
+    first = fitting.start_state(starts, 1, 2)
+    return score, fitting.search(score, first, 1, 2, SPLINE_CELLS, rounds=SEARCH_ROUNDS)
+
+
+def spline_fits(spark, sf):
+    """The best start of every knot count, one row per parameter."""
+    best = fitting.best_fits(spline_state(spark, sf)[1])
+    long = best.select("knots", "start", "theta", "loglik", "free", "aic", F.explode("params").alias("p"))
+    kept = long.select("knots", "start", "theta", "loglik", "free", "aic", "p.name", "p.value")
+    return rounded(kept, "theta", "loglik", "aic", "value", digits=6)
+
+
+def spline_intervals(spark, sf):
+    """Intervals of the parameters of the fit with the smallest AIC."""
+    score, state = spline_state(spark, sf)
+    fit = settled(fitting.best_fits(state).orderBy("aic", "knots").limit(1), "best-fit")
+    return rounded(fitting.curvature_at(score, fit, SPLINE_CELLS), "value", "lower", "upper", digits=6)
+
+
 def whole_dataset(spark, sf):
     """Four states (2 times x 2 rho categories) over all event sequences."""
     runs, blocks = inputs(spark, sf)
@@ -333,11 +360,13 @@ QUERIES = {
     ),
     "em_loop": trained_landscape,
     "knot_sweep": knot_fits,
+    "fit_splines": spline_fits,
+    "fit_intervals": spline_intervals,
     "curvature_ci": lambda s, d: rounded(
         optimise.curvature_ci(estimates(s, d), score_two_states(s, d)), "value", "lower", "upper", digits=5
     ),
     "curvature_cov": lambda s, d: rounded(
-        optimise.curvature_cov(estimates(s, d), score_two_states(s, d)), "value", digits=5
+        optimise.curvature_cov(estimates(s, d), score_two_states(s, d)), "value", digits=COV_DIGITS
     ),
 }
 
@@ -396,6 +425,61 @@ fwd AS (
                           AND s.pos = f.pos + 1))"""
 
 
+# a point, the points around it moved by one and by two parameters, and the log-likelihood of each over all sequences
+CURVATURE = q.DENSE + """,
+het AS (
+  SELECT count(*) FILTER (state = 1) / CAST(count(*) FILTER (state <> 2) AS DOUBLE) AS het FROM dense),
+best AS (
+  SELECT 0 AS idx, 'het_0' AS name, het * 0.9 AS value FROM het
+  UNION ALL SELECT 1, 'het_1', het * 1.3 FROM het
+  UNION ALL SELECT 2, 'stay_0', CAST(0.8 AS DOUBLE)
+  UNION ALL SELECT 3, 'stay_1', CAST(0.7 AS DOUBLE)),
+steps AS (SELECT *, (1 + abs(value)) * 1e-4 AS h FROM best),
+side AS (SELECT unnest([-1, 1]) AS d),
+moves AS (
+  SELECT *, row_number() OVER () AS c FROM (
+    SELECT -1 AS i, 0 AS di, -1 AS j, 0 AS dj
+    UNION ALL SELECT idx, d, -1, 0 FROM best, side
+    UNION ALL SELECT a.idx, x.d, b.idx, y.d FROM best a JOIN best b ON a.idx < b.idx, side x, side y)),
+points AS (
+  SELECT c, max(moved) FILTER (idx = 0) AS h0, max(moved) FILTER (idx = 1) AS h1,
+         max(moved) FILTER (idx = 2) AS s0, max(moved) FILTER (idx = 3) AS s1
+  FROM (SELECT c, idx, value + h * CASE idx WHEN i THEN di WHEN j THEN dj ELSE 0 END AS moved FROM moves, steps)
+  GROUP BY c),
+fwd AS (
+  SELECT c, s0, s1, h0, h1, diploid, block_id, pos, e0 / (e0 + e1) AS a0, e1 / (e0 + e1) AS a1, ln((e0 + e1) / 2) AS ll
+  FROM (SELECT *, CASE state WHEN 0 THEN 1 - h0 WHEN 1 THEN h0 ELSE 1 END AS e0,
+               CASE state WHEN 0 THEN 1 - h1 WHEN 1 THEN h1 ELSE 1 END AS e1 FROM dense, points WHERE pos = 1)
+  UNION ALL
+  SELECT c, s0, s1, h0, h1, diploid, block_id, pos, b0 / (b0 + b1), b1 / (b0 + b1), ll + ln(b0 + b1) FROM (
+    SELECT c, s0, s1, h0, h1, f.diploid, f.block_id, d.pos, ll,
+           (a0 * s0 + a1 * (1 - s1)) * CASE state WHEN 0 THEN 1 - h0 WHEN 1 THEN h0 ELSE 1 END AS b0,
+           (a0 * (1 - s0) + a1 * s1) * CASE state WHEN 0 THEN 1 - h1 WHEN 1 THEN h1 ELSE 1 END AS b1
+    FROM fwd f JOIN dense d ON d.diploid = f.diploid AND d.block_id = f.block_id AND d.pos = f.pos + 1)),
+scores AS (SELECT i, di, j, dj, ll FROM moves JOIN (SELECT c, sum(ll) AS ll FROM fwd WHERE pos = 240 GROUP BY c) USING (c)),
+own AS (
+  SELECT idx, any_value(name) AS name, any_value(value) AS value,
+         -(sum(s.ll) - 2 * any_value(o.ll)) / (any_value(h) * any_value(h)) AS curve
+  FROM steps JOIN scores s ON s.i = idx AND s.j = -1, scores o WHERE o.i = -1 GROUP BY idx)"""
+
+# the matrix beside a unit matrix, brought to the unit matrix column by column
+INVERSE = """,
+crossed AS (
+  SELECT a.idx AS i, b.idx AS j, -sum(di * dj * ll) / (4 * any_value(a.h) * any_value(b.h)) AS v
+  FROM scores JOIN steps a ON a.idx = i JOIN steps b ON b.idx = j GROUP BY a.idx, b.idx),
+cells AS (
+  SELECT idx AS i, idx AS j, curve AS v FROM own
+  UNION ALL SELECT i, j, v FROM crossed UNION ALL SELECT j, i, v FROM crossed
+  UNION ALL SELECT a.idx, 4 + b.idx, CASE WHEN a.idx = b.idx THEN 1 ELSE 0 END FROM best a, best b),
+lines AS (SELECT i, list(v ORDER BY j) AS r FROM cells GROUP BY i),
+solved AS (
+  SELECT 0 AS step, list(r ORDER BY i) AS m FROM lines
+  UNION ALL
+  SELECT step + 1, list_transform(m, lambda r, i: list_transform(r, lambda v, j:
+    CASE WHEN i = step + 1 THEN v / r[step + 1] ELSE v - r[step + 1] * m[step + 1][j] / m[step + 1][step + 1] END))
+  FROM solved WHERE step < 4)"""
+
+
 def smoothing(fragment: int) -> str:
     """Forward-backward of the two-state model, reset at every fragment start."""
     return q.DENSE + f""",
@@ -538,6 +622,11 @@ WHOLE_DATASET = _sql(DATASET, f"""
         UNION ALL
         SELECT 'joint_decode', NULL, block_id, pos, 'rho', value FROM ({JOINT_RATES})""")
 
+# not among ORACLES: the point is no optimum, so the matrix is close to singular and rounding shows in the fifth digit
+CURVATURE_COV = _sql(CURVATURE + INVERSE, """
+        SELECT a.name AS name_i, b.name AS name_j, m[a.idx + 1][4 + b.idx + 1] AS value
+        FROM solved, best a, best b WHERE step = 4""")
+
 ORACLES = {
     "forward_loglik": _sql(FORWARD, """
         SELECT candidate_id, diploid, block_id, round(ll, 6) AS loglik FROM lls"""),
@@ -554,6 +643,11 @@ ORACLES = {
         FROM per_diploid"""),
     "likelihood_sweep": _sql(FORWARD, """
         SELECT candidate_id, round(sum(ll), 6) AS loglik, round(8 - 2 * sum(ll), 6) AS aic FROM lls GROUP BY 1"""),
+    "curvature_ci": _sql(CURVATURE, """
+        SELECT name, round(value, 5) AS value,
+               round(CASE WHEN curve > 0 THEN value - 1.96 / sqrt(curve) END, 5) AS lower,
+               round(CASE WHEN curve > 0 THEN value + 1.96 / sqrt(curve) END, 5) AS upper
+        FROM own"""),
     "filter_carry": _sql(SMOOTH, f"""
         SELECT s.diploid, s.block_id, CAST(s.file_index AS INTEGER) AS file_index,
                round(coalesce(a0, 0.5), 6) AS p0, round(coalesce(a1, 0.5), 6) AS p1

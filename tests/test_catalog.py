@@ -36,3 +36,10 @@ def test_whole_dataset_is_what_its_sql_gives(spark, con, small):
     want = sorted(con.execute(hmm.WHOLE_DATASET).fetchall(), key=place)
     assert [place(r) for r in got] == [place(r) for r in want]
     assert max(abs(g[5] - w[5]) for g, w in zip(got, want)) < 0.6e-9
+
+
+def test_curvature_matrix_is_what_its_sql_gives(spark, con, small):
+    """Every cell but for what rounding does to differences of log-likelihoods."""
+    got = {(r.name_i, r.name_j): r.value for r in catalog.queries()["curvature_cov"](spark, small).collect()}
+    want = {(i, j): value for i, j, value in con.execute(hmm.CURVATURE_COV).fetchall()}
+    assert got == pytest.approx(want, rel=1e-3) and len(got) == 16
