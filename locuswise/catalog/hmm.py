@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from locuswise import bindings as b
 from locuswise.catalog import sql as q
 from locuswise.catalog.maps import rounded
+from locuswise.catalog.models import TMAX, timed_sql, transitions_sql
 from locuswise.functions.lineage import settled
 from locuswise.operators import decoding, holes, joint, model, params, runs as run_ops, scoring
 from locuswise.plans import decode, fitting, optimise
@@ -622,6 +623,58 @@ WHOLE_DATASET = _sql(DATASET, f"""
         UNION ALL
         SELECT 'joint_decode', NULL, block_id, pos, 'rho', value FROM ({JOINT_RATES})""")
 
+# every knot count from one to three with the starting heights, around the observed diversity
+KNOT_MODELS = q.DENSE + f""",
+observed AS (
+  SELECT avg(share) AS theta FROM (
+    SELECT count(*) FILTER (state = 1) / CAST(nullif(count(*) FILTER (state <> 2), 0) AS DOUBLE) AS share
+    FROM dense GROUP BY diploid)),
+candidates AS (
+  SELECT r_regionkey * 10 + n AS candidate_id, r_regionkey AS start, n AS knots,
+         ({SPLINE_CELLS} + n) // (n + 1) AS span, theta * (1 + CAST(0.2 AS DOUBLE) * r_regionkey) AS theta,
+         theta * (1 + CAST(0.2 AS DOUBLE) * r_regionkey) / 2 AS rho
+  FROM region, observed, range(1, 4) r(n)),
+cut AS (
+  SELECT *, CAST(0.1 AS DOUBLE) * pow(1 + {TMAX} / CAST(0.1 AS DOUBLE), k / CAST({SPLINE_CELLS} AS DOUBLE)) - CAST(0.1 AS DOUBLE) AS t_lo,
+         least(k // span + CASE WHEN k % span = span - 1 THEN 1 ELSE 0 END, knots) AS seg
+  FROM candidates, range(0, {SPLINE_CELLS}) r(k)),
+ends AS (
+  SELECT *, CASE seg WHEN 0 THEN 0 ELSE seg * span - 1 END AS k0,
+         CASE seg WHEN knots THEN {SPLINE_CELLS - 1} ELSE (seg + 1) * span - 1 END AS k1 FROM cut),
+grid_cells AS (
+  SELECT c.candidate_id, c.theta, c.rho, c.k, c.t_lo, nxt.t_lo AS t_hi,
+         -- flat ends: the cubic between two heights, 0.02 apart
+         greatest(0.01, CASE c.seg % 2 WHEN 0 THEN 1.01 ELSE 0.99 END
+           + CASE c.seg % 2 WHEN 0 THEN -0.02 ELSE 0.02 END * pow((c.t_lo - a.t_lo) / (z.t_lo - a.t_lo), 2)
+             * (3 - 2 * (c.t_lo - a.t_lo) / (z.t_lo - a.t_lo))) AS "lambda"
+  FROM ends c JOIN cut a ON a.candidate_id = c.candidate_id AND a.k = c.k0
+  JOIN cut z ON z.candidate_id = c.candidate_id AND z.k = c.k1
+  LEFT JOIN cut nxt ON nxt.candidate_id = c.candidate_id AND nxt.k = c.k + 1)""" + timed_sql(
+    "grid_cells"
+) + transitions_sql("timed", "candidate_id", "rho") + f""",
+matrix AS (
+  SELECT candidate_id, list(into_state ORDER BY k_to) AS columns FROM (
+    SELECT candidate_id, k_to, list(p ORDER BY k_from) AS into_state FROM time_trans GROUP BY 1, 2) GROUP BY 1),
+same AS (
+  SELECT candidate_id, k, (exp(-theta * t_lo) - exp(-theta * coalesce(t_hi, 2 * t_mean)))
+         / (theta * (coalesce(t_hi, 2 * t_mean) - t_lo)) AS same FROM timed),
+known AS (
+  SELECT candidate_id, o AS state, list(CASE o WHEN 0 THEN same WHEN 1 THEN 1 - same ELSE 1 END ORDER BY k) AS e
+  FROM same, range(0, 3) y(o) GROUP BY 1, 2),
+fwd AS (
+  SELECT candidate_id, diploid, block_id, pos, list_transform(e, lambda x: x / list_sum(e)) AS a,
+         ln(list_sum(e) / {SPLINE_CELLS}) AS ll
+  FROM dense JOIN known USING (state) WHERE pos = 1
+  UNION ALL
+  SELECT candidate_id, diploid, block_id, pos, list_transform(v, lambda x: x / list_sum(v)), ll + ln(list_sum(v)) FROM (
+    SELECT f.candidate_id, f.diploid, f.block_id, d.pos, f.ll,
+           list_transform(m.columns, lambda col, i: list_dot_product(f.a, col) * s.e[i]) AS v
+    FROM fwd f JOIN dense d ON d.diploid = f.diploid AND d.block_id = f.block_id AND d.pos = f.pos + 1
+    JOIN known s ON s.candidate_id = f.candidate_id AND s.state = d.state
+    JOIN matrix m ON m.candidate_id = f.candidate_id)),
+scored AS (
+  SELECT knots, start, sum(ll) AS ll FROM fwd JOIN candidates USING (candidate_id) WHERE pos = 240 GROUP BY 1, 2)"""
+
 # not among ORACLES: the point is no optimum, so the matrix is close to singular and rounding shows in the fifth digit
 CURVATURE_COV = _sql(CURVATURE + INVERSE, """
         SELECT a.name AS name_i, b.name AS name_j, m[a.idx + 1][4 + b.idx + 1] AS value
@@ -643,6 +696,10 @@ ORACLES = {
         FROM per_diploid"""),
     "likelihood_sweep": _sql(FORWARD, """
         SELECT candidate_id, round(sum(ll), 6) AS loglik, round(8 - 2 * sum(ll), 6) AS aic FROM lls GROUP BY 1"""),
+    "knot_sweep": _sql(KNOT_MODELS, """
+        SELECT CAST(knots AS INTEGER) AS knots, CAST(start AS BIGINT) AS candidate_id, round(ll, 6) AS loglik,
+               CAST(knots + 3 AS INTEGER) AS free, CAST(NULL AS VARCHAR) AS reason
+        FROM (SELECT *, row_number() OVER (PARTITION BY knots ORDER BY ll DESC) AS place FROM scored) WHERE place = 1"""),
     "curvature_ci": _sql(CURVATURE, """
         SELECT name, round(value, 5) AS value,
                round(CASE WHEN curve > 0 THEN value - 1.96 / sqrt(curve) END, 5) AS lower,
