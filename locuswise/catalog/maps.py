@@ -8,6 +8,7 @@ from locuswise import bindings as b
 from locuswise.catalog import sql as q
 from locuswise.operators import bins, blocks
 from locuswise.operators.overlay import value_runs
+from locuswise.plans.maps import genome_maps
 
 SIZES = (50, 100, 500)
 FRAGMENT = 150
@@ -79,7 +80,15 @@ def maps_in_time(spark, sf):
     return rounded(found, "value", "missing", "diversity")
 
 
+def every_map(spark, sf):
+    """Rate, coalescence time, missing share and diversity of every window of every size."""
+    sites = b.lands(spark, sf).withColumn("tmrca", F.col("k") + 0.5)
+    found = genome_maps(sites, b.land_runs(spark, sf), b.land_blocks(spark, sf), SIZES)
+    return rounded(found, "value", "tmrca", "missing", "diversity")
+
+
 QUERIES = {
+    "genome_maps": every_map,
     "fragment_blocks": lambda s, d: blocks.fragment_blocks(b.land_blocks(s, d), FRAGMENT),
     "trim_to_cutoffs": lambda s, d: blocks.trim_to_cutoffs(b.lands(s, d), b.land_blocks(s, d)),
     "bin_rate": lambda s, d: rounded(bins.bin_rate(b.lands(s, d), b.land_blocks(s, d), SIZES), "value"),
@@ -148,6 +157,12 @@ ORACLES = {
                count(*) AS sites,
                round(avg(value) FILTER (k >= {TIMES[0]} AND k < {TIMES[1]}), {DIGITS}) AS value
         FROM binned GROUP BY 1, 2, 3, 4"""),
+    "genome_maps": q.query(BINNED, f"""
+        SELECT block_id, diploid, bin_size, bin, chrom, round(sum(value) / count(*), {DIGITS}) AS value,
+               round(avg(k + 0.5), {DIGITS}) AS tmrca, round(count(*) FILTER (state = 2) / count(*), {DIGITS}) AS missing,
+               round(count(*) FILTER (state = 1) / nullif(count(*) FILTER (state <> 2), 0), {DIGITS}) AS diversity,
+               lo - 1 + bin * bin_size AS chrom_start, least(lo - 1 + (bin + 1) * bin_size, hi) AS chrom_end
+        FROM binned GROUP BY block_id, diploid, bin_size, bin, chrom, lo, hi"""),
     "bins_in_time": q.query(BINNED + f""",
         timed AS (SELECT *, k >= {TIMES[0]} AND k < {TIMES[1]} AS t FROM binned)""", f"""
         SELECT block_id, diploid, bin_size, bin, count(*) AS sites, count(*) FILTER (t) AS sites_in_time,

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from locuswise import bindings as b
 from locuswise.catalog import sql as q
 from locuswise.operators import blocks, calling, intervals, runs, simulated
+from locuswise.plans.ingest import prepare_states
 from locuswise.sources.sequences import CHUNK
 
 FILTER_THRESHOLD = 50
 MISSING_RUN = 2
 GAP_LENGTH = 1
+MASKED_BLOCKS = 40
 REGION_LENGTH = 100
 SLICE = (25, 200)
 
@@ -48,7 +50,18 @@ def dense_haplotypes(spark, sf):
     return simulated.densify_haplotypes(derived, length)
 
 
+def prepared(spark, sf):
+    """Event records to runs in one plan, with orders as mask."""
+    mask = b.table(spark, sf, "orders").select(
+        (F.col("o_custkey") % MASKED_BLOCKS).cast("int").alias("block_id"),
+        (F.col("o_orderkey") % b.BLOCK_HOURS).alias("start0"),
+        (F.col("o_orderkey") % b.BLOCK_HOURS + 1 + F.col("o_custkey") % 3).alias("end0"),
+    )
+    return prepare_states(b.raw_variants(spark, sf), b.event_blocks(spark, sf), mask, "event_id", "keep_first")
+
+
 QUERIES = {
+    "prepare_states": prepared,
     "shift_collisions": lambda s, d: simulated.shift_collisions(hits(s, d), ["hap"], "seq").select("hap", "pos"),
     "densify_haplotypes": dense_haplotypes,
     "derive_blocks": lambda s, d: blocks.derive_blocks(b.raw_variants(s, d)),
@@ -86,6 +99,15 @@ QUERIES = {
 }
 
 ORACLES = {
+    "prepare_states": q.query(q.DENSE + f""",
+        hidden AS (
+          SELECT DISTINCT o_custkey % {MASKED_BLOCKS} AS block_id,
+                 unnest(range(o_orderkey % 240 + 1, o_orderkey % 240 + 2 + o_custkey % 3)) AS pos
+          FROM orders),
+        seen AS (
+          SELECT d.diploid, d.block_id, d.pos, CAST(CASE WHEN d.pos = 1 OR h.pos IS NOT NULL THEN 2 ELSE d.state END AS INTEGER) AS state
+          FROM dense d LEFT JOIN hidden h ON h.block_id = d.block_id AND h.pos = d.pos)"""
+        + q.islands("seen", "seen_runs"), "SELECT * FROM seen_runs"),
     "shift_collisions": """
         SELECT l_suppkey AS hap, l_partkey + 1 AS pos FROM lineitem
         UNION SELECT l_suppkey, l_partkey + 2 FROM lineitem GROUP BY l_suppkey, l_partkey HAVING count(*) > 1""",
