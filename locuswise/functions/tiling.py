@@ -104,9 +104,14 @@ def running_total(
 def split_at_tiles(
     spans: DataFrame, start: str = "start_pos", end: str = "end_pos", tile: int = TILE
 ) -> DataFrame:
-    """Cut inclusive spans at tile borders; adds ``_tile``. A span never leaves its tile afterwards."""
+    """Cut inclusive spans at tile borders; adds ``_tile``. A span never leaves its tile afterwards.
+
+    A span without a start or an end raises at run time.
+    """
+    missing = F.raise_error(F.lit(f"span without {start} or {end}")).cast("array<bigint>")
+    tiles = F.coalesce(F.sequence(tile_of(start, tile).cast("long"), tile_of(end, tile).cast("long")), missing)
     return (
-        spans.withColumn("_tile", F.explode(F.sequence(tile_of(start, tile), tile_of(end, tile))))
+        spans.withColumn("_tile", F.explode(tiles))
         .withColumn(start, F.greatest(F.col(start), F.col("_tile") * tile))
         .withColumn(end, F.least(F.col(end), F.col("_tile") * tile + (tile - 1)))
     )

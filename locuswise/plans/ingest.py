@@ -38,7 +38,10 @@ def prepare_states(
 def read_states(
     spark: SparkSession, calls: str, block_table: str, samples: DataFrame, mask: str | None = None, **options
 ) -> tuple[DataFrame, DataFrame]:
-    """Runs and blocks from files; ``samples(sample, diploid)`` names the diploids, ``options`` as above."""
+    """Runs and blocks from files; ``samples(sample, diploid)`` names the diploids, ``options`` as above.
+
+    Chromosomes without a block and samples without a diploid raise.
+    """
     blocks = tables.read_blocks(spark, block_table)
     found = variants.with_diploid_ids(tables.with_block_ids(variants.read_variants(spark, calls), blocks), samples)
     spans = None if mask is None else tables.with_block_ids(variants.read_mask_bed(spark, mask), blocks)

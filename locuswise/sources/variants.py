@@ -57,9 +57,18 @@ def read_variants(
     ).select("chrom", "pos", "filter", F.col("c.sample").alias("sample"), F.col("c.gt").alias("gt"))
 
 
-def with_diploid_ids(variants: DataFrame, samples: DataFrame) -> DataFrame:
-    """Replace ``sample`` by the ``diploid`` of ``samples(sample, diploid)``."""
-    return variants.join(samples, "sample").drop("sample")
+def with_diploid_ids(variants: DataFrame, samples: DataFrame, unknown: str = "error") -> DataFrame:
+    """Replace ``sample`` by the ``diploid`` of ``samples(sample, diploid)``.
+
+    A record of a sample that ``samples`` lacks raises at run time; ``unknown="drop"`` leaves such records out.
+    """
+    if unknown == "drop":
+        return variants.join(samples, "sample").drop("sample")
+    if unknown != "error":
+        raise ValueError(f"unknown rule {unknown!r} for samples without a diploid")
+    message = F.concat(F.lit("sample without a diploid: "), F.coalesce("sample", F.lit("null")))
+    known = F.coalesce("diploid", F.raise_error(message).cast(samples.schema["diploid"].dataType))
+    return variants.join(samples.select("sample", "diploid"), "sample", "left").withColumn("diploid", known).drop("sample")
 
 
 def read_mask_bed(spark: SparkSession, path) -> DataFrame:
