@@ -16,6 +16,8 @@ from locuswise.operators import bins, blocks
 from locuswise.sources import bedgraph, landscapes, lines, sequences, tables, variants
 
 FILE_SITES = 1500
+#: Positions whose fragments share a file.
+FILE_SPAN = 1_000_000
 
 
 def blocks_file(spark, sf):
@@ -145,7 +147,7 @@ def landscape_files(spark, sf):
 def pair_files(spark, sf):
     path = scratch_folder(spark, "pairs")
     limits = blocks.fragment_blocks(b.land_blocks(spark, sf), FILE_SITES)
-    landscapes.write_landscape_text(b.lands(spark, sf), limits, FILE_SITES, path, ("k", "value"))
+    landscapes.write_landscape_text(b.lands(spark, sf), limits, FILE_SITES, path, ("k", "value"), FILE_SPAN // FILE_SITES)
     return landscapes.read_landscape_pair(spark, path).drop("file_index")
 
 

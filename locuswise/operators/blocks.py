@@ -47,14 +47,18 @@ def fragment_blocks(blocks: DataFrame, size: int) -> DataFrame:
 
 
 def concat_fragments(parts: DataFrame, index: str = "site_index") -> DataFrame:
-    """Per-fragment site indices (from 1) become positions that continue through the block."""
+    """Per-fragment site indices (from 1) become positions that continue through the block.
+
+    The shifts, one row per fragment file, are broadcast and never the sites: read from compressed
+    text they look smaller than they are.
+    """
     keys = [c for c in ("diploid", "block_id") if c in parts.columns]
     lengths = parts.groupBy(*keys, "file_index").agg(F.max(index).alias("_sites"))
     shifts = running_total(
         lengths, keys, "file_index", F.col("_sites"), "_shift", ORDER_TILE, inclusive=False
     ).drop("_sites")
     return (
-        parts.join(shifts, [*keys, "file_index"])
+        parts.join(F.broadcast(shifts), [*keys, "file_index"])
         .withColumn("pos", F.col(index) + F.col("_shift"))
         .drop("_shift", index)
     )

@@ -41,13 +41,24 @@ def _with_fragment(landscape: DataFrame, fragments: DataFrame, size: int) -> Dat
 
 
 def write_landscape_text(
-    landscape: DataFrame, fragments: DataFrame, size: int, path: str, columns: Sequence[str] = ("value",)
+    landscape: DataFrame,
+    fragments: DataFrame,
+    size: int,
+    path: str,
+    columns: Sequence[str] = ("value",),
+    per_file: int = 1,
 ) -> None:
-    """Gzip text, one site per line and one file per (diploid, block, fragment)."""
+    """Gzip text, one site per line and one file per (diploid, block, fragment).
+
+    ``per_file`` consecutive fragments share a file that bears the index of the first of them: the driver lists
+    and plans every file, so short fragments of long blocks want few files.
+    """
     keys = ["diploid", "block_id", "file_index"]
     line = F.concat_ws("\t", *[F.col(c).cast("string") for c in columns])
+    first = (F.floor((F.col("file_index") - 1) / F.lit(per_file)) * per_file + 1).cast("int")
     (
         _with_fragment(landscape, fragments, size)
+        .withColumn("file_index", first)
         .repartition(*keys)
         .sortWithinPartitions(*keys, "pos")
         .select(*keys, line.alias("value"))

@@ -12,7 +12,8 @@ def numbered_lines(
     """(file, line, value): 0-based line numbers over the kept lines of each file.
 
     Lines are counted per file split; the splits' running totals give the offsets, so only one row
-    per split is ordered.
+    per split is ordered. The offsets are broadcast: the driver plans every split anyway, while the
+    size of the lines is unknown (the bytes of compressed files say little) and must not decide.
     """
     reader = spark.read.option("lineSep", separator) if separator else spark.read
     raw = reader.text(path).select(
@@ -33,7 +34,7 @@ def numbered_lines(
         "_first",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
     )
-    return raw.join(offsets, ["file", "_split"]).select(
+    return raw.join(F.broadcast(offsets), ["file", "_split"]).select(
         "file", (F.col("_offset") + F.col("_seq") - F.col("_first")).alias("line"), "value"
     )
 

@@ -157,6 +157,25 @@ def test_landscape_text(spark, blocks_table, tmp_path):
     assert rows(landscapes.read_landscape_pair(spark, two).select("diploid", "block_id", "pos", "rate", "k")) == sorted(data)
 
 
+def test_fragments_that_share_a_file(spark, blocks_table, tmp_path):
+    data = [(d, 0, p, p / 8 + d, p % 3) for d in (1, 2) for p in range(1, 11)]
+    table = spark.createDataFrame(data, "diploid int, block_id int, pos long, value double, k int")
+    path = str(tmp_path / "shared")
+    landscapes.write_landscape_text(table, blocks.fragment_blocks(blocks_table, 2), 2, path, ("k", "value"), 3)
+    found = spark.read.text(path)
+    assert rows(found.select("diploid", "file_index").distinct()) == [(d, i) for d in (1, 2) for i in (1, 4)]
+    assert len(found.inputFiles()) == 4
+    assert rows(landscapes.read_landscape_pair(spark, path).select("diploid", "block_id", "pos", "rate", "k")) == sorted(data)
+
+
+def test_lines_of_compressed_files_are_never_broadcast(spark, put):
+    from locuswise.sources.lines import numbered_lines
+
+    path = put("rows.txt.gz", "".join(f"line{i}\n" for i in range(50)))
+    plan = numbered_lines(spark, path)._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
 def test_bedgraph(spark, blocks_table, tmp_path):
     data = [(d, 0, p, float(p + d)) for d in (1, 2) for p in range(1, 11)]
     land = spark.createDataFrame(data, "diploid int, block_id int, pos long, value double")
