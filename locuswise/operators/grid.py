@@ -59,8 +59,11 @@ def spline_rates(knots: DataFrame, grid: DataFrame, n: int, n_knots: int) -> Dat
     span = (n + n_knots) // (n_knots + 1)
     if (n - 1) // span != n_knots:
         raise ValueError(f"{n_knots} knots do not fit a grid of {n} cells")
-    heights = knots.groupBy("candidate_id").agg(
-        F.array_sort(F.collect_list(F.struct("i", "height", "slope"))).alias("_knots")
+    # by hash and not through the driver: a table of many candidates looks smaller than it is before its cells are exploded
+    heights = (
+        knots.groupBy("candidate_id")
+        .agg(F.array_sort(F.collect_list(F.struct("i", "height", "slope"))).alias("_knots"))
+        .hint("shuffle_hash")
     )
     # a candidate has n cells, so its boundaries fit one array
     times = F.array_sort(
@@ -110,7 +113,7 @@ def scale_rates_by_ne(grid: DataFrame, categories: DataFrame) -> DataFrame:
     """One grid per population-size category: rate divided by the category's scale."""
     sizes = categories.select("candidate_id", F.col("cat").alias("c_ne"), "scale")
     return (
-        grid.join(sizes, "candidate_id")
+        grid.join(sizes.hint("shuffle_hash"), "candidate_id")
         .withColumn("lambda", F.col("lambda") / F.col("scale"))
         .drop("scale")
     )

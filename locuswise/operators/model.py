@@ -7,6 +7,7 @@ the data, so expanding its cells inside a row is bounded by the model.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -259,40 +260,63 @@ def state_transitions(
 
     ``time_trans`` is keyed by the rho category of the origin, ``c_rho``. Rows of each factor sum
     to one, hence so do the products.
+
+    The factors meet as arrays in one row per candidate, a few cells each, and that row meets the
+    time cells in a hash join by candidate: their sizes before cells are exploded would have them
+    taken for small and sent through the driver.
     """
+    factors = {"rho": rho_trans, "theta": theta_trans, "ne": ne_trans}
+    cells = reduce(
+        lambda a, b: a.unionByName(b),
+        [
+            table.select(
+                "candidate_id",
+                F.lit(name).alias("_of"),
+                F.struct(F.col("cat_from").alias("from"), F.col("cat_to").alias("to"), "p").alias("_cell"),
+            )
+            for name, table in factors.items()
+        ],
+    )
+    packed = cells.groupBy("candidate_id").agg(
+        *[F.collect_list(F.when(F.col("_of") == name, F.col("_cell"))).alias(f"_{name}") for name in factors]
+    )
 
-    def factor(table, name):
-        return table.select(
-            "candidate_id",
-            F.col("cat_from").alias(f"{name}_from"),
-            F.col("cat_to").alias(f"{name}_to"),
-            F.col("p").alias(f"p_{name}"),
-        )
+    def pairs(rho, theta, ne):
+        sides = {f"{name}_{side}": c[side] for name, c in (("rho", rho), ("theta", theta), ("ne", ne)) for side in ("from", "to", "p")}
+        return F.struct(*[c.alias(name) for name, c in sides.items()])
 
-    joined = (
-        time_trans.withColumnRenamed("c_rho", "rho_from")
-        .join(factor(rho_trans, "rho"), ["candidate_id", "rho_from"])
-        .join(factor(theta_trans, "theta"), "candidate_id")
-        .join(factor(ne_trans, "ne"), "candidate_id")
+    every = F.flatten(
+        F.transform(
+            "_rho",
+            lambda r: F.flatten(F.transform("_theta", lambda t: F.transform("_ne", lambda n: pairs(r, t, n)))),
+        )
     )
+    rows = packed.select("candidate_id", every.alias("_cells"))
+    here = F.filter("_cells", lambda c: c["rho_from"] == F.col("c_rho"))
+    joined = time_trans.join(rows.hint("shuffle_hash"), "candidate_id").withColumn("c", F.explode(here))
 
     def index(side):
         k = F.col(f"k_{side}")
         return (
-            ((k * n_theta + F.col(f"theta_{side}")) * n_rho + F.col(f"rho_{side}")) * n_ne
-            + F.col(f"ne_{side}")
+            ((k * n_theta + F.col(f"c.theta_{side}")) * n_rho + F.col(f"c.rho_{side}")) * n_ne
+            + F.col(f"c.ne_{side}")
         ).cast("int")
 
-    p = F.col("p") * F.col("p_rho") * F.col("p_theta") * F.col("p_ne")
+    p = F.col("p") * F.col("c.rho_p") * F.col("c.theta_p") * F.col("c.ne_p")
     return joined.select(
         "candidate_id", index("from").alias("s_from"), index("to").alias("s_to"), p.alias("p")
     )
 
 
 def scaled_grids(grid: DataFrame, categories: DataFrame, rate: str) -> DataFrame:
-    """One grid per category of ``rate``, with that rate multiplied by the category scale."""
+    """One grid per category of ``rate``, with that rate multiplied by the category scale.
+
+    Neither side goes through the driver, however small the tables look before cells are exploded. Work per byte
+    is high in what follows, so the partitions are stated and not merged by their size.
+    """
+    count = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cats = categories.select("candidate_id", F.col("cat").alias(f"c_{rate}"), F.col("scale").alias("_s"))
-    return grid.join(cats, "candidate_id").withColumn(rate, F.col(rate) * F.col("_s")).drop("_s")
+    return grid.repartition(count, "candidate_id").join(cats.hint("shuffle_hash"), "candidate_id").withColumn(rate, F.col(rate) * F.col("_s")).drop("_s")
 
 
 def symbol_emissions(

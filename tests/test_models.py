@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from locuswise import catalog
 from locuswise.functions import gamma
 from locuswise.operators import blocks, grid, model, params
 from locuswise.plans import optimise
@@ -188,3 +189,10 @@ def test_bins_of_sizes_without_a_common_step(spark):
     together = bins.bin_states(states, table, [17, 31])
     apart = bins.bin_states(states, table, [17]).unionByName(bins.bin_states(states, table, [31]))
     assert sorted(map(str, together.collect())) == sorted(map(str, apart.collect())) and together.count() > 0
+
+
+def test_tables_of_many_candidates_do_not_pass_the_driver(spark, small):
+    """Before cells are exploded a table of candidates looks small enough to broadcast, however many rows it will have."""
+    for name in ("state_transitions", "spline_rates", "scale_rates_by_ne", "symbol_emissions"):
+        plan = catalog.queries()[name](spark, small)._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in plan, name
