@@ -220,3 +220,15 @@ def test_simulated_positions(spark):
     assert rows(simulated.shift_collisions(hits, ["hap"], "seq").select("pos", "seq")) == [(5, 1), (6, 2), (9, 4)]
     dense = simulated.densify_haplotypes(hits.select("hap", "pos").distinct(), 12, tile=5)
     assert rows(dense) == [(0, p, int(p in (5, 6, 9))) for p in range(1, 13)]
+
+
+def test_dense_positions_are_not_shuffled(spark):
+    hits = spark.createDataFrame([(0, 5), (0, 5), (0, 10), (0, 11), (0, 13), (1, 0), (2, 1), (2, 12), (None, 3)], "hap long, pos long")
+    dense = simulated.densify_haplotypes(hits, 12, tile=5)
+    got = sorted((-1 if r.hap is None else r.hap, r.pos, r.base) for r in dense.collect())
+    derived = {(0, 5), (0, 10), (0, 11), (2, 1), (2, 12)}
+    assert got == [(h, p, int((h, p) in derived)) for h in (-1, 0, 1, 2) for p in range(1, 13)]
+    made = "explode(sequence("
+    plan = dense._jdf.queryExecution().sparkPlan().toString().lower()
+    # positions become rows above every join: nothing is left to bring together
+    assert plan.index(made) < plan.index("join")
