@@ -12,6 +12,7 @@ from locuswise.catalog.maps import BINNED, DIGITS, FRAGMENT, SIZES, rounded
 from locuswise.catalog.models import PARAMS, param_list
 from locuswise.catalog.sites import mask_codes
 from locuswise.functions.lineage import scratch_folder
+from locuswise.functions.tiling import running_total
 from locuswise.operators import bins, blocks
 from locuswise.sources import bedgraph, landscapes, lines, sequences, tables, variants
 
@@ -32,25 +33,40 @@ def variant_files(spark, sf):
     # the columns of a call file are its samples, so their list fits a row
     samples = calls.select("diploid").distinct().agg(F.sort_array(F.collect_list("diploid")).alias("ids"))
     names = samples.scalar()
+    places = running_total(
+        calls.select("diploid").distinct().filter("diploid IS NOT NULL"),
+        [],
+        "diploid",
+        F.lit(1),
+        "place",
+        blocks.ORDER_TILE,
+    )
+    found = F.when(F.col("place").isNotNull(), F.struct("place", "gt"))
     sites = (
-        calls.groupBy("block_id", "pos")
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct("diploid", "gt"))).alias("gts"),
-            F.min("filter").alias("filter"),
-        )
+        calls.join(places, "diploid", "left")
+        .groupBy("block_id", "pos")
+        .agg(F.sort_array(F.collect_list(found)).alias("gts"), F.min("filter").alias("filter"))
         .withColumn("ids", names)
     )
-    filled = F.transform("ids", lambda d: F.coalesce(F.try_element_at("gts", d), F.lit("./.")))
-    chrom = F.concat(F.lit("chr"), F.col("block_id") + 1)
-    body = F.concat_ws(
-        "\t", chrom, "pos", F.lit("."), F.lit("A"), F.lit("C"), F.lit("."), "filter", F.lit("."), F.lit("GT"), filled
+    # what lies between two records of a site is absent: work follows the records and the text, not records x samples
+    absent = lambda count: F.repeat(F.lit("\t./."), count.cast("int"))
+    before = F.concat(F.array(F.lit(0).cast("long")), F.col("gts.place"))
+    called = F.zip_with(
+        "gts",
+        F.slice(before, 1, F.size("gts")),
+        lambda g, last: F.concat(absent(g["place"] - last - 1), F.lit("\t"), g["gt"]),
     )
+    filled = F.concat(F.array_join(called, ""), absent(F.size("ids") - F.element_at(before, -1)))
+    chrom = F.concat(F.lit("chr"), F.col("block_id") + 1)
+    fixed = F.concat_ws("\t", chrom, "pos", F.lit("."), F.lit("A"), F.lit("C"), F.lit("."), "filter", F.lit("."), F.lit("GT"))
+    body = F.concat(fixed, filled)
     head = F.concat_ws(
         "\t",
         *[F.lit(c) for c in "#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT".split()],
         F.transform("ids", lambda d: d.cast("string")),
     )
-    headers = sites.groupBy("block_id").agg(F.first("ids").alias("ids")).select(
+    # the list joins the blocks only after they are told apart: one list per record would have to be sorted otherwise
+    headers = calls.select("block_id").distinct().withColumn("ids", names).select(
         "block_id", F.lit(0).cast("long").alias("pos"), F.concat(F.lit("##made for a test\n"), head).alias("value")
     )
     path = scratch_folder(spark, "calls")

@@ -44,7 +44,8 @@ def read_variants(
     )
     if chroms is not None:
         sites = sites.filter(F.col("cols")[0].isin(list(chroms)))
-    joined = sites.join(headers, "file")
+    # one row per file: the lines of compressed files are larger than their bytes say and must not be the side sent round
+    joined = sites.join(F.broadcast(headers), "file")
     calls = F.arrays_zip(
         F.col("samples").alias("sample"),
         F.slice("cols", F.col("fixed") + 1, F.size("samples")).alias("gt"),

@@ -4,7 +4,7 @@ import pytest
 from compare import compare, connect
 
 from locuswise import catalog
-from locuswise.catalog import hmm
+from locuswise.catalog import files, hmm
 from locuswise.catalog.maps import SIZES
 
 
@@ -26,6 +26,17 @@ def test_a_haplotype_without_a_partner_is_left_out_as_in_sql(spark, small, tmp_p
     assert {r.diploid for r in got.select("diploid").distinct().collect()} == {0, 1, 3}
 
 
+def test_the_list_of_samples_is_not_sorted_with_the_records(spark, small, monkeypatch):
+    """It is as long as there are samples, so it may meet a site or a block but never go through a sort of the records."""
+    plans = []
+    monkeypatch.setattr(files.variants, "read_variants", lambda *_: None)
+    writer = type(spark.range(1).write)
+    monkeypatch.setattr(writer, "text", lambda self, path, **_: plans.append(self._df._jdf.queryExecution().sparkPlan().toString()))
+    catalog.queries()["read_variants"](spark, small)
+    (plan,) = plans
+    assert "first(" not in plan and "try_element_at" not in plan
+
+
 def test_maps_of_every_resolution_are_read_back(spark, small):
     found = catalog.queries()["bedgraph_sizes"](spark, small).select("window_size").distinct().collect()
     assert {r.window_size for r in found} == {f"{n}b" for n in SIZES}
