@@ -14,7 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TILE = 1 << 20
+#: Positions of a tile. All rows of a key and tile meet in one task, so it bounds a task's share of few long keys;
+#: a span is cut once per tile it crosses.
+TILE = 1 << 16
 
 
 def tile_of(position: Column | str, tile: int = TILE) -> Column:

@@ -164,3 +164,11 @@ def test_fill_gaps_covers_blocks_without_records_and_rejects_unknown_ones(spark,
     assert sum(end - start + 1 for _, _, start, end, _ in full) == 400
     with pytest.raises(Exception, match="unknown block"):
         calling.fill_gaps(sparse.withColumn("block_id", F.lit(9)), blocks).collect()
+
+
+def test_sites_of_few_long_keys_are_spread(spark):
+    """One key over a million positions is many groups, none of them above a tenth of it, and its runs are whole."""
+    sites = spark.range(1, 1_000_001).selectExpr("1L AS diploid", "0 AS block_id", "id AS pos", "CAST(id > 700000 AS INT) AS state")
+    pieces = tiling.split_at_tiles(runs.as_runs(sites)).groupBy("_tile").count()
+    assert max(r["count"] for r in pieces.collect()) < 100_000
+    assert rows(runs.rle_encode(sites)) == [(1, 0, 1, 700_000, 0), (1, 0, 700_001, 1_000_000, 1)]
