@@ -25,6 +25,8 @@ from locuswise.operators.runs import KEYS, run_length
 FRAGMENT = 3_000_000
 FAN_IN = 16
 MODELS_PER_BATCH = 32
+#: Rows whose matrices a Python worker holds at once.
+ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -132,6 +134,20 @@ def _lists(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
     return np.split(values, ends[:-1]) if len(ends) else []
 
 
+def _nested(column: pa.Array) -> list[list[np.ndarray]]:
+    """Rows of an Arrow list of lists as views: boxed numbers would take many times the memory of the batch."""
+    members = _lists(column.flatten())
+    ends = np.cumsum(np.asarray(column.value_lengths(), dtype=np.int64)).tolist()
+    return [members[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _short(batches):
+    """Batches of at most ``ROWS`` rows: a row holds the matrices of a whole batch of models."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            yield batch.slice(first, ROWS)
+
+
 def _carry_columns(batch: pa.RecordBatch, names: Sequence[str]):
     return {name: batch.column(batch.schema.get_field_index(name)) for name in names}
 
@@ -164,7 +180,7 @@ def _emit_transfer(keys, mats, logs):
 def _transfers(lead: bool):
     def run(batches):
         key, powers = None, None
-        for batch in batches:
+        for batch in _short(batches):
             if not batch.num_rows:
                 continue
             cols = _carry_columns(batch, ["diploid", "block_id", "batch", "idx"])
@@ -255,7 +271,7 @@ def _check_order(group: int, members: Sequence[int]) -> None:
 
 
 def _products(batches):
-    for batch in batches:
+    for batch in _short(batches):
         if not batch.num_rows:
             continue
         cols = _carry_columns(batch, ["diploid", "block_id", "batch", "idx"])
@@ -264,10 +280,8 @@ def _products(batches):
             cols["idx"].to_pylist(), batch.column(batch.schema.get_field_index("members")).to_pylist()
         ):
             _check_order(group, ids)
-        for mats, logs in zip(
-            batch.column(batch.schema.get_field_index("mats")).to_pylist(),
-            batch.column(batch.schema.get_field_index("logs")).to_pylist(),
-        ):
+        nested = (_nested(batch.column(batch.schema.get_field_index(name))) for name in ("mats", "logs"))
+        for mats, logs in zip(*nested):
             models = len(logs[0])
             states = math.isqrt(len(mats[-1]) // models) if len(mats) > 1 else None
             members = []

@@ -458,3 +458,31 @@ def test_runs_within_regions(spark):
         holes.with_holes(runs, regions, "other")
     blocks = spark.createDataFrame([(0, 1, 30)], "block_id int, start long, end long")
     assert holes.with_holes(runs.limit(0), blocks, "drift").count() == 0
+
+
+def test_products_hold_few_rows_at_once():
+    import pyarrow as pa
+
+    rows, models, states = 1_000, 2, 3
+    rng = np.random.default_rng(1)
+    mats = [[rng.random(models * states).tolist(), rng.random(models * states**2).tolist()] for _ in range(rows)]
+    logs = [[[0.0] * models] * 2 for _ in range(rows)]
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "diploid": pa.array(range(rows), pa.int64()),
+            "block_id": pa.array([0] * rows, pa.int32()),
+            "batch": pa.array([0] * rows, pa.int32()),
+            "idx": pa.array([1] * rows, pa.int32()),
+            "members": [[1, 2]] * rows,
+            "mats": mats,
+            "logs": logs,
+        }
+    )
+    out = list(scoring._products([batch]))
+    assert max(b.num_rows for b in out) < rows // 2
+    found = [(m, log) for b in out for m, log in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
+    assert len(found) == rows
+    for (first, second), (m, log) in zip(mats, found):
+        want = [np.array(first).reshape(models, states)[i] @ np.array(second).reshape(models, states, states)[i] for i in range(models)]
+        got = np.array(m).reshape(models, states) * np.exp(log)[:, None]
+        np.testing.assert_allclose(got, want, rtol=1e-12)
