@@ -486,3 +486,41 @@ def test_products_hold_few_rows_at_once():
         want = [np.array(first).reshape(models, states)[i] @ np.array(second).reshape(models, states, states)[i] for i in range(models)]
         got = np.array(m).reshape(models, states) * np.exp(log)[:, None]
         np.testing.assert_allclose(got, want, rtol=1e-12)
+
+
+@pytest.mark.parametrize("cells", [1, 100, 10**6])
+def test_fragments_side_by_side_equal_one_by_one(monkeypatch, cells):
+    monkeypatch.setattr(kernels, "LANE_CELLS", cells)
+    r = np.random.default_rng(6)
+    trans, emis = (np.stack(x) for x in zip(random_model(1), random_model(2)))
+    codes = [0, 1, 2, kernels.DRIFT, kernels.SKIP, kernels.OPEN, kernels.OPEN - 1]
+    symbols = [r.choice(codes, size=n).astype(np.int8) for n in (1, 1, 7, 2, 7, 30)]
+    lengths = [np.where(s <= kernels.OPEN, 1, r.integers(1, 40, len(s))).astype(np.int32) for s in symbols]
+    powers = kernels.RunPowers(trans, emis)
+    for start, lead in ((np.full(S, 1 / S), True), (None, True), (None, False)):
+        seen = []
+        for lanes, left, log in powers.fragments(lengths, symbols, start, lead):
+            for at, lane in enumerate(lanes):
+                want, by = powers.fragment(lengths[lane], symbols[lane], start, lead)
+                np.testing.assert_allclose(left[:, at], want, atol=1e-13)
+                np.testing.assert_allclose(log[:, at], by, atol=1e-10)
+                seen.append(lane)
+        assert sorted(seen) == list(range(len(symbols)))
+
+
+@pytest.mark.parametrize("most", [1, 30, 1 << 15])
+def test_bundles_of_any_size_score_alike(spark, data, monkeypatch, most):
+    monkeypatch.setattr(scoring, "BUNDLE_RUNS", most)
+    got = scoring.forward_loglik(*data, models_table(spark, [1, 2]), 7).collect()
+    assert len(got) == 6
+    for row in got:
+        want, _ = forward(sequences()[row.diploid, row.block_id], *random_model(row.candidate_id))
+        assert row.loglik == pytest.approx(want, abs=1e-9)
+
+
+def test_fragments_of_few_runs_meet_the_models_together(spark, data):
+    runs, blocks = data
+    scorer = scoring.Scorer.over(runs, blocks, 7)
+    # three sequences of up to nine fragments: one row for the models to meet, and no product between fragments left
+    assert scorer.bundles.rows.count() == 1
+    assert (scorer.bundles.fan, scorer.bundles.depth) == (9, 1)
