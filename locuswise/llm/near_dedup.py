@@ -23,6 +23,8 @@ SMALL = 32
 #: a pair at 75 % shares 48 on average, and fewer than 28 once in some hundred million.
 SIMILARITY = 75
 AGREEING = 28
+#: Bits a shingle that say which pairs cannot be similar enough.
+BITS = 4
 #: Rows of an Arrow batch of whole texts.
 BATCH_ROWS = 512
 #: Counters that say how common a shingle is: a table of one size for every input, used for an order only.
@@ -300,9 +302,53 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
+def shingle_bits(values: np.ndarray) -> np.ndarray:
+    """A bit per remainder of the hashes of a set, as bytes: a power of two of bits, at least ``BITS`` a shingle."""
+    size = max(64, 1 << (BITS * len(values) - 1).bit_length())
+    flags = np.zeros(size, np.uint8)
+    flags[(values & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little")
+
+
+def _with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = shingles.distinct_sets(*shingles.shingle_hashes(batch["text"]))
+        sizes = pa.array([len(s) for s in sets], pa.int64())
+        bits = pa.array([shingle_bits(s).tobytes() for s in sets], pa.binary())
+        yield pa.record_batch([batch["node"], sizes, bits], ["node", "n", "bits"])
+
+
+def most_common(n: int, mine: np.ndarray, m: int, other: np.ndarray) -> int:
+    """Shingles that sets of ``n`` and ``m`` with these bits can have in common: a bit of one only is a shingle of one only."""
+    while len(mine) > len(other):
+        mine = mine[: len(mine) // 2] | mine[len(mine) // 2 :]
+    while len(other) > len(mine):
+        other = other[: len(other) // 2] | other[len(other) // 2 :]
+    only = lambda x, y: int(np.bitwise_count(x & ~y).sum())
+    return min(n - only(mine, other), m - only(other, mine))
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = []
+        columns = (batch[c].to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b"))
+        for n, mine, m, other in zip(*columns, strict=True):
+            both = most_common(n, np.frombuffer(mine, np.uint8), m, np.frombuffer(other, np.uint8))
+            kept.append(100 * both >= SIMILARITY * (n + m - both))
+        yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+
+def possible_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that bits of their full shingle sets leave open: no link is lost, and most other pairs need no texts."""
+    wanted = settled(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    bits = settled(texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_with_bits, "node long, n long, bits binary"), "bits")
+    a, b = (bits.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    return pairs.join(b, "b").join(a, "a").mapInArrow(_possible, "a long, b long")
+
+
 def confirmed_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets are similar enough; ``texts`` has (node, text)."""
-    pairs = settled(pairs, "pairs")
+    pairs = settled(possible_pairs(settled(pairs, "pairs"), texts), "possible")
     wanted = settled(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
     texts = settled(texts.join(wanted, "node", "left_semi"), "wanted-texts")
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")

@@ -227,3 +227,27 @@ def recut(spark, monkeypatch):
     yield start
     spark.conf.unset(key)
     spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_bits_never_rule_out_a_link():
+    r = np.random.default_rng(8)
+    for n in (1, 3, 20, 300, 4000):
+        for share in (0.0, 0.3, 0.5, 0.74, 0.75, 0.76, 0.9, 1.0):
+            for m in (n, -(-3 * n // 4), n + n // 4):
+                both = min(round(share * (n + m) / (1 + share)), n, m)
+                every = np.unique(r.integers(0, 2**63, 2 * (n + m) + 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+                drawn = r.permutation(every)
+                mine, other = drawn[:n], np.concatenate([drawn[:both], drawn[n : n + m - both]])
+                most = near_dedup.most_common(n, near_dedup.shingle_bits(mine), m, near_dedup.shingle_bits(other))
+                assert both <= most <= min(n, m)
+
+
+def test_pairs_that_are_alike_by_half_need_no_texts(spark):
+    words = [f"w{i}" for i in range(400)]
+    half = [words[:300] + [f"{k}x{i}" for i in range(100)] for k in range(6)]
+    near = [words[:390] + [f"{k}y{i}" for i in range(10)] for k in range(3)]
+    texts = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(half + near)], "node long, text string")
+    pairs = spark.createDataFrame([(i, j) for j in range(9) for i in range(j)], "a long, b long")
+    left = {(p.a, p.b) for p in near_dedup.possible_pairs(pairs, texts).collect()}
+    assert left == {(6, 7), (6, 8), (7, 8)}
+    assert {(p.a, p.b) for p in near_dedup.confirmed_links(pairs, texts).collect()} == left
