@@ -94,7 +94,7 @@ def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     A tree orders all signatures from another value on. Rows that share the first values of a tree form a
     region. A region of at most ``SMALL`` rows gives all its pairs. A larger one gives the pairs of all its rows
     with one pivot, the row that lies in the most crowded regions over all trees (of copies of one text, the
-    text itself), and is then looked at again at more values, until it falls apart into small ones. No region is
+    text itself), and is looked at again at more values, until it falls apart into small ones. No region is
     cut off: each row of it meets at least the pivot, at every depth. What a large region leaves unsaid is for
     ``rest_links``: the large regions of the first depth (region, node) come second.
     """
@@ -105,53 +105,51 @@ def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     key_at = lambda depth: F.array(
         *[F.xxhash64(F.lit(t), F.substring(doubled, 4 * per_tree * t + 1, 4 * depth)) for t in range(TREES)]
     )
-    rows = nodes.select("node", F.posexplode(key_at(DEPTHS[0])).alias("tree", "region"))
-    found = []
-    crowd = None
-    for level, depth in enumerate(DEPTHS):
-        # counts are stored first: the join then deals both sides by region itself, and adaptive execution can split hot ones
-        counts = settled(rows.groupBy("region").agg(F.count("*").alias("members")).filter("members > 1"), f"counts-{depth}")
-        shared = settled(rows.join(counts, "region"), f"regions-{depth}")
-        if crowd is None:
-            crowd = settled(shared.groupBy("node").agg(F.sum("members").alias("crowd")), "crowds")
-        small = shared.filter(F.col("members") <= SMALL).join(sketch, "node")
-        pairs = (
-            small.groupBy("region")
-            .agg(F.collect_list(F.struct("node", "n_shingles", "low")).alias("members"))
-            .select("members")
-            .mapInArrow(_region_pairs, "a long, b long")
-        )
-        found.append(settled(pairs, f"pairs-{depth}"))
-        large = shared.filter(F.col("members") > SMALL)
-        if level == 0:
-            crowded = large.select("region", "node")
-        if large.isEmpty():
-            break
-        pivots = settled(
-            large.join(crowd, "node")
-            .groupBy("region")
-            .agg(F.min(F.struct((-F.col("crowd")).alias("less"), "node")).alias("first"))
-            .select("region", F.col("first.node").alias("pivot")),
-            "pivots",
-        )
+    rows = nodes.select("node", F.explode(key_at(DEPTHS[0])).alias("region"))
+    # counts are stored first: the join then deals both sides by region itself, and adaptive execution can split hot ones
+    counts = settled(rows.groupBy("region").agg(F.count("*").alias("members")).filter("members > 1"), "counts")
+    shared = settled(rows.join(counts, "region"), "regions")
+    small = shared.filter(F.col("members") <= SMALL).select("region", "node")
+    crowded = shared.filter(F.col("members") > SMALL).select("region", "node")
+    stars = None
+    if not crowded.isEmpty():
+        places = _places(nodes, shared, F.array(*[key_at(depth) for depth in DEPTHS]))
+        small = small.unionByName(places.filter(F.col("members") <= SMALL).select("region", "node"))
+        meets = places.filter((F.col("members") > SMALL) & (F.col("pivot") != F.col("node"))).select("pivot", "node").distinct()
         other = sketch.select(
             F.col("node").alias("pivot"), F.col("n_shingles").alias("pivot_shingles"), F.col("low").alias("pivot_low")
         )
-        meets = settled(large.join(pivots, "region").filter("pivot != node").select("pivot", "node").distinct(), "meets")
-        stars = meets.join(sketch, "node").join(other, "pivot").mapInArrow(_star_pairs, "a long, b long")
-        found.append(settled(stars, f"stars-{depth}"))
-        if level + 1 < len(DEPTHS):
-            deeper = F.element_at(key_at(DEPTHS[level + 1]), F.col("tree") + 1)
-            rows = settled(
-                large.select("node", "tree").join(nodes.select("node", "signature"), "node").select("node", "tree", deeper.alias("region")),
-                "deeper",
-            )
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
+        stars = settled(meets, "meets").join(sketch, "node").join(other, "pivot").mapInArrow(_star_pairs, "a long, b long")
+    members = F.collect_list(F.struct("node", "n_shingles", "low")).alias("members")
+    pairs = small.join(sketch, "node").groupBy("region").agg(members).select("members").mapInArrow(_region_pairs, "a long, b long")
+    if stars is not None:
+        pairs = pairs.unionByName(stars)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), crowded
 
 
+def _places(nodes: DataFrame, shared: DataFrame, keys) -> DataFrame:
+    """Rows (node, region, members, pivot) of the large regions of the first depth and of all regions looked at below them.
+
+    ``keys`` has a region per depth and tree. The regions of a tree lie in each other, so one count of all depths says
+    which ones are looked at: those whose region one depth up is large.
+    """
+    spot = F.when(F.col("members") > SMALL, F.col("region"))
+    spots = shared.groupBy("node").agg(F.sum("members").alias("crowd"), F.collect_list(spot).alias("regions")).filter("size(regions) > 0")
+    each = nodes.select("node", "signature").join(settled(spots, "spots"), "node")
+    each = each.select("node", "crowd", keys.alias("keys"), F.explode("regions").alias("region"))
+    tree = F.array_position(F.col("keys")[0], F.col("region")).cast("int")
+    each = each.select("node", "crowd", F.transform("keys", lambda k: F.element_at(k, tree)).alias("path"))
+    each = each.select("node", "crowd", "path", F.posexplode("path").alias("depth", "region"))
+    above = F.when(F.col("depth") > 0, F.col("path")[F.col("depth") - 1])
+    places = settled(each.select("node", "crowd", "region", above.alias("above")), "places")
+    first = F.min(F.struct((-F.col("crowd")).alias("less"), "node")).alias("first")
+    found = places.groupBy("region").agg(F.count("*").alias("members"), F.min("above").alias("above"), first)
+    found = settled(found.filter("members > 1").select("region", "members", "above", F.col("first.node").alias("pivot")), "counts-below")
+    large = found.filter(F.col("members") > SMALL).select(F.col("region").alias("above"))
+    looked_at = settled(found.filter("above IS NULL").unionByName(found.join(large, "above", "left_semi")).drop("above"), "looked-at")
+    return settled(places.select("node", "region").join(looked_at, "region"), "places")
+
+
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = shingles.distinct_sets(*shingles.shingle_hashes(batch["text"]))
@@ -252,6 +250,9 @@ def rest_links(crowded: DataFrame, names: DataFrame, texts: DataFrame) -> DataFr
         counts[part["counter"].to_numpy()] = part["n"].to_numpy()
     run = _rare_shingles(spark.sparkContext.broadcast(counts))
     postings = settled(sets.mapInArrow(run, "posting long, node long, component long, n_shingles long"), "postings")
+    # most rare shingles are those of one text or one component: what is left without them is little
+    spread = postings.groupBy("posting").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    postings = settled(postings.join(settled(spread.select("posting"), "spread"), "posting"), "spread-postings")
     by_component = postings.groupBy("posting", "component").agg(
         F.count("*").alias("n"),
         F.sum("n_shingles").alias("shingles"),
@@ -267,6 +268,7 @@ def rest_links(crowded: DataFrame, names: DataFrame, texts: DataFrame) -> DataFr
     seeking = F.ceil(slices * (F.col("n") - F.col("first.largest.n")) / F.col("n")).cast("long")
     once = settled(mixed.select("first.posting", F.col("first.largest.component").alias("largest"), slices.alias("slices"), seeking.alias("seeking")), "mixed-postings")
     met = settled(postings.select("posting", "node", "component").join(once, "posting"), "across")
+    sets = sets.join(settled(met.select("node").distinct(), "met"), "node", "left_semi")
     # a row lies in one slice; rows outside the largest component are seekers too, and meet every slice
     own, from_ = (F.pmod(F.xxhash64("node"), F.col(c)) for c in ("slices", "seeking"))
     as_member = met.select("posting", "node", own.alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("seeking") - 1)).alias("i"))
@@ -287,7 +289,9 @@ def linked_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     if crowded.isEmpty():
         return names
     rest = rest_links(crowded, names, texts)
-    return names if rest.isEmpty() else component_names(links.unionByName(rest))
+    if rest.isEmpty():
+        return names
+    return component_names(names.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

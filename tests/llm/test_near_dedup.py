@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from helpers import awkward, documents
-from locuswise.llm import exact_dedup, near_dedup
+from locuswise.llm import exact_dedup, graph, near_dedup
 from locuswise.llm.common import ROW, table, with_row_key
 from locuswise.llm.graph import component_names
 
@@ -251,3 +251,34 @@ def test_pairs_that_are_alike_by_half_need_no_texts(spark):
     left = {(p.a, p.b) for p in near_dedup.possible_pairs(pairs, texts).collect()}
     assert left == {(6, 7), (6, 8), (7, 8)}
     assert {(p.a, p.b) for p in near_dedup.confirmed_links(pairs, texts).collect()} == left
+
+
+@pytest.mark.parametrize("links_at_once", [3, 1 << 16])
+def test_components_joined_in_tasks_and_in_rounds(spark, monkeypatch, links_at_once):
+    monkeypatch.setattr(graph, "LINKS", links_at_once)
+    rng = random.Random(6)
+    pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)]
+    label = list(range(120))
+    for a, b in pairs:
+        label = [label[b] if x == label[a] else x for x in label]
+    rows = graph.component_names(spark.createDataFrame(pairs, "a long, b long").repartition(3)).collect()
+    names = {r.node: r.component for r in rows}
+    assert len(rows) == len(names) and set(names) == {x for a, b in pairs if a != b for x in (a, b)}
+    assert all((names[x] == names[y]) == (label[x] == label[y]) for x in names for y in names)
+
+
+def test_steps_do_not_grow_with_the_depth_of_crowded_regions(spark, tmp_path, monkeypatch):
+    """300 near copies crowd every depth; all depths are counted in one step, and the links need one job, not a round each."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(900)]
+    rows = [(k, " ".join(_edited(rng, words, 1, f"a{k}"))) for k in range(300)]
+    steps, plain = [], near_dedup.settled
+
+    def settled(df, name="table"):
+        steps.append(name)
+        return plain(df, name)
+
+    monkeypatch.setattr(near_dedup, "settled", settled)
+    monkeypatch.setattr(graph, "settled", settled)
+    assert found(documents(spark, tmp_path, rows)) == sorted(((k, 896, 0) for k in range(300)), key=str)
+    assert len(steps) < 40
