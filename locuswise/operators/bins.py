@@ -156,7 +156,14 @@ def bins_in_time(
     so the work follows their edges. A bin without sites in the time range has nulls. Sites without a decoded time
     take no part; missing ones count in the rate, as in :func:`bin_rate_in_time`, but not in the diversity.
     """
-    laid = overlay({"k": times, "state": states, "value": rates}).filter("k IS NOT NULL")
+    return laid_bins_in_time(overlay({"k": times, "state": states, "value": rates}), blocks, sizes, lowest, highest)
+
+
+def laid_bins_in_time(laid: DataFrame, blocks: DataFrame, sizes: Sequence[int], lowest: int, highest: int) -> DataFrame:
+    """:func:`bins_in_time` where one table of sites or runs holds ``k``, ``state`` and ``value``: a sum per bin, nothing is sorted."""
+    if "pos" in laid.columns:
+        laid = laid.withColumns({"start_pos": F.col("pos"), "end_pos": F.col("pos")})
+    laid = laid.filter("k IS NOT NULL")
     inside = (F.col("k") >= lowest) & (F.col("k") < highest)
     sites = lambda where: F.when(inside & where, F.col("_len")).otherwise(0)
     sums = run_sums(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from locuswise import catalog
+from locuswise.operators import bins
+from locuswise.operators.overlay import value_runs
 
 
 def plan(df):
@@ -12,3 +14,13 @@ def plan(df):
 def test_posteriors_are_made_once_a_row(spark, small):
     for name in ("time_marginal", "rate_marginal"):
         assert plan(catalog.queries()[name](spark, small)).count("transform(") == 2, name
+
+
+def test_time_bins_of_one_table_are_sums(spark, small):
+    assert "Window" not in plan(catalog.queries()["bins_in_time"](spark, small))
+    rows = [(1, 0, p, None if p % 11 == 0 else p % 5, p % 3, None if p % 7 == 0 else p / 8) for p in range(1, 91) if p % 13]
+    sites = spark.createDataFrame(rows, "diploid long, block_id int, pos long, k int, state int, value double")
+    blocks = spark.createDataFrame([(0, 1, 90, 5, 85)], "block_id int, start long, end long, lower_cut long, upper_cut long")
+    want = bins.bins_in_time(*[value_runs(sites, c) for c in ("k", "state", "value")], blocks, (10, 30), 1, 3)
+    got = bins.laid_bins_in_time(sites, blocks, (10, 30), 1, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
