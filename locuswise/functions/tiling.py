@@ -42,25 +42,27 @@ def neighbours(
     previous: str | None = None,
     following: str | None = None,
     tile: int = TILE,
+    carried_columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add the preceding and/or following row of the key as struct columns (null at the ends).
 
-    The structs hold every column of ``df``.
+    The structs hold the ``carried_columns``, by default every column of ``df``.
     """
     keys = list(keys)
-    whole = F.struct(*df.columns)
+    held = list(carried_columns or df.columns)
+    whole = F.struct(*held)
     tiled = _tiled(df, keys, order, tile)
     inside = Window.partitionBy("_key").orderBy(order)
     across = _across(keys)
     place = F.coalesce(F.col(order), F.lit(0))
     ends, carried, columns, names = [], [], [], []
     if previous:
-        ends.append(F.max_by(whole, place).alias("_last"))
+        ends.append(F.struct(*[F.max_by(c, place).alias(c) for c in held]).alias("_last"))
         carried.append(F.lag("_last").over(across).alias("_before"))
         columns.append(F.lag(whole).over(inside).alias(previous))
         names.append((previous, "_before"))
     if following:
-        ends.append(F.min_by(whole, place).alias("_first"))
+        ends.append(F.struct(*[F.min_by(c, place).alias(c) for c in held]).alias("_first"))
         carried.append(F.lead("_first").over(across).alias("_after"))
         columns.append(F.lead(whole).over(inside).alias(following))
         names.append((following, "_after"))

@@ -57,7 +57,7 @@ def resolve_duplicates(
     """One record per position: raise on a repeat, or keep the first by ``order``."""
     rest = [c for c in variants.columns if c not in (*keys, "pos", order)]
     grouped = variants.groupBy(*keys, "pos").agg(
-        F.min_by(F.struct(*rest), order).alias("kept"), F.count(F.lit(1)).alias("records")
+        *[F.min_by(c, order).alias(c) for c in rest], F.count(F.lit(1)).alias("records")
     )
     if policy == "error":
         message = F.concat(F.lit("repeated position "), F.col("pos").cast("string"))
@@ -66,7 +66,7 @@ def resolve_duplicates(
         )
     elif policy != "keep_first":
         raise ValueError(f"unknown duplicate policy {policy!r}")
-    return grouped.select(*keys, "pos", "kept.*")
+    return grouped.select(*keys, "pos", *rest)
 
 
 def fill_gaps(
@@ -89,7 +89,7 @@ def fill_gaps(
     limits = blocks.select("block_id", F.col("start").alias("_lo"), F.col("end").alias("_hi"))
     points = sparse.select(*keys, "pos", "state")
     message = F.concat(F.lit("record of an unknown block "), F.coalesce(F.col("block_id").cast("string"), F.lit("null")))
-    linked = neighbours(points, keys, "pos", "prev", "next", tile).join(limits, "block_id", "left")
+    linked = neighbours(points, keys, "pos", "prev", "next", tile, ["pos"]).join(limits, "block_id", "left")
     linked = linked.withColumn("_lo", F.coalesce("_lo", F.raise_error(message).cast("long")))
 
     def run(first, last, state):

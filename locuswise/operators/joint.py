@@ -43,7 +43,7 @@ LOG_UNIT = 1 << 40
 
 def transition_symbols(decoded: DataFrame, n: int, tile: int = TILE) -> DataFrame:
     """Code of (time here, time at the next site); the last site repeats the code before it."""
-    linked = neighbours(decoded.select(*KEYS, "pos", "k"), KEYS, "pos", "prev", "next", tile)
+    linked = neighbours(decoded.select(*KEYS, "pos", "k"), KEYS, "pos", "prev", "next", tile, ["k"])
     k = F.col("k")
     code = F.coalesce(k * n + F.col("next.k"), F.col("prev.k") * n + k, k * n + k)
     return linked.select(*KEYS, "pos", code.cast("int").alias("symbol"))
@@ -112,7 +112,7 @@ def transition_symbol_runs(times: DataFrame, n: int, tile: int = TILE) -> DataFr
     Inside a run the time stays; its last site leads to the next run, and the sequence's last site repeats the code before.
     """
     merged = settled(value_runs(times, "k", tile=tile), "merged-times")
-    linked = neighbours(merged, KEYS, "start_pos", "prev", "next", tile)
+    linked = neighbours(merged, KEYS, "start_pos", "prev", "next", tile, ["k"])
     k, stays = F.col("k"), F.col("k") * n + F.col("k")
     alone = F.col("start_pos") == F.col("end_pos")
     last = F.coalesce(k * n + F.col("next.k"), F.when(alone, F.col("prev.k") * n + k), stays)

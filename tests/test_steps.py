@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from locuswise import catalog
-from locuswise.operators import bins
+import numpy as np
+import pyarrow as pa
+
+from locuswise import bindings, catalog
+from locuswise.catalog import hmm
+from locuswise.functions.kernels import RunPowers
+from locuswise.functions.lineage import settled
+from locuswise.operators import bins, scoring
 from locuswise.operators.overlay import value_runs
+from locuswise.streaming.filtering import stream_filter
+from locuswise.streaming.sinks import run_available
 
 
 def plan(df):
@@ -24,3 +32,16 @@ def test_time_bins_of_one_table_are_sums(spark, small):
     want = bins.bins_in_time(*[value_runs(sites, c) for c in ("k", "state", "value")], blocks, (10, 30), 1, 3)
     got = bins.laid_bins_in_time(sites, blocks, (10, 30), 1, 3)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_state_runs_are_made_once(spark, small, monkeypatch):
+    """Whoever reads the runs twice writes them first, and a state is grouped by hash."""
+    made = []
+    plain = bindings.state_runs
+    monkeypatch.setattr(bindings, "state_runs", lambda *a: made.append(settled(plain(*a))) or made[-1])
+    stored = []
+    monkeypatch.setattr(hmm, "settled", lambda df, name="table": stored.append(name) or settled(df, name))
+    hmm.region_logliks(spark, small)
+    assert len(made) == 1 and stored[0] == "state-runs"
+    physical = bindings.calls(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in physical and "SortAggregate" not in physical
