@@ -193,19 +193,26 @@ def _transfers(lead: bool):
             counts = batch.column(batch.schema.get_field_index("models")).to_pylist()
             firsts = cols["idx"].to_pylist()
             ids = cols["batch"].to_pylist()
-            mats, logs = [], []
-            for i in range(batch.num_rows):
-                if key != ids[i]:
-                    states = math.isqrt(len(trans[i]) // counts[i])
+            mats, logs = [None] * batch.num_rows, [None] * batch.num_rows
+            for own, places in groupby(range(batch.num_rows), key=ids.__getitem__):
+                places = list(places)
+                if key != own:
+                    at, key = places[0], own
+                    states = math.isqrt(len(trans[at]) // counts[at])
                     powers = RunPowers(
-                        trans[i].reshape(counts[i], states, states).copy(),
-                        emis[i].reshape(counts[i], states, -1).copy(),
+                        trans[at].reshape(counts[at], states, states).copy(),
+                        emis[at].reshape(counts[at], states, -1).copy(),
                     )
-                    key = ids[i]
-                start = np.full(states, 1.0 / states) if firsts[i] == 1 else None
-                m, log = powers.fragment(lengths[i], symbols[i], start, lead)
-                mats.append(m)
-                logs.append(log)
+                # fragments of one kind are stepped side by side
+                for opening in (True, False):
+                    kind = [i for i in places if (firsts[i] == 1) == opening]
+                    if not kind:
+                        continue
+                    start = np.full(states, 1.0 / states) if opening else None
+                    found = powers.fragments([lengths[i] for i in kind], [symbols[i] for i in kind], start, lead)
+                    for lanes, left, log in found:
+                        for lane, m, own_log in zip(lanes, left.transpose(1, 0, 2, 3), log.T):
+                            mats[kind[lane]], logs[kind[lane]] = m, own_log
             yield _emit_transfer(cols, mats, logs)
 
     return run

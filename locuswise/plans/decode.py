@@ -68,7 +68,7 @@ def decode_dataset(
         wide = settled(decode_diploids(runs, blocks, model, space, scales, bases, mean_times, size), "decoded")
     metrics = [*scales, "tmrca"]
     each = long_landscape(wide, metrics)
-    mean = average_landscape(each.filter(F.col("metric") != "tmrca"))
+    mean = average_landscape(long_landscape(wide, list(scales)))
     if rate == "theta":
         sites = runs.select("diploid", "block_id", F.explode(F.sequence("start_pos", "end_pos")).alias("pos"), "state")
         symbols = joint.emission_symbols(wide, sites)

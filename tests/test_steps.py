@@ -45,3 +45,28 @@ def test_state_runs_are_made_once(spark, small, monkeypatch):
     assert len(made) == 1 and stored[0] == "state-runs"
     physical = bindings.calls(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in physical and "SortAggregate" not in physical
+
+
+def test_transfers_of_a_batch_are_those_of_each_fragment():
+    """Rows of several kinds, lengths and model batches in one Arrow batch, against one fragment at a time."""
+    rng = np.random.default_rng(4)
+    models = {n: (rng.dirichlet(np.ones(3), (n + 1, 3)), rng.uniform(0.1, 1, (n + 1, 3, 3))) for n in (0, 1)}
+    rows = [(i, i % 3 + 1, int(i > 4), rng.integers(1, 40, 1 + i % 5), rng.integers(0, 3, 1 + i % 5)) for i in range(9)]
+    columns = {
+        "diploid": pa.array([r[0] for r in rows], pa.int64()),
+        "block_id": pa.array([0] * len(rows), pa.int32()),
+        "batch": pa.array([r[2] for r in rows], pa.int32()),
+        "idx": pa.array([r[1] for r in rows], pa.int32()),
+        "lengths": pa.array([r[3].tolist() for r in rows], pa.list_(pa.int32())),
+        "symbols": pa.array([r[4].tolist() for r in rows], pa.list_(pa.int8())),
+        "models": pa.array([r[2] + 1 for r in rows], pa.int32()),
+        "trans": pa.array([models[r[2]][0].ravel().tolist() for r in rows]),
+        "emis": pa.array([models[r[2]][1].ravel().tolist() for r in rows]),
+    }
+    for lead in (False, True):
+        (got,) = scoring._transfers(lead)([pa.record_batch(columns)])
+        assert got["diploid"].to_pylist() == list(range(len(rows)))
+        for r, m, log in zip(rows, got["mats"].to_pylist(), got["logs"].to_pylist()):
+            start = np.full(3, 1 / 3) if r[1] == 1 else None
+            left, scale = RunPowers(*models[r[2]]).fragment(r[3], r[4], start, lead)
+            assert np.allclose(np.array(m).reshape(left.shape) * np.exp(log)[:, None, None], left * np.exp(scale)[:, None, None])
