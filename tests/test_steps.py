@@ -70,3 +70,30 @@ def test_transfers_of_a_batch_are_those_of_each_fragment():
             start = np.full(3, 1 / 3) if r[1] == 1 else None
             left, scale = RunPowers(*models[r[2]]).fragment(r[3], r[4], start, lead)
             assert np.allclose(np.array(m).reshape(left.shape) * np.exp(log)[:, None, None], left * np.exp(scale)[:, None, None])
+
+
+def test_stream_filter_is_the_plain_forward_pass(spark, tmp_path):
+    """Gaps, repeats and several sequences in one batch, against one site after the other."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for d in range(5):
+        vector = None
+        for pos in sorted(rng.choice(np.arange(1, 400), 30, replace=False).tolist()):
+            symbol = int(rng.integers(0, 3))
+            rows += [(d, 0, pos, symbol, 2 * pos), (d, 0, pos, (symbol + 1) % 3, 2 * pos + 1)]
+            if vector is None:
+                vector, loglik = hmm.EMIS[:, symbol] / 2, 0.0
+            else:
+                for _ in range(pos - last - 1):
+                    vector = vector @ hmm.TRANS
+                vector = (vector @ hmm.TRANS) * hmm.EMIS[:, symbol]
+            loglik, vector, last = loglik + np.log(vector.sum()), vector / vector.sum(), pos
+            want[d, pos] = (*vector, loglik)
+    rng.shuffle(rows)
+    schema = "diploid long, block_id int, pos long, state int, seq long"
+    spark.createDataFrame([tuple(map(int, r)) for r in rows], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    sites = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    found = run_available(stream_filter(sites, hmm.TWO_STATES)).collect()
+    assert {(r.diploid, r.pos) for r in found} == want.keys() and len(found) == len(want)
+    for r in found:
+        assert np.allclose([*r.dist, r.loglik], want[r.diploid, r.pos])
