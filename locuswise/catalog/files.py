@@ -87,8 +87,8 @@ def haplotype_files(spark, sf):
     record = F.concat(F.lit(">"), F.col("doc_id"), F.lit("\n"), b.haplotype_text())
     path = scratch_folder(spark, "haplotypes")
     b.table(spark, sf, "documents").select(record.alias("value")).write.text(path)
-    out = sequences.read_haplotypes(spark, path)
-    return out.select(F.col("name").cast("long").alias("hap"), "pos", "base")
+    pieces = sequences.read_haplotype_pieces(spark, path)
+    return sequences.haplotype_sites(pieces.withColumn("hap", F.col("name").cast("long")), "hap")
 
 
 def site_strings(spark, sf):

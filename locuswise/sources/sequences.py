@@ -49,10 +49,12 @@ def read_haplotype_pieces(spark: SparkSession, path) -> DataFrame:
 
 def read_haplotypes(spark: SparkSession, path) -> DataFrame:
     """(hap, name, pos, base): aligned records, numbered from 0 in the order of their file."""
-    numbered = _records(spark, path).withColumn("hap", F.col("record"))
-    return _characters(numbered, "hap", "name").select(
-        "hap", "name", "pos", F.upper("symbol").alias("base")
-    )
+    return haplotype_sites(read_haplotype_pieces(spark, path), "hap", "name")
+
+
+def haplotype_sites(pieces: DataFrame, *keys) -> DataFrame:
+    """(keys, pos, base) from pieces: a symbol has no work of its own but its row, so keys are best made before."""
+    return _characters(pieces, *keys).withColumnRenamed("symbol", "base")
 
 
 def read_mask_codes(spark: SparkSession, path) -> DataFrame:

@@ -97,3 +97,9 @@ def test_stream_filter_is_the_plain_forward_pass(spark, tmp_path):
     assert {(r.diploid, r.pos) for r in found} == want.keys() and len(found) == len(want)
     for r in found:
         assert np.allclose([*r.dist, r.loglik], want[r.diploid, r.pos])
+
+
+def test_symbols_of_haplotypes_have_no_work_of_their_own(spark, small):
+    """Upper case and the number of a record are made before its symbols become rows."""
+    above = plan(catalog.queries()["read_haplotypes"](spark, small)).split("Generate explode")[0].split("Generate posexplode")[0]
+    assert "upper(" not in above and "cast(name" not in above
