@@ -150,21 +150,15 @@ def _places(nodes: DataFrame, shared: DataFrame, keys) -> DataFrame:
     return settled(places.select("node", "region").join(looked_at, "region"), "places")
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = shingles.distinct_sets(*shingles.shingle_hashes(batch["text"]))
-        kept = pa.array([v.tobytes() for v in sets], pa.binary())
-        yield pa.record_batch([batch["node"], batch["component"], kept], ["node", "component", "shingles"])
-
-
-def _sets(column) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    """Full shingle sets: made where they are read, as eight bytes a shingle are more than its text and don't compress."""
+    return shingles.distinct_sets(*shingles.shingle_hashes(texts))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << COUNTERS_LOG2, np.int64)
     for batch in batches:
-        for values in _sets(batch["shingles"]):
+        for values in _sets(batch["text"]):
             np.add.at(counts, (values >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64), 1)
     used = np.flatnonzero(counts)
     yield pa.record_batch({"counter": pa.array(used, pa.int64()), "n": pa.array(counts[used], pa.int64())})
@@ -176,7 +170,7 @@ def _rare_shingles(counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rare, sizes = [], []
-            for values in _sets(batch["shingles"]):
+            for values in _sets(batch["text"]):
                 order = np.lexsort((values, counts.value[(values >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)]))
                 rare.append(values[order[: len(values) - (SIMILARITY * len(values) + 99) // 100 + 1]].view(np.int64))
                 sizes.append(len(values))
@@ -221,7 +215,7 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for members in batch["members"]:
             rows = members.values
             node, component = (rows.field(c).to_numpy() for c in ("node", "component"))
-            links = block_links(node, component, _sets(rows.field("shingles")))
+            links = block_links(node, component, _sets(rows.field("text")))
             a, b = zip(*links, strict=True) if links else ((), ())
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -243,13 +237,13 @@ def rest_links(crowded: DataFrame, names: DataFrame, texts: DataFrame) -> DataFr
     mixed = known.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     mixed = settled(mixed.select("region"), "mixed")
     rest = settled(known.join(mixed, "region", "left_semi").select("node", "component").distinct(), "rest")
-    sets = settled(texts.join(rest, "node").select("node", "component", "text").mapInArrow(_full_sets, "node long, component long, shingles binary"), "rest-sets")
-    counted = sets.select("shingles").mapInArrow(_counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    texts = settled(texts.join(rest, "node").select("node", "component", "text"), "rest-texts")
+    counted = texts.select("text").mapInArrow(_counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
     counts = np.zeros(1 << COUNTERS_LOG2, np.int64)
     for part in counted.toArrow().to_batches():  # one row per counter at most
         counts[part["counter"].to_numpy()] = part["n"].to_numpy()
     run = _rare_shingles(spark.sparkContext.broadcast(counts))
-    postings = settled(sets.mapInArrow(run, "posting long, node long, component long, n_shingles long"), "postings")
+    postings = settled(texts.mapInArrow(run, "posting long, node long, component long, n_shingles long"), "postings")
     # most rare shingles are those of one text or one component: what is left without them is little
     spread = postings.groupBy("posting").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     postings = settled(postings.join(settled(spread.select("posting"), "spread"), "posting"), "spread-postings")
@@ -268,7 +262,7 @@ def rest_links(crowded: DataFrame, names: DataFrame, texts: DataFrame) -> DataFr
     seeking = F.ceil(slices * (F.col("n") - F.col("first.largest.n")) / F.col("n")).cast("long")
     once = settled(mixed.select("first.posting", F.col("first.largest.component").alias("largest"), slices.alias("slices"), seeking.alias("seeking")), "mixed-postings")
     met = settled(postings.select("posting", "node", "component").join(once, "posting"), "across")
-    sets = sets.join(settled(met.select("node").distinct(), "met"), "node", "left_semi")
+    texts = texts.join(settled(met.select("node").distinct(), "met"), "node", "left_semi")
     # a row lies in one slice; rows outside the largest component are seekers too, and meet every slice
     own, from_ = (F.pmod(F.xxhash64("node"), F.col(c)) for c in ("slices", "seeking"))
     as_member = met.select("posting", "node", own.alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("seeking") - 1)).alias("i"))
@@ -276,8 +270,8 @@ def rest_links(crowded: DataFrame, names: DataFrame, texts: DataFrame) -> DataFr
         "posting", "node", own.alias("own"), from_.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("j")
     )
     blocks = as_member.unionByName(as_seeker.filter("j != own").drop("own"))
-    members = F.collect_list(F.struct("node", "component", "shingles")).alias("members")
-    found = blocks.join(sets, "node").groupBy("posting", "i", "j").agg(members).select("members").mapInArrow(_block_links, "a long, b long")
+    members = F.collect_list(F.struct("node", "component", "text")).alias("members")
+    found = blocks.join(texts, "node").groupBy("posting", "i", "j").agg(members).select("members").mapInArrow(_block_links, "a long, b long")
     return settled(found.distinct(), "rest-links")
 
 

@@ -9,6 +9,7 @@ from locuswise import bindings, catalog
 from locuswise.catalog import hmm
 from locuswise.functions.kernels import RunPowers
 from locuswise.functions.lineage import settled
+from locuswise.llm import near_dedup
 from locuswise.operators import bins, scoring
 from locuswise.operators.overlay import value_runs
 from locuswise.streaming.filtering import stream_filter
@@ -103,3 +104,14 @@ def test_symbols_of_haplotypes_have_no_work_of_their_own(spark, small):
     """Upper case and the number of a record are made before its symbols become rows."""
     above = plan(catalog.queries()["read_haplotypes"](spark, small)).split("Generate explode")[0].split("Generate posexplode")[0]
     assert "upper(" not in above and "cast(name" not in above
+
+
+def test_blocks_of_near_copies_move_texts():
+    """A block takes texts, a slice of a longer column here, and finds the links that their sets have."""
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = ["unread", base, base + " more", "quite other words stand in here", base.upper()]
+    members = pa.array([[{"node": i, "component": i, "text": t} for i, t in enumerate(texts)]] * 2)
+    members = pa.ListArray.from_arrays(pa.array([1, 5], pa.int32()), members.values)
+    (found,) = near_dedup._block_links([pa.record_batch({"members": members})])
+    links = list(zip(found["a"].to_pylist(), found["b"].to_pylist()))
+    assert len(links) == 2 and {n for pair in links for n in pair} == {1, 2, 4}
