@@ -1,13 +1,16 @@
 """Searches for spline models: steps on a known surface, fits of sequences, intervals around them."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_hmm import forward
 
+from locuswise.catalog import hmm
 from locuswise.functions.lineage import settled
 from locuswise.operators.scoring import Scorer
-from locuswise.plans import fitting
+from locuswise.plans import fitting, optimise
 
 N = 6
 TARGET = [0.02, 1.4, 0.7, 1.2, 0.1, -0.05, 0.2]
@@ -53,6 +56,71 @@ def test_steps_reach_the_top_of_a_surface(starts):
         assert all(after[start] >= before[start] for start in before)
 
 
+def test_a_search_goes_on_until_every_fit_has_ended(starts, monkeypatch):
+    """The top lies tens of widths away, on a ridge: four rounds don't reach it."""
+    far = [0.5, 30.0, 0.7, 12.0, 0.1, -0.05, 0.2]
+
+    def surface(points):
+        off = F.zip_with("point", F.array(*[F.lit(t) for t in far]), lambda a, b: (a - b) * (a - b))
+        ridge = F.pow(F.col("point")[1] - 30.0 + F.col("point")[3] - 12.0, 2)
+        return points.select("candidate_id", (-F.aggregate(off, F.lit(0.0), lambda a, x: a + x) - 4 * ridge).alias("loglik"))
+
+    monkeypatch.setattr(fitting, "point_models", lambda points, *_: points)
+    first = settled(fitting.start_state(starts, 1, 1), "ridge")
+    four = fitting.search(surface, first, 1, 1, N, rounds=4)
+    assert four.filter(fitting.going(1e-3)).count() == 2 and all(r.loglik < -1 for r in four.collect())
+    found = fitting.search(surface, four, 1, 1, N).collect()
+    assert sorted(r.start for r in found) == [0, 1]
+    for row in found:
+        assert [p.value for p in row.params] == pytest.approx(far, abs=0.05)
+        assert row.loglik > -0.01
+
+
+def test_a_fit_that_has_ended_is_left_as_it_is(starts, monkeypatch):
+    monkeypatch.setattr(fitting, "point_models", lambda points, *_: points)
+    small = F.transform("params", lambda p: p.withField("width", F.when(F.col("start") == 0, 1e-9).otherwise(p["width"])))
+    state = settled(fitting.start_state(starts, 1, 1).withColumns({"params": small, "loglik": F.lit(-7.0)}), "ended")
+    seen = []
+
+    def flat(points):
+        seen.extend(r.start for r in points.select("start").distinct().collect())
+        return points.select("candidate_id", F.when(F.col("move") == 1, float("nan")).otherwise(-3.0).alias("loglik"))
+
+    got = {r.start: r for r in fitting.search(flat, state, 1, 1, N, rounds=1).collect()}
+    assert seen == [1] and got[0].loglik == -7.0
+    # where no step gains, the centre stays and widths are halved; a model without a log-likelihood doesn't win
+    assert got[1].loglik == -3.0
+    assert [(p.name, p.value, p.width) for p in got[1].params][:2] == [("rho", 0.04, 0.01), ("y0", 1.01, 0.125)]
+
+
+def test_the_registered_search_has_no_number_of_rounds(starts, monkeypatch):
+    seen, search = [], fitting.search
+    monkeypatch.setattr(hmm, "inputs", lambda *_: (None, None))
+    monkeypatch.setattr(hmm, "smc_candidates", lambda *_: starts.withColumnRenamed("start", "candidate_id"))
+    monkeypatch.setattr(hmm.scoring.Scorer, "over", staticmethod(lambda *_: None))
+    monkeypatch.setattr(hmm.fitting, "search", lambda *args, **limits: seen.append((len(args), limits)))
+    hmm.spline_state(None, None)
+    assert seen == [(5, {})]
+    assert inspect.signature(search).parameters["rounds"].default is None
+
+
+def test_models_of_all_knot_counts_in_one_pass(spark):
+    rows = [(k, k, 0.02, [0.01 * k, *(1.0 + 0.1 * i for i in range(k + 2)), *(0.05 * i for i in range(k + 2))]) for k in (1, 2)]
+    points = spark.createDataFrame(rows, "candidate_id long, knots int, theta double, point array<double>")
+    got = {r.candidate_id: (r.trans, r.emis) for r in fitting.point_models(points, 1, 2, N).collect()}
+    for k, _, theta, point in rows:
+        knots = [(k, i, point[1 + i], point[k + 3 + i]) for i in range(k + 2)]
+        own = optimise.smc_models(
+            spark.createDataFrame([(k, theta, point[0])], "candidate_id long, theta double, rho double"),
+            spark.createDataFrame(knots, "candidate_id long, i int, height double, slope double"),
+            N,
+            k,
+        ).first()
+        assert got[k] == (own.trans, own.emis)
+    with pytest.raises(ValueError, match="do not fit"):
+        fitting.point_models(points, 1, 4, N)
+
+
 def test_moves_stay_inside_the_ranges(starts):
     state = fitting.start_state(starts, 1, 2)
     # a slope at the edge of its range cannot move further, and a centre is always there
