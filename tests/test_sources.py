@@ -232,3 +232,20 @@ def test_dense_positions_are_not_shuffled(spark):
     plan = dense._jdf.queryExecution().sparkPlan().toString().lower()
     # positions become rows above every join: nothing is left to bring together
     assert plan.index(made) < plan.index("join")
+
+
+def test_dense_pieces_of_many_haplotypes(spark):
+    """Several haplotypes a piece, hits that share a position, hits that come twice, a null haplotype."""
+    derived = {(h, p) for h in range(11) for p in range(1, 18) if (h * 7 + p * p) % 5 == 0} | {(11, 17), (12, 1), (13, 99)}
+    rows_ = [*derived, *list(derived)[:20], (None, 4), (None, 4)]
+    for haps, tile in ((1, 4), (3, 5), (100, 17), (4, 100)):
+        dense = simulated.densify_haplotypes(spark.createDataFrame(rows_, "hap long, pos long"), 17, tile, haps).collect()
+        got = sorted((-1 if r.hap is None else r.hap, r.pos, r.base) for r in dense)
+        assert got == [(h, p, int((h, p) in derived)) for h in sorted({-1, *(h for h, _ in derived)}) for p in range(1, 18)]
+
+
+def test_dense_form_takes_less_than_a_byte_a_row(spark, tmp_path):
+    """The result is as long as haplotypes times positions, so what a row takes decides whether it fits a disk."""
+    hits = spark.range(3000).select((F.col("id") % 30).alias("hap"), (F.pmod(F.xxhash64("id"), F.lit(100_000)) + 1).alias("pos"))
+    simulated.densify_haplotypes(hits, 100_000).write.parquet(str(tmp_path / "dense"))
+    assert sum(f.stat().st_size for f in (tmp_path / "dense").glob("*.parquet")) < 30 * 100_000
